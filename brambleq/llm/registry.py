@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from brambleq.llm import decontaminate
+from brambleq.llm import decontaminate, substring_dedup
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
+    "op2_substring_dedup": substring_dedup.query,
 }
 SQL = {
     "op1_decontaminate": decontaminate.SQL,
+    "op2_substring_dedup": substring_dedup.SQL,
 }
