@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from brambleq.llm import decontaminate, substring_dedup
+from brambleq.llm import decontaminate, line_dedup, simhash, substring_dedup
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
     "op2_substring_dedup": substring_dedup.query,
+    "op3_line_dedup": line_dedup.query,
+    "op8_simhash": simhash.query,
 }
 SQL = {
     "op1_decontaminate": decontaminate.SQL,
     "op2_substring_dedup": substring_dedup.SQL,
+    "op3_line_dedup": line_dedup.SQL,
 }
