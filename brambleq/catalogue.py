@@ -145,8 +145,8 @@ def unused_private(t):
     return findings.unused(t("customer").where("c_acctbal < 500").select("c_custkey", "c_mktsegment"), t("orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
 
 
-@query("""WITH f AS (SELECT l_partkey, l_linenumber, l_returnflag, min({'o': l_orderkey, 's': l_suppkey}) AS at FROM lineitem GROUP BY 1, 2, 3)
-SELECT l_partkey, l_linenumber, string_agg(l_returnflag, '|' ORDER BY at, l_returnflag) AS types FROM f GROUP BY 1, 2""")
+@query("""WITH f AS (SELECT l_partkey, l_linenumber, l_returnflag, min({'o': l_orderkey, 's': l_suppkey}) AS first_at FROM lineitem GROUP BY 1, 2, 3)
+SELECT l_partkey, l_linenumber, string_agg(l_returnflag, '|' ORDER BY first_at, l_returnflag) AS types FROM f GROUP BY 1, 2""")
 def call_site_evidence(t):
     return findings.evidence(t("lineitem"), "l_partkey", "l_linenumber", "l_returnflag", ["l_orderkey", "l_suppkey"])
 
