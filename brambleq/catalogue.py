@@ -318,3 +318,13 @@ def inline_findings(t) -> DataFrame:
     found = scan.pattern_findings(files, "the", "word.the", "A common word.")
     marks = scan.explode_lines(files).where(F.length("text") % 5 == 0).select("path", (F.col("line") + 1).alias("line"), F.lit(None).cast("array<string>").alias("identifiers"))
     return findings.unmarked(found, marks)
+
+
+def _generated() -> None:
+    from brambleq.plans import generated
+
+    QUERIES.update(generated.QUERIES)
+    SQL.update(generated.SQL)
+
+
+_generated()
