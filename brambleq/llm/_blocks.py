@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from brambleq.llm._common import materialise, shuffle_partitions
 
 #: Bytes of text after which a block is closed (one longer text is a block of its own).
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Bytes of text that one bucket of the key space answers for.
 BUCKET_BYTES = 64 << 20
 BLOCKS = "block long, n_docs long, n_bytes long, docs binary"

@@ -38,7 +38,7 @@ K = 13
 #: Bits of an edge's key; path verification and another seed settle collisions.
 KEY_BITS = 56
 SEEDS = (1, 2, 3, 4)
-_MEMO_WORDS = 1 << 20
+_MEMO_WORDS = 1 << 17
 
 _EDGES = "bucket int, block long, n long, edges binary"
 _FOUND = "block long, bucket int, n long, found binary"
