@@ -957,6 +957,7 @@ class Parser:
                     else:
                         e = Node("cconst", e.start, self.end(), cls=e, name=name, name_at=ns)
             elif t == "(":
+                e = Node("constfetch", e.start, e.end, name=e) if e.kind == "name" else e
                 e = Node("call", e.start, self.end(), callee=e, args=self.args())
                 e.end = self.end()
             elif t in ("T_INC", "T_DEC"):
