@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from brambleq.operators import repairs
 from brambleq.operators._tables import written
@@ -23,8 +24,11 @@ def edits(run: Run, files: DataFrame) -> DataFrame:
     short = F.regexp_extract("name", r"Use \((\w+)\) instead", 1)
     length = F.length(F.regexp_extract(rest, r"^\(\s*\w+\s*\)", 0))
     casts = cast.select("path", "start", (F.col("start") + length).alias("end"), F.concat(F.lit("("), short, F.lit(")")).alias("text"), F.lit(None).cast("string").alias("tag"))
-    use = f.where("key = 'closure.unusedUse'")
     before = F.expr("substring(t, 1, start)")
+    # captures of one list share their commas: one of them goes in a round
+    opened = F.length(F.regexp_extract(before, r"(?s)^(.*\buse\s*\()", 1))
+    first = Window.partitionBy("path", "__list").orderBy("start")
+    use = f.where("key = 'closure.unusedUse'").withColumn("__list", opened).withColumn("__k", F.row_number().over(first)).where("__k = 1")
     item = F.regexp_extract(rest, r"^&?\$\w+", 0)
     comma_after = F.regexp_extract(rest, r"^&?\$\w+(\s*,\s*)", 1)
     comma_before = F.regexp_extract(before, r"(\s*,\s*)$", 1)
