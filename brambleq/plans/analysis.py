@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,34 +47,71 @@ class Run:
     """Relations of one run.  ``files``: (``path``, ``ord``, ``analyze``, ``stub``, ``source``)."""
 
     def __init__(self, files: DataFrame, options: Options = Options(), want: frozenset[str] = frozenset(), functions_complete: bool = False) -> None:
-        spark = files.sparkSession
         self.options, self.functions_complete = options, functions_complete
         self._found: dict[str, DataFrame] = {}
-        rows = files.select("path", "ord", "analyze", F.col("source").cast("binary").alias("source")).mapInArrow(worker(options, want), DDL)
+        # parsing costs far more than moving text: files are dealt out whole, so that small or uneven inputs use all cores
+        n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = files.select("path", "ord", "analyze", F.col("source").cast("binary").alias("source")).repartition(n, "path")
+        rows = dealt.mapInArrow(worker(options, want), DDL)
         self.rows = written(rows)
         origin = files.select("path", F.when(F.col("stub"), "stub").when(F.col("analyze"), "project").otherwise("scan").alias("origin"))
-        d = self.relation("decl").join(origin, "path").select(F.col("res").alias("kind"), "key", "origin", "ord", "start", F.col("name").alias("fqn"), F.col("alt").alias("what"), "path", "attrs")
-        b = builtins.declarations(spark)
+        self.origin = origin
+
+    @cached_property
+    def decls(self) -> DataFrame:
+        """Declarations of all origins, builtins included."""
+        d = self.relation("decl").join(self.origin, "path").select(F.col("res").alias("kind"), "key", "origin", "ord", "start", F.col("name").alias("fqn"), F.col("alt").alias("what"), "path", "attrs")
+        b = builtins.declarations(self.rows.sparkSession)
         empty = F.lit(None).cast("map<string,string>")
-        self.decls = d.unionByName(b.select("kind", "key", F.lit("builtin").alias("origin"), F.lit(0).alias("ord"), F.lit(0).alias("start"), "fqn", "what", F.lit("").alias("path"), empty.alias("attrs")))
-        # a map is not ordered, so the winner is taken without it and it is joined back
+        return d.unionByName(b.select("kind", "key", F.lit("builtin").alias("origin"), F.lit(0).alias("ord"), F.lit(0).alias("start"), "fqn", "what", F.lit("").alias("path"), empty.alias("attrs")))
+
+    @cached_property
+    def symbols(self) -> DataFrame:
+        # a map has no order, so the winner is taken without it and it is joined back
         win = symbols.index(self.decls.drop("attrs"))
-        self.symbols = written(win.join(self.decls.select("kind", "key", "path", "start", "attrs").dropDuplicates(["kind", "key", "path", "start"]), ["kind", "key", "path", "start"]))
-        self.classes = self.symbols.where("kind = 'class'")
+        return written(win.join(self.decls.select("kind", "key", "path", "start", "attrs").dropDuplicates(["kind", "key", "path", "start"]), ["kind", "key", "path", "start"]))
+
+    @property
+    def classes(self) -> DataFrame:
+        return self.symbols.where("kind = 'class'")
+
+    @cached_property
+    def anonymous(self) -> DataFrame:
+        return self._own_edges().where("child like 'class@%'").select("child", "parent", "ord", "role")
+
+    def _own_edges(self) -> DataFrame:
+        return self.relation("edge").select(F.col("owner").alias("child"), "path", F.col("key").alias("parent"), F.col("attrs")["ord"].cast("int").alias("ord"), F.col("res").alias("role"))
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        """(``child``, ``parent``, ``ord``, ``role``) of the winning declarations."""
         winners = self.classes.select(F.col("key").alias("child"), "path")
-        own = self.relation("edge").select(F.col("owner").alias("child"), "path", F.col("key").alias("parent"), F.col("attrs")["ord"].cast("int").alias("ord"), F.col("res").alias("role"))
-        named = own.join(winners, ["child", "path"], "left_semi").select("child", "parent", "ord", "role")
-        anonymous = own.where("child like 'class@%'").select("child", "parent", "ord", "role")
+        named = self._own_edges().join(winners, ["child", "path"], "left_semi").select("child", "parent", "ord", "role")
+        b = builtins.declarations(self.rows.sparkSession)
         given = b.where("kind = 'class'").select(F.col("key").alias("child"), F.posexplode("parents").alias("ord", "p")).select("child", F.lower("p").alias("parent"), "ord", F.lit("interface").alias("role"))
         given = given.join(winners.where("path <> ''"), "child", "left_anti")
-        self.edges = written(named.unionByName(anonymous).unionByName(given))
+        return written(named.unionByName(self.anonymous).unionByName(given))
+
+    @cached_property
+    def closure(self) -> DataFrame:
         nodes = self.classes.select(F.col("key").alias("node")).union(self.edges.select("child")).distinct()
-        self.closure = written(hierarchy.ancestors(self.edges.select("child", "parent", "ord"), nodes))
-        self.known = written(hierarchy.fully_known(self.closure, self.classes.select(F.col("key").alias("node")).union(anonymous.select("child"))).where("known").select("node"))
-        given_up = self.classes.where("origin = 'builtin'").select(F.col("key").alias("ancestor"))
-        #: Classes below a builtin, whose members are in no table.
-        self.open = written(self.closure.join(given_up, "ancestor", "left_semi").select("node").distinct())
-        self.members = self.relation("member").select(F.col("owner"), F.col("key").alias("member"), F.col("name").alias("member_name"), F.col("res").alias("what"), F.col("alt").alias("owner_name"), F.col("attrs").alias("m"), "path", "line", "col", "start", "ord")
+        return written(hierarchy.ancestors(self.edges.select("child", "parent", "ord"), nodes))
+
+    @cached_property
+    def known(self) -> DataFrame:
+        """Classes of which every ancestor is declared."""
+        declared = self.classes.select(F.col("key").alias("node")).union(self.anonymous.select("child"))
+        return written(hierarchy.fully_known(self.closure, declared).where("known").select("node"))
+
+    @cached_property
+    def open(self) -> DataFrame:
+        """Classes below a builtin, whose members are in no table."""
+        given = self.classes.where("origin = 'builtin'").select(F.col("key").alias("ancestor"))
+        return written(self.closure.join(given, "ancestor", "left_semi").select("node").distinct())
+
+    @property
+    def members(self) -> DataFrame:
+        return self.relation("member").select(F.col("owner"), F.col("key").alias("member"), F.col("name").alias("member_name"), F.col("res").alias("what"), F.col("alt").alias("owner_name"), F.col("attrs").alias("m"), "path", "line", "col", "start", "ord")
 
     def relation(self, rel: str) -> DataFrame:
         return self.rows.where(F.col("rel") == rel)
