@@ -40,7 +40,7 @@ MAX_PER_CLASS = 6000
 BEGINNINGS = (4, 5, 6)
 #: Sum of the prior's counts, as a share of the sample's.
 PRIOR = 0.05
-MIN_Z = 3.0
+MIN_Z = 4.0
 MIN_ODDS = 1.0
 #: Cost of a word that is no token of the lexicon.
 COST = 0.1
