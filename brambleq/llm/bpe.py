@@ -35,7 +35,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Characters that every Unicode version classes alike.
 _SETTLED = regex.compile(r"[\x00-ɀ‐-‧‰-⁞€]*")
 #: Words that a task's table holds before it is started anew.
-TABLE_WORDS = 400_000
+TABLE_WORDS = 150_000
 #: Characters of text that are worked at once.
 CHUNK_CHARS = 1 << 20
 
@@ -82,7 +82,6 @@ class Codec:
 
     def reset(self) -> None:
         self.index: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
         self.flat = np.zeros(0, dtype=np.uint32)
         self.size = np.zeros(0, dtype=np.int64)
 
@@ -137,23 +136,55 @@ def _gather(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(total)
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], codec: Codec, k: int, out: str) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for s, e in _slices(b.column(k)):
+            part = b.slice(s, e - s)
+            ids = codec.encode([t or "" for t in part.column(k).to_pylist()])
+            offsets = np.concatenate(([0], np.cumsum([x.size for x in ids]))).astype(np.int32)
+            flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=[*b.schema.names, out])
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], codec: Codec, k: int, out: str) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for s, e in _slices(b.column(k)):
+            part = b.slice(s, e - s)
+            col = part.column(k)
+            flat, offsets = col.values.to_numpy(zero_copy_only=False), col.offsets.to_numpy()
+            texts = [codec.decode(flat[offsets[i] : offsets[i + 1]]) if ok else None for i, ok in enumerate(col.is_valid().to_pylist())]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*b.schema.names, out])
+
+
 def encode(docs: DataFrame, path: str | None = None, out: str = "ids") -> DataFrame:
     """``docs`` plus ``out``: the ids of ``text`` as an array of int."""
     path = path or default_path()
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
     k = docs.columns.index("text")
+    return docs.mapInArrow(lambda batches: _encoded(batches, Codec(path), k, out), schema)
+
+
+def decode(docs: DataFrame, path: str | None = None, ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """``docs`` plus ``out``: the text of the ids."""
+    path = path or default_path()
+    schema = T.StructType([*docs.schema.fields, T.StructField(out, T.StringType())])
+    k = docs.columns.index(ids)
+    return docs.mapInArrow(lambda batches: _decoded(batches, Codec(path), k, out), schema)
+
+
+def round_trip(docs: DataFrame, path: str | None = None, ids: str = "ids", out: str = "decoded", then=None, schema=None) -> DataFrame:
+    """``encode`` and ``decode`` in one worker, so one process a task holds one table;
+    ``then`` (with its ``schema``) maps the batches on in the same worker."""
+    path = path or default_path()
+    k, end = docs.columns.index("text"), len(docs.columns)
+    both = T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(out, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(path)
-        for b in batches:
-            for s, e in _slices(b.column(k)):
-                part = b.slice(s, e - s)
-                ids = codec.encode([t or "" for t in part.column(k).to_pylist()])
-                offsets = np.concatenate(([0], np.cumsum([x.size for x in ids]))).astype(np.int32)
-                flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=[*b.schema.names, out])
+        coded = _decoded(_encoded(batches, codec, k, ids), codec, end, out)
+        return then(coded) if then else coded
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema or both)
 
 
 def _slices(column: pa.Array) -> Iterator[tuple[int, int]]:
@@ -171,37 +202,19 @@ def _slices(column: pa.Array) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
-def decode(docs: DataFrame, path: str | None = None, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """``docs`` plus ``out``: the text of the ids."""
-    path = path or default_path()
-    schema = T.StructType([*docs.schema.fields, T.StructField(out, T.StringType())])
-    k = docs.columns.index(ids)
+_DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path)
-        for b in batches:
-            for s, e in _slices(b.column(k)):
-                part = b.slice(s, e - s)
-                col = part.column(k)
-                flat, offsets = col.values.to_numpy(zero_copy_only=False), col.offsets.to_numpy()
-                texts = [codec.decode(flat[offsets[i] : offsets[i + 1]]) if ok else None for i, ok in enumerate(col.is_valid().to_pylist())]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*b.schema.names, out])
 
-    return docs.mapInArrow(run, schema)
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        names = b.schema.names
+        col = b.column(names.index("ids"))
+        flat, offsets = col.values.to_numpy(zero_copy_only=False).astype("<u4"), col.offsets.to_numpy()
+        cuts = list(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True))
+        ids = [hashlib.sha256(flat[s:e].tobytes()).hexdigest() for s, e in cuts]
+        text = [hashlib.sha256(t.encode()).hexdigest() for t in b.column(names.index("decoded")).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(names.index("doc_id")), pa.array([e - s for s, e in cuts], pa.int64()), pa.array(ids), pa.array(text)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "ids")))
-
-
-def digests(coded: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            col = b.column(1)
-            flat, offsets = col.values.to_numpy(zero_copy_only=False).astype("<u4"), col.offsets.to_numpy()
-            cuts = list(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True))
-            ids = [hashlib.sha256(flat[s:e].tobytes()).hexdigest() for s, e in cuts]
-            text = [hashlib.sha256(t.encode()).hexdigest() for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([e - s for s, e in cuts], pa.int64()), pa.array(ids), pa.array(text)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return coded.select("doc_id", "ids", "decoded").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), then=_digests, schema=_DIGESTS)

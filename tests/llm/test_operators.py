@@ -127,7 +127,7 @@ def test_toxicity_learns_and_spares(spark):
         y = int(i % 5 == 0)
         if y:
             for _ in range(5):
-                ws.insert(r.randrange(60), r.choice(["vilest", "vilely", "hateful"]))
+                ws.insert(r.randrange(60), r.choice(["vilest", "vilely", "hateful", "hatefully", "vileness"]))
         rows.append((i, " ".join(ws), "en", "s"))
         labels.append((i, y))
     labels += [(0, None), (None, 1), (5, 0), (9999, 1)]
@@ -219,8 +219,10 @@ def test_byte_pair_round_trip(spark, corpus):
     for r in out:
         ids = t.encode(r["text"] or "", add_special_tokens=False).ids
         assert r["ids"] == ids and r["decoded"] == t.decode(ids, skip_special_tokens=False) == (r["text"] or "")
-    d = bpe.digests(spark.createDataFrame([(1, [5, 70], "a")], "doc_id long, ids array<int>, decoded string")).first()
-    assert d["ids_sha256"] == hashlib.sha256(np.array([5, 70], "<u4").tobytes()).hexdigest()
+    both = bpe.round_trip(make(spark, rows))
+    assert by_row(both.select("doc_id", "ids", "decoded")) == sorted(((r["doc_id"], r["ids"], r["decoded"]) for r in out), key=lambda t: tuple((x is None, str(x)) for x in t))
+    d = bpe.round_trip(make(spark, [(1, "ab c", None, None)]), then=bpe._digests, schema=bpe._DIGESTS).first()
+    assert d["ids_sha256"] == hashlib.sha256(np.array(t.encode("ab c").ids, "<u4").tobytes()).hexdigest() and d["n_tokens"] == 2
     assert bpe.decode(bpe.encode(make(spark, []))).count() == 0
 
 
