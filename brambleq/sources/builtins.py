@@ -3,6 +3,7 @@ say a function does not exist are made only when a caller says the table is."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Class-like symbols (kind, name, parents in order).
@@ -28,4 +29,7 @@ def manifest(php: int) -> str:
 def declarations(spark: SparkSession) -> DataFrame:
     """(``kind``, ``key``, ``fqn``, ``what``, ``parents``) of the table above."""
     rows = [("class", n.lower(), n, k, list(p)) for k, n, p in CLASSES] + [("function", n, n, None, []) for n in FUNCTIONS] + [("constant", n, n, None, []) for n in CONSTANTS]
-    return spark.createDataFrame(rows, "kind string, key string, fqn string, what string, parents array<string>")
+    columns = list(zip(*rows, strict=True))
+    kinds = [pa.string()] * 4 + [pa.list_(pa.string())]
+    # from Arrow, the rows are a local relation of the plan and need no worker
+    return spark.createDataFrame(pa.table({n: pa.array(c, k) for n, c, k in zip(("kind", "key", "fqn", "what", "parents"), columns, kinds, strict=True)}))
