@@ -9,6 +9,7 @@ folder once, so every later pass sees the same blocks whatever is lost.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brambleq.llm._common import materialise, shuffle_partitions
+from brambleq.llm._common import shuffle_partitions, work_dir
 
 #: Bytes of text after which a block is closed (one longer text is a block of its own).
 BLOCK_BYTES = 4 << 20
@@ -28,7 +29,7 @@ BLOCKS = "block long, n_docs long, n_bytes long, docs binary"
 
 def pack_table(t: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+    with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as w:
         w.write_table(t)
     return sink.getvalue().to_pybytes()
 
@@ -89,7 +90,20 @@ def make_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
     import pyarrow.compute  # noqa: F401
 
-    return materialise(docs.mapInArrow(pack, BLOCKS), **{"compression": "none", "parquet.block.size": str(32 << 20)})
+    return _bucketed(docs.mapInArrow(pack, BLOCKS))
+
+
+def _bucketed(blocks: DataFrame) -> DataFrame:
+    """Written to the shared folder in buckets by block, so that what comes back for
+    the blocks joins them where they lie: the documents are never shuffled.  The
+    table's name goes at once; its files stay, and the plan knows them."""
+    spark = blocks.sparkSession
+    name = f"brambleq_{uuid.uuid4().hex}"
+    options = {"path": work_dir(spark), "compression": "none", "parquet.block.size": str(32 << 20)}
+    blocks.write.format("parquet").options(**options).bucketBy(shuffle_partitions(spark), "block").saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return out
 
 
 def bucket_count(blocks: DataFrame) -> int:
