@@ -188,16 +188,25 @@ COUNT = "__hit_words"
 def match(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_item_words: int = MAX_ITEM_WORDS) -> DataFrame:
     """``docs`` plus ``__hit_words`` (number of words), ``__hit_spans`` (merged spans of
     hit word positions) and ``__hit_items`` (ids of the items that occur, sorted)."""
+    return _match(docs, items, window, max_item_words, False)
+
+
+def _match(docs: DataFrame, items: DataFrame, window: int, max_item_words: int, cut: bool) -> DataFrame:
+    """``cut``: the pass of the last load also cuts the hit spans from the text."""
     spark = docs.sparkSession
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
     out = docs.withColumn(COUNT, F.lit(None).cast("long")).withColumn(HIT, F.lit(None).cast(span)).withColumn(ITEMS, F.lit(None).cast("array<string>"))
     schema = out.schema
-    for a in automata(items, window, max_item_words):
-        out = out.mapInArrow(_pass(spark.sparkContext.broadcast(a)), schema)
+    loads = automata(items, window, max_item_words)
+    now = next(loads)
+    while now is not None:
+        after = next(loads, None)
+        out = out.mapInArrow(_pass(spark.sparkContext.broadcast(now), cut and after is None), schema)
+        now = after
     return out
 
 
-def _pass(shared):
+def _pass(shared, cut: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = shared.value
         for b in batches:
@@ -213,6 +222,13 @@ def _pass(shared):
                 spans.append([{"start": s, "end": e} for s, e in got])
                 items.append(sorted(ids | set(old_items or ())))
             columns = list(b.columns)
+            if cut:
+                k = names.index("text")
+                texts = columns[k].to_pylist()
+                for i, found in enumerate(spans):
+                    if found:
+                        texts[i] = cut_spans(texts[i].encode("utf-8"), [(x["start"], x["end"]) for x in found]).decode("utf-8")
+                columns[k] = pa.array(texts, b.schema.field(k).type)
             for name, values in ((COUNT, n_words), (HIT, spans), (ITEMS, items)):
                 k = names.index(name)
                 columns[k] = pa.array(values, b.schema.field(k).type)
@@ -225,24 +241,9 @@ def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_coverage:
     """``docs`` without contamination, columns unchanged: hit spans are cut from the
     text (with what separates their words), documents whose share of hit words
     exceeds ``max_coverage`` are dropped, and ``n_chars`` follows where present."""
-    found = match(docs, items, window, max_item_words)
+    found = _match(docs, items, window, max_item_words, True)
     hit = F.aggregate(HIT, F.lit(0), lambda acc, s: acc + s["end"] - s["start"])
-    kept = found.where(hit <= F.col(COUNT) * F.lit(max_coverage))
-    schema = found.schema
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            names = b.schema.names
-            k = names.index("text")
-            texts = b.column(k).to_pylist()
-            for i, spans in enumerate(b.column(names.index(HIT)).to_pylist()):
-                if spans:
-                    texts[i] = cut_spans(texts[i].encode("utf-8"), [(s["start"], s["end"]) for s in spans]).decode("utf-8")
-            columns = list(b.columns)
-            columns[k] = pa.array(texts, b.schema.field(k).type)
-            yield pa.RecordBatch.from_arrays(columns, schema=b.schema)
-
-    out = kept.mapInArrow(cut, schema)
+    out = found.where(hit <= F.col(COUNT) * F.lit(max_coverage))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size(HIT) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
