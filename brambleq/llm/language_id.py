@@ -41,7 +41,7 @@ EPOCHS = 6
 MIN_SCORE = 0.4
 UNDETERMINED = "und"
 _LETTER = regex.compile(r"\p{L}")
-_BATCH = 2048
+_BATCH = 512
 # A-Z to a-z, digits to one digit, white space to a blank: no language differs in these.
 _FOLD = np.array([c + 32 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else 32 if c < 32 else c for c in range(256)], dtype=np.uint8)
 
@@ -210,7 +210,7 @@ def predict(docs: DataFrame, network: Network | None, text: str = "text") -> Dat
                     held.append(windows(t.encode()))
                     marks.append(i)
                     size += len(held[-1])
-                    if size > 4 * _BATCH:
+                    if size > 8 * _BATCH:
                         flush()
                         size = 0
             flush()
