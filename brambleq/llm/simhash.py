@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brambleq.llm import near_copies
 from brambleq.llm._common import materialise, shuffle_partitions, table, text_bytes
 from brambleq.llm._graph import components
 
@@ -47,18 +48,24 @@ BUCKET_ENTRIES = 2_000_000
 _TILE = 1024
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+def shingles(text: bytes, shingle: int) -> np.ndarray:
+    """Hashes of the runs of ``shingle`` words, in order; fewer words are one run."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     joined = b" ".join(words)
+    digest = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(joined, SEED) if len(words) else 0
+        return np.array([digest(joined, SEED)], dtype=np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = len(words) - shingle + 1
-    digest = xxhash.xxh64_intdigest
-    h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[shingle - 1 :].tolist(), strict=True)], dtype=np.uint64)
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[shingle - 1 :].tolist(), strict=True)], dtype=np.uint64)
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    h = shingles(text, shingle)
+    n = h.size
     ones = np.zeros(64, dtype=np.int64)
     for i in range(0, n, 1 << 16):
         part = np.unpackbits(h[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -195,9 +202,12 @@ def cluster(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """``docs`` with one document of each group: the one with the smallest id, the
-    first by text among equal ids; rows with a null id stay.  Columns unchanged."""
-    marked = cluster(docs, shingle).where("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("doc_id") != F.col("component_id")).alias("__copy"))
+    """``docs`` with one document of each group that Jaccard similarity of at least 4/5
+    links (not the bits of fingerprints): the one with the smallest id, the first by
+    text among equal ids; rows with a null id stay.  Columns unchanged."""
+    rows = materialise(near_copies.group(docs, shingle))
+    names = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    marked = rows.join(names, "root").where("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("doc_id") != F.col("component_id")).alias("__copy"))
     gone = marked.where("__copy").select(F.col("doc_id").alias("__gone"))
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
 

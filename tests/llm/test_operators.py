@@ -270,6 +270,41 @@ def test_simhash(spark, corpus):
     assert simhash.cluster(make(spark, [])).count() == 0
 
 
+def brute_groups(texts):
+    sets = []
+    for t in texts:
+        ws = (t or "").lower().split()
+        sets.append({tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))} if ws else set())
+    up = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b):
+                old, new = up[i], up[j]
+                up = [new if x == old else x for x in up]
+    return up
+
+
+def test_near_copies_by_jaccard(spark):
+    r = random.Random(11)
+    texts = []
+    for _ in range(12):  # similarities from 0.6 to 0.97, many of them of 0.8 to 0.95
+        ws = [f"v{r.randint(0, 10**6)}" for _ in range(r.randint(60, 300))]
+        texts.append(" ".join(ws))
+        for _ in range(3):
+            copy = list(ws)
+            for _ in range(r.randint(1, max(1, len(ws) // 40))):
+                copy[r.randrange(len(ws))] = f"z{r.randint(0, 10**6)}"
+            texts.append(" ".join(copy))
+    # few shingles, so postings of many unlike texts take several rounds
+    texts += [" ".join(r.choice("ab") for _ in range(r.randint(6, 40))) for _ in range(60)]
+    texts += ["", "one two", "One  two", "one two three"]
+    up = brute_groups(texts)
+    want = {i for i in range(len(texts)) if up[i] not in up[:i]}
+    assert 12 <= sum(i < 48 for i in want) < 40
+    kept = simhash.deduplicate(make(spark, [(i, t, None, "s") for i, t in enumerate(texts)]))
+    assert {x["doc_id"] for x in kept.collect()} == want
+
+
 def test_postings_lose_no_link():
     r = np.random.default_rng(0)
     near = r.integers(0, 2**63, 200, dtype=np.uint64)
