@@ -8,8 +8,10 @@ coordinate of the first occurrence anywhere: the occurrence in the document with
 the smallest id.  Joined back to their blocks, repeated edges whose source
 coordinates follow one another compact into one nonbranching path, and each
 distinct path is verified word by word, by a digest, at its source coordinate.
-Should two different k-mers share a key, verification tells, and the work is done
-again under another seed.
+A key is 56 bits that deal and sort the edges and a lane of further bits, from
+another hash of the words, whose width grows with the bytes of the corpus, so that
+no two different k-mers are expected to share both.  Should they, verification
+tells, and the work is done again under another seed.
 
 A block sends one entry per distinct edge, so an edge that a third of all
 documents share costs an entry per block, not per document.
@@ -35,8 +37,11 @@ from brambleq.llm._blocks import bucket_count, make_blocks, pack_ints, unpack_in
 from brambleq.llm._common import materialise, table, text_bytes
 
 K = 13
-#: Bits of an edge's key; path verification and another seed settle collisions.
+#: Bits of an edge's key that deal and sort; the lane beside them tells different edges apart.
 KEY_BITS = 56
+#: Least bytes of the lane, and powers of two by which expected collisions stay below one.
+LANE_BYTES = 4
+SPARE_BITS = 20
 SEEDS = (1, 2, 3, 4)
 _MEMO_WORDS = 1 << 17
 
@@ -53,10 +58,27 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def lane_bytes(n_bytes: int, key_bits: int = KEY_BITS) -> int:
+    """Bytes of the lane for a corpus of so many bytes: n_bytes / 2 words at most give
+    under n_bytes**2 / 8 pairs of edges, and 2**-SPARE_BITS of a collision among them."""
+    pairs = max(1, n_bytes * n_bytes // 8)
+    return min(8, max(LANE_BYTES, -(-(pairs.bit_length() + SPARE_BITS - key_bits) // 8)))
+
+
+def _apart(keys: np.ndarray, lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A stable order by key and lane, and where in that order an edge differs from the one before."""
+    order = np.argsort(keys, kind="stable")
+    k, x = keys[order], lanes[order]
+    if ((k[1:] == k[:-1]) & (x[1:] != x[:-1])).any():
+        order = np.lexsort((lanes, keys))
+        k, x = keys[order], lanes[order]
+    return order, np.concatenate(([True], (k[1:] != k[:-1]) | (x[1:] != x[:-1]))) if k.size else np.zeros(0, bool)
+
+
 class Block:
     """A block's documents as words, and the keys of their k-mers."""
 
-    def __init__(self, packed: bytes, k: int, seed: int, memo: dict[bytes, int]) -> None:
+    def __init__(self, packed: bytes, k: int, seed: int, memo: dict[bytes, bytes], width: int, key_bits: int = KEY_BITS) -> None:
         t = unpack_table(packed)
         ids = t.column("doc_id").combine_chunks()
         ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
@@ -68,38 +90,52 @@ class Block:
         self.words = [texts[i].split() for i in order]
         if len(memo) > _MEMO_WORDS:
             memo.clear()
-        hashed = xxhash.xxh3_64_intdigest
-        codes: list[int] = []
+        hashed = xxhash.xxh3_128_digest
+        codes: list[bytes] = []
         for words in self.words:
             for w in words:
                 h = memo.get(w)
                 if h is None:
                     h = memo[w] = hashed(w, seed)
                 codes.append(h)
-        w = np.array(codes, dtype=np.uint64)
+        pairs = np.frombuffer(b"".join(codes), dtype=np.uint64).reshape(-1, 2)
+        w, w2 = np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1])
+        del codes, pairs
         lengths = np.array([len(x) for x in self.words], dtype=np.int64)
         self.lengths, self.starts = lengths, np.concatenate(([0], np.cumsum(lengths)))[:-1]
         doc = np.repeat(np.arange(lengths.size), lengths)
         pos = np.arange(w.size) - self.starts[doc] if w.size else np.zeros(0, np.int64)
         keep = pos + k <= lengths[doc] if w.size else np.zeros(0, bool)
         keep &= ~self.null[doc] if w.size else keep
-        h = np.zeros(max(0, w.size - k + 1), dtype=np.uint64)
-        base = np.uint64(0x9E3779B97F4A7C15)
-        for j in range(k if h.size else 0):
-            h = h * base + w[j : j + h.size]
         at = np.flatnonzero(keep)
         self.doc, self.pos = doc[at], pos[at]
-        keys = _mix(h[at]) >> np.uint64(64 - KEY_BITS) if at.size else np.zeros(0, np.uint64)
-        #: Distinct keys, ascending; of each the first occurrence (documents are by id).
-        self.keys, self.first, self.key_of = np.unique(keys, return_index=True, return_inverse=True)
+        keys = _rolled(w, k, 0x9E3779B97F4A7C15)[at] >> np.uint64(64 - key_bits)
+        lanes = _rolled(w2, k, 0xC2B2AE3D27D4EB4F)[at] >> np.uint64(64 - 8 * width)
+        if width <= 4:
+            lanes = lanes.astype(np.uint32)
+        #: Distinct edges by key and lane, ascending; of each the first occurrence (documents are by id).
+        order, new = _apart(keys, lanes)
+        self.first = order[new]
+        self.keys, self.lanes = keys[self.first], lanes[self.first]
+        self.key_of = np.empty(at.size, dtype=np.int64)
+        self.key_of[order] = np.cumsum(new) - 1
+        self.key_bits = key_bits
 
     def cuts(self, buckets: int) -> np.ndarray:
         """Where each bucket's keys begin among the distinct keys, and the end."""
-        return np.searchsorted(self.keys, _bounds(buckets))
+        return np.searchsorted(self.keys, _bounds(buckets, self.key_bits))
+
+
+def _rolled(w: np.ndarray, k: int, base: int) -> np.ndarray:
+    """A hash of each k words in succession."""
+    h = np.zeros(max(0, w.size - k + 1), dtype=np.uint64)
+    for j in range(k if h.size else 0):
+        h = h * np.uint64(base) + w[j : j + h.size]
+    return _mix(h)
 
 
-def _bounds(buckets: int) -> np.ndarray:
-    return np.array([(b << KEY_BITS) // buckets for b in range(buckets)] + [1 << KEY_BITS], dtype=np.uint64)
+def _bounds(buckets: int, key_bits: int = KEY_BITS) -> np.ndarray:
+    return np.array([(b << key_bits) // buckets for b in range(buckets)] + [1 << key_bits], dtype=np.uint64)
 
 
 def _frame(*parts: bytes) -> bytes:
@@ -123,13 +159,13 @@ def _unzigzag(a: np.ndarray) -> np.ndarray:
     return (a >> np.uint64(1)).view(np.int64) ^ -(a & np.uint64(1)).view(np.int64)
 
 
-def _send(k: int, seed: int, buckets: int):
+def _send(k: int, seed: int, buckets: int, width: int, key_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[bytes, int] = {}
+        memo: dict[bytes, bytes] = {}
         for batch in batches:
             for block, packed in zip(batch.column("block").to_pylist(), batch.column("docs").to_pylist(), strict=True):
-                b = Block(packed, k, seed, memo)
-                cuts, bounds = b.cuts(buckets), _bounds(buckets)
+                b = Block(packed, k, seed, memo, width, key_bits)
+                cuts, bounds = b.cuts(buckets), _bounds(buckets, key_bits)
                 ids, pos = b.ids[b.doc[b.first]] if b.keys.size else b.ids[:0], b.pos[b.first]
                 low = ids.min() if ids.size else 0
                 rows: list[tuple[int, int, int, bytes]] = []
@@ -138,7 +174,7 @@ def _send(k: int, seed: int, buckets: int):
                     steps = np.diff(b.keys[s:e], prepend=bounds[i])
                     # subtracted modulo 2**64, so that ids of any spread fit
                     away = (ids[s:e].view(np.uint64) - np.int64(low).view(np.uint64)) if ids.size else ids
-                    rows.append((i, block, int(e - s), _frame(pack_ints(steps), np.int64(low).tobytes(), pack_ints(away), pack_ints(pos[s:e]))))
+                    rows.append((i, block, int(e - s), _frame(pack_ints(steps), pack_ints(b.lanes[s:e]), np.int64(low).tobytes(), pack_ints(away), pack_ints(pos[s:e]))))
                 if rows:
                     x, y, n, z = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32()), pa.array(y, pa.int64()), pa.array(n, pa.int64()), pa.array(z, pa.binary())], names=["bucket", "block", "n", "edges"])
@@ -146,28 +182,29 @@ def _send(k: int, seed: int, buckets: int):
     return run
 
 
-def _answer(buckets: int):
+def _answer(buckets: int, width: int, key_bits: int):
     """Of one bucket: for each block the entries whose first occurrence anywhere is in a smaller document."""
 
     def run(t: pa.Table) -> pa.Table:
         bucket = t.column("bucket")[0].as_py()
-        base = _bounds(buckets)[bucket]
+        base = _bounds(buckets, key_bits)[bucket]
         blocks, sizes = t.column("block").to_pylist(), t.column("n").to_pylist()
-        keys, ids, pos = [], [], []
+        keys, lanes, ids, pos = [], [], [], []
         for x in t.column("edges").to_pylist():
-            steps, low, away, p = _unframe(x, 4)
+            steps, lane, low, away, p = _unframe(x, 5)
             keys.append(np.cumsum(unpack_ints(steps)) + base)
+            lanes.append(unpack_ints(lane).astype(np.uint32 if width <= 4 else np.uint64))
             ids.append((unpack_ints(away) + np.frombuffer(low, np.uint64)).view(np.int64))
             pos.append(unpack_ints(p).astype(np.uint32))
-        key, idd, ps = np.concatenate(keys), np.concatenate(ids), np.concatenate(pos)
+        key, lane, idd, ps = np.concatenate(keys), np.concatenate(lanes), np.concatenate(ids), np.concatenate(pos)
+        del keys, lanes, ids, pos
         owner, entry = np.repeat(np.arange(len(blocks)), sizes), np.concatenate([np.arange(n) for n in sizes])
-        order = np.argsort(key, kind="stable")
-        same = key[order][1:] == key[order][:-1]
-        inside = np.concatenate((same, [False])) | np.concatenate(([False], same))
+        order, new = _apart(key, lane)
+        inside = ~new | np.concatenate((~new[1:], [False]))
         order = order[inside]
-        order = order[np.lexsort((ps[order], idd[order], key[order]))]
-        k = key[order]
-        lead = np.concatenate(([True], k[1:] != k[:-1])) if k.size else np.zeros(0, bool)
+        order = order[np.lexsort((ps[order], idd[order], lane[order], key[order]))]
+        k, x = key[order], lane[order]
+        lead = np.concatenate(([True], (k[1:] != k[:-1]) | (x[1:] != x[:-1]))) if k.size else np.zeros(0, bool)
         source = order[np.flatnonzero(lead)][np.cumsum(lead) - 1] if k.size else order
         later = idd[source] < idd[order]
         order, source = order[later], source[later]
@@ -192,14 +229,14 @@ def _digest(words: list[bytes]) -> str:
     return xxhash.xxh3_128_hexdigest(b" ".join(words))
 
 
-def _compact(k: int, seed: int, buckets: int, keep_text: bool):
+def _compact(k: int, seed: int, buckets: int, keep_text: bool, width: int, key_bits: int):
     """Of one block: paths of repeated edges, and the documents without the words they cover."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("kept_sha256", pa.string()), ("paths", pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("src_doc", pa.int64()), ("src_pos", pa.int32())]))), ("src_block", pa.int64()), ("src_doc", pa.int64()), ("src_pos", pa.int32()), ("length", pa.int32()), ("digest", pa.string())])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[dict] = []
         for packed, own in zip(left.column("docs").to_pylist(), left.column("block").to_pylist(), strict=True):
-            b = Block(packed, k, seed, {})
+            b = Block(packed, k, seed, {}, width, key_bits)
             cuts = b.cuts(buckets)
             first = b.first
             src_doc, src_pos = b.ids[b.doc[first]] if first.size else b.ids[:0], b.pos[first].copy()
@@ -252,20 +289,21 @@ def _verify(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table({"src_doc": pa.array(bad, pa.int64())})
 
 
-def remove_repeats(docs: DataFrame, k: int = K, keep_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, k: int = K, keep_text: bool = True, key_bits: int = KEY_BITS) -> DataFrame:
     """Per row of ``docs`` (``doc_id``, ``text``): ``doc_id``, ``n_words``, ``n_removed``,
     ``kept`` (kept words joined by a space; null unless ``keep_text``), ``kept_sha256`` and
     ``paths`` (verified repeated spans in words, with their source coordinates)."""
     blocks = make_blocks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     buckets = bucket_count(blocks)
+    width = lane_bytes(blocks.agg(F.sum("n_bytes")).first()[0] or 0, key_bits)
     for seed in SEEDS:
-        found = blocks.select("block", "docs").mapInArrow(_send(k, seed, buckets), _EDGES).groupBy("bucket").applyInArrow(_answer(buckets), _FOUND)
-        out = materialise(blocks.select("block", "docs").groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_compact(k, seed, buckets, keep_text), _OUT))
+        found = blocks.select("block", "docs").mapInArrow(_send(k, seed, buckets, width, key_bits), _EDGES).groupBy("bucket").applyInArrow(_answer(buckets, width, key_bits), _FOUND)
+        out = materialise(blocks.select("block", "docs").groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_compact(k, seed, buckets, keep_text, width, key_bits), _OUT))
         paths = out.where("src_block is not null").select("src_block", "src_doc", "src_pos", "length", "digest").distinct()
         failed = blocks.select("block", "docs").groupBy("block").cogroup(paths.groupBy("src_block")).applyInArrow(_verify, "src_doc long")
         if failed.isEmpty():
             return out.where("src_block is null").select("doc_id", "n_words", "n_removed", "kept", "kept_sha256", "paths")
-    raise RuntimeError(f"different spans shared a {KEY_BITS}-bit key under each of {len(SEEDS)} seeds")
+    raise RuntimeError(f"different spans shared a {key_bits + 8 * width}-bit key under each of {len(SEEDS)} seeds")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

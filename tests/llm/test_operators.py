@@ -90,6 +90,17 @@ def test_substring_dedup(spark, corpus):
     assert substring_dedup.remove_repeats(make(spark, []).repartition(2)).count() == 0
 
 
+def test_substring_dedup_where_keys_collide(spark, corpus):
+    docs = make(spark, corpus)
+    columns = ("doc_id", "n_words", "n_removed", "kept_sha256")
+    # a hundred and more different k-mers to each of 64 keys: the lane tells them apart under the first seed
+    got = substring_dedup.remove_repeats(docs, key_bits=6).select(*columns)
+    assert by_row(got) == by_row(substring_dedup.remove_repeats(docs).select(*columns))
+    for size in (10**8, 3 * 10**10, 10**14):
+        bits = substring_dedup.KEY_BITS + 8 * substring_dedup.lane_bytes(size)
+        assert (size / 2) ** 2 / 2 / 2**bits < 1e-6
+
+
 def test_packed_integers():
     from brambleq.llm._blocks import pack_ints, unpack_ints
 
