@@ -202,14 +202,20 @@ def cluster(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """``docs`` with one document of each group that Jaccard similarity of at least 4/5
-    links (not the bits of fingerprints): the one with the smallest id, the first by
-    text among equal ids; rows with a null id stay.  Columns unchanged."""
-    rows = materialise(near_copies.group(docs, shingle))
-    names = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    marked = rows.join(names, "root").where("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("doc_id") != F.col("component_id")).alias("__copy"))
-    gone = marked.where("__copy").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    """``docs`` with one row of each group that Jaccard similarity of at least 4/5 links
+    (not the bits of fingerprints): the one with the smallest id, the first by hash of
+    its text among equal ids, one of equal rows; rows with a null id stay.  Columns unchanged."""
+    row = ["doc_id", "__hash", "__bytes"]
+    keyed = docs.withColumns({"__hash": F.xxhash64("text"), "__bytes": F.coalesce(F.octet_length("text"), F.lit(-1))})
+    rows = materialise(near_copies.group(keyed.select(*row, "text"), shingle).where("doc_id is not null"))
+    best = rows.groupBy("root").agg(F.min(F.struct(*row)).alias("best"))
+    keys = materialise(rows.groupBy("root", *row).agg(F.count("*").alias("times")).join(best, "root").select(*row, (F.struct(*row) != F.col("best")).alias("copy"), "times"))
+    out = keyed.join(keys.where("copy or times > 1").select(*row), row, "left_anti")
+    again = keys.where("not copy and times > 1").select(*row)
+    if not again.isEmpty():  # of rows with equal id and text, one
+        one = keyed.join(again, row, "left_semi").groupBy(*row).agg(F.first(F.struct(*docs.columns)).alias("one"))
+        out = out.select(*docs.columns).unionByName(one.select("one.*"))
+    return out.select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -316,6 +316,13 @@ def test_near_copies_by_jaccard(spark):
     assert {x["doc_id"] for x in kept.collect()} == want
 
 
+def test_near_copies_under_one_id(spark):
+    one, two, three = (" ".join(f"{x}{i}" for i in range(30)) for x in "pqr")
+    rows = [(1, one), (5, one), (5, two), (6, two), (7, three), (7, three), (7, three), (None, three), (None, three)]
+    kept = simhash.deduplicate(make(spark, [(i, t, None, "s") for i, t in rows]))
+    assert sorted((x["doc_id"] or 0, x["text"], x["__extra"]) for x in kept.collect()) == sorted([(1, one, "x"), (5, two, "x"), (7, three, "x"), (0, three, "x"), (0, three, "x")])
+
+
 def test_postings_lose_no_link():
     r = np.random.default_rng(0)
     near = r.integers(0, 2**63, 200, dtype=np.uint64)
