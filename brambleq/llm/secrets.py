@@ -43,7 +43,7 @@ _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 ALLOWED = (
     re.compile(r"[0-9_-]+"),
     re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"),
-    re.compile(r"\d{4}-\d{2}-\d{2}.*"),
+    re.compile(r"\d{4}-\d{2}-\d{2}(?:[T_-][0-9-]+Z?)?"),
     re.compile(r"[A-Z]?[a-z]+(?:[-_/][A-Z]?[a-z]+)*[-_/=]*|[A-Z]+(?:[-_/][A-Z]+)*"),
     re.compile(r"(.{1,4})\1{4,}.{0,4}"),
 )

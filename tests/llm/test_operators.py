@@ -295,6 +295,13 @@ def brute_groups(texts):
     return up
 
 
+def test_dates_do_not_hide_secrets():
+    secret = "aB3xK9mQ7zR2tW5yP8cV1nL4jH6gF0dSuEiOoXbT"
+    for join in "-_/":
+        assert any(a <= 30 <= b for a, b in secrets.entropy_spans(f"at 2024-05-01{join}{secret} end"))
+    assert secrets.entropy_spans("2024-05-01T12-30-59-123456 2024-05-01_12-30-59-123456") == []
+
+
 def test_near_copies_by_jaccard(spark):
     r = random.Random(11)
     texts = []
