@@ -91,7 +91,17 @@ def gen_undefined_variable(t):
 @query(f"""SELECT path, line, 'array.duplicateKey' AS identifier, 'Array has 2 duplicate keys with value ' || a || ' (' || a || ', ''' || a || ''').' AS message FROM (
   SELECT 'a/' || l_orderkey % 25 || '.php' AS path, ({_LINED.format(p="l_orderkey % 25", o="l_orderkey, l_linenumber, l_partkey, l_suppkey")})::INT AS line, l_suppkey % 3 AS a, l_partkey % 3 AS b FROM lineitem WHERE l_partkey % 10 = 0) WHERE a = b""")
 def gen_duplicate_key(t):
-    li = t("lineitem").where("l_partkey % 10 = 0")
+    return _duplicate_key(t("lineitem").where("l_partkey % 10 = 0"))
+
+
+@query(f"""SELECT path, line, 'array.duplicateKey' AS identifier, 'Array has 2 duplicate keys with value ' || a || ' (' || a || ', ''' || a || ''').' AS message FROM (
+  SELECT 'a/' || l_orderkey % 25 || '.php' AS path, ({_LINED.format(p="l_orderkey % 25", o="l_orderkey, l_linenumber, l_partkey, l_suppkey")})::INT AS line, l_suppkey % 3 AS a, l_partkey % 3 AS b FROM lineitem) WHERE a = b""")
+def gen_duplicate_key_whole(t):
+    """The same rule over every row of lineitem."""
+    return _duplicate_key(t("lineitem"))
+
+
+def _duplicate_key(li: DataFrame) -> DataFrame:
     line = F.concat(F.lit("$a = ["), (F.col("l_suppkey") % 3).cast("string"), F.lit(" => 1, '"), (F.col("l_partkey") % 3).cast("string"), F.lit("' => 2, 'k' => 3];"))
     files = program(li, F.concat(F.lit("a/"), (F.col("l_orderkey") % 25).cast("string"), F.lit(".php")), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], line)
     return _local(Run(files, Options(level=0)), "array.duplicateKey")
@@ -100,8 +110,19 @@ def gen_duplicate_key(t):
 @query(f"""SELECT path, line, 'class.notFound' AS identifier FROM (
   SELECT 'i/' || o_custkey % 10 || '.php' AS path, ({_LINED.format(p="o_custkey % 10", o="o_orderkey")})::INT AS line, o_orderkey % 3 AS k FROM orders WHERE o_orderkey % 5 = 0) WHERE k <> 0""")
 def gen_inline_ignore(t):
+    return _inline_ignore(t("orders").where("o_orderkey % 5 = 0"))
+
+
+@query(f"""SELECT path, line, 'class.notFound' AS identifier FROM (
+  SELECT 'i/' || o_custkey % 10 || '.php' AS path, ({_LINED.format(p="o_custkey % 10", o="o_orderkey")})::INT AS line, o_orderkey % 3 AS k FROM orders) WHERE k <> 0""")
+def gen_inline_ignore_whole(t):
+    """The same rule over every row of orders."""
+    return _inline_ignore(t("orders"))
+
+
+def _inline_ignore(o: DataFrame) -> DataFrame:
     mark = F.when(F.col("o_orderkey") % 3 == 0, " // @phpstan-ignore class.notFound").when(F.col("o_orderkey") % 3 == 1, " // @phpstan-ignore other.thing (no reason)").otherwise("")
-    files = program(t("orders").where("o_orderkey % 5 = 0"), F.concat(F.lit("i/"), (F.col("o_custkey") % 10).cast("string"), F.lit(".php")), ["o_orderkey"], F.concat(F.lit("new Q"), _n("o_orderkey"), F.lit(";"), mark))
+    files = program(o, F.concat(F.lit("i/"), (F.col("o_custkey") % 10).cast("string"), F.lit(".php")), ["o_orderkey"], F.concat(F.lit("new Q"), _n("o_orderkey"), F.lit(";"), mark))
     from brambleq.operators.findings import unmarked
 
     run = Run(files, Options(level=0))

@@ -55,6 +55,13 @@ def test_closure_ends_on_cycles(spark):
     assert got == {(n, a) for n in "abc" for a in "abcd"} | {("d", "d"), ("x", "x")}
 
 
+def test_whole_tables_of_programs(spark):
+    """Every row is parsed and ruled on: as many findings as rows of the whole table have by the rule."""
+    read = lambda name: spark.read.parquet(f"{SF}/{name}.parquet")
+    assert catalogue.QUERIES["gen_duplicate_key_whole"](spark, SF).count() == read("lineitem").where("l_suppkey % 3 = l_partkey % 3").count()
+    assert catalogue.QUERIES["gen_inline_ignore_whole"](spark, SF).count() == read("orders").where("o_orderkey % 3 <> 0").count()
+
+
 def test_globs():
     import re
 
