@@ -12,10 +12,8 @@ from pyspark.sql import functions as F
 
 from brambleq.operators._tables import written
 
-MAX_DEPTH = 64
 
-
-def ancestors(edges: DataFrame, roots: DataFrame | None = None, max_depth: int = MAX_DEPTH) -> DataFrame:
+def ancestors(edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """(``node``, ``ancestor``, ``path``, ``depth``), each node its own ancestor at depth 0.
 
     Paths double: those of length k join all up to k to those up to 2k, so a
@@ -26,7 +24,7 @@ def ancestors(edges: DataFrame, roots: DataFrame | None = None, max_depth: int =
     step = F.concat(F.lpad(F.col("ord").cast("string"), 4, "0"), F.lit("/"))
     known = written(edges.where("child <> parent").select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), step.alias("path"), F.lit(1).alias("depth"), F.array("parent").alias("seen")))
     longest = 1
-    while longest < max_depth:
+    while True:
         head = known.where(F.col("depth") == longest)
         tail = known.select(F.col("node").alias("via"), F.col("ancestor").alias("top"), F.col("path").alias("more"), F.col("depth").alias("steps"), F.col("seen").alias("met"))
         met = head.join(tail, F.col("ancestor") == F.col("via")).where(~F.arrays_overlap("seen", "met") & ~F.array_contains("met", F.col("node")))

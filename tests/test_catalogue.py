@@ -62,6 +62,16 @@ def test_whole_tables_of_programs(spark):
     assert catalogue.QUERIES["gen_inline_ignore_whole"](spark, SF).count() == read("orders").where("o_orderkey % 3 <> 0").count()
 
 
+def test_closure_of_a_long_chain(spark):
+    from brambleq.operators import hierarchy
+
+    edges = spark.createDataFrame([(i, i + 1, 0) for i in range(100)], "child long, parent long, ord int")
+    closure = hierarchy.ancestors(edges)
+    assert closure.count() == 101 * 102 // 2
+    declared = spark.createDataFrame([(i,) for i in range(100)], "node long")
+    assert not any(r["known"] for r in hierarchy.fully_known(closure, declared).collect())
+
+
 def test_globs():
     import re
 
