@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -25,13 +25,32 @@ def work_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/brambleq-{uuid.uuid4().hex}"
 
 
+def passing(spark: SparkSession, path: str) -> None:
+    """Let a folder go when the driver's JVM ends."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def materialise(df: DataFrame, **options: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage
-    ends here, and a lost executor costs a re-read instead of a recomputation."""
+    ends here, and a lost executor costs a re-read instead of a recomputation.
+    The files go at the session's end, or with ``discard``."""
     spark = df.sparkSession
     path = work_dir(spark)
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    passing(spark, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a materialised table that no plan needs any more."""
+    path = getattr(df, "_written_at", None)
+    if path:
+        spark = df.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -53,3 +72,31 @@ def text_bytes(column) -> list[bytes]:
 
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
     return [x or b"" for x in column.cast(kind).to_pylist()]
+
+
+def quoted(name: str) -> Column:
+    """A column by its whole name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def free_name(taken: list[str], name: str) -> str:
+    """``name``, or if a column has it (in any case) the name behind more underscores."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name = "_" + name
+    return name
+
+
+def give_way(docs: DataFrame, *outputs: str) -> DataFrame:
+    """``docs`` with its columns that have the name of an output renamed to ``<name>_input``
+    (with more underscores before it where that is taken too): outputs keep their names,
+    and nothing is lost."""
+    wanted = {o.lower() for o in outputs}
+    taken = [*docs.columns, *outputs]
+    names = []
+    for c in docs.columns:
+        if c.lower() in wanted:
+            c = free_name(taken, f"{c}_input")
+            taken.append(c)
+        names.append(c)
+    return docs if names == docs.columns else docs.toDF(*names)

@@ -1,17 +1,27 @@
 """Removal of long repeated word spans, by compaction of a de Bruijn graph.
 
-Every k consecutive words of a document are an edge (the k-mer) between its
-first and last k - 1 words.  Blocks of documents deal their distinct edges, with
-the coordinate of the first occurrence, to buckets of the edge space.  A bucket
-finds the edges that more than one block holds and answers each block with the
-coordinate of the first occurrence anywhere: the occurrence in the document with
-the smallest id.  Joined back to their blocks, repeated edges whose source
-coordinates follow one another compact into one nonbranching path, and each
-distinct path is verified word by word, by a digest, at its source coordinate.
-A key is 56 bits that deal and sort the edges and a lane of further bits, from
-another hash of the words, whose width grows with the bytes of the corpus, so that
-no two different k-mers are expected to share both.  Should they, verification
-tells, and the work is done again under another seed.
+Every k consecutive words of a document are an edge (the k-mer) from the node of
+its first k - 1 words to the node of its last k - 1.  The graph is that of the
+*repeated* edges, those that stand in two documents or more; an edge's source
+coordinate is its first occurrence in the document with the smallest id.
+
+1. Blocks of documents tell which of their edges other blocks hold too (keys cut
+   to a few bytes), and deal those whole, with coordinates, to buckets of the edge
+   space; a bucket answers with the source coordinate of each repeated edge.
+2. Each source edge gives its nodes to Spark.  In- and out-degrees are sums over a
+   node's distinct edges; a node is nonbranching if one edge enters and one leaves.
+3. Consecutive source edges joined by nonbranching nodes are segments; a segment
+   that ends in a nonbranching node is linked with the one that begins there, and
+   joins (pointer doubling) compact linked segments to paths, each with its first
+   segment's coordinate as name and every segment's offset in it.  A path that
+   closes on itself is cut at its smallest coordinate.
+4. Where a document follows repeated edges from sources before it, its span goes
+   to the source coordinate, is verified there word by word (a 128-bit digest), and
+   returns as pieces of paths.  Words covered by verified pieces are removed.
+
+A key is 56 bits that deal and sort the edges and a lane of 64 more from another
+hash of the words.  Should different k-mers share both (below 1e-11 expected pairs
+in 100 TB), the digest tells, and the span stays: nothing unverified is removed.
 
 A block sends one entry per distinct edge, so an edge that a third of all
 documents share costs an entry per block, not per document.
@@ -19,291 +29,349 @@ documents share costs an entry per block, not per document.
 Defined results: a null or empty text has no words; documents with a null id
 have no order: nothing is removed from them, and they are nobody's source; rows
 with equal ids are one document for this purpose, so a copy under the same id is
-no copy; extra columns are not read.
+no copy; only ``doc_id`` and ``text`` are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from brambleq.llm._blocks import bucket_count, make_blocks, pack_ints, unpack_ints, unpack_table
-from brambleq.llm._common import materialise, table, text_bytes
+from brambleq.llm._blocks import Block, bounds, bucket_count, by_bucket, cuts, frame, key_bits, make_blocks, marked, pack_ints, rolled, shared_keys, squeeze, totals, unframe, unpack_ints, unsqueeze, unzigzag, zigzag
+from brambleq.llm._common import materialise, table
 
 K = 13
-#: Bits of an edge's key that deal and sort; the lane beside them tells different edges apart.
+#: Bits of an edge's key that deal and sort; the lane beside them has 64 more.
 KEY_BITS = 56
-#: Least bytes of the lane, and powers of two by which expected collisions stay below one.
-LANE_BYTES = 4
-SPARE_BITS = 20
-SEEDS = (1, 2, 3, 4)
-_MEMO_WORDS = 1 << 17
+_KEY, _LANE, _NODE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93
 
-_EDGES = "bucket int, block long, n long, edges binary"
-_FOUND = "block long, bucket int, n long, found binary"
-_OUT = "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string, paths array<struct<start:int,length:int,src_doc:long,src_pos:int>>, src_block long, src_doc long, src_pos int, length int, digest string"
+_EDGES = "bucket int, block long, edges binary"
+_FOUND = "block long, bucket int, found binary"
+#: Nodes of source edges (kind 0: an edge leaves, 2: an edge enters, 1: both), or spans to be verified.
+_TRACED = "block long, node long, at int, kind int, run int, last int, src_block long, src_at int, length int, digest binary"
+_PIECES = "block long, src_block long, src_at int, length int, digest binary, pieces array<struct<path_block:long,path_at:int,offset:long,start:int,edges:int>>"
+_OUT = "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string, paths array<struct<start:int,length:int,path_block:long,path_at:int,offset:long>>"
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = h ^ (h >> np.uint64(30))
-    h = h * np.uint64(0xBF58476D1CE4E5B9)
-    h = h ^ (h >> np.uint64(27))
-    h = h * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+def _arrow(ddl: str) -> pa.Schema:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    fields = []
+    for part in ddl.replace("array<struct<", "(").replace(">>", ")").split(", "):
+        name, kind = part.split(" ", 1)
+        fields.append((name, kinds[kind] if kind in kinds else pa.list_(pa.struct([(a, kinds[b]) for a, b in (x.split(":") for x in kind[1:-1].split(","))]))))
+    return pa.schema(fields)
 
 
-def lane_bytes(n_bytes: int, key_bits: int = KEY_BITS) -> int:
-    """Bytes of the lane for a corpus of so many bytes: n_bytes / 2 words at most give
-    under n_bytes**2 / 8 pairs of edges, and 2**-SPARE_BITS of a collision among them."""
-    pairs = max(1, n_bytes * n_bytes // 8)
-    return min(8, max(LANE_BYTES, -(-(pairs.bit_length() + SPARE_BITS - key_bits) // 8)))
+class Edges:
+    """The k-mers of a block, its documents taken in order of their ids; a coordinate
+    counts words from the block's beginning in that order."""
 
-
-def _apart(keys: np.ndarray, lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A stable order by key and lane, and where in that order an edge differs from the one before."""
-    order = np.argsort(keys, kind="stable")
-    k, x = keys[order], lanes[order]
-    if ((k[1:] == k[:-1]) & (x[1:] != x[:-1])).any():
-        order = np.lexsort((lanes, keys))
-        k, x = keys[order], lanes[order]
-    return order, np.concatenate(([True], (k[1:] != k[:-1]) | (x[1:] != x[:-1]))) if k.size else np.zeros(0, bool)
-
-
-class Block:
-    """A block's documents as words, and the keys of their k-mers."""
-
-    def __init__(self, packed: bytes, k: int, seed: int, memo: dict[bytes, bytes], width: int, key_bits: int = KEY_BITS) -> None:
-        t = unpack_table(packed)
-        ids = t.column("doc_id").combine_chunks()
+    def __init__(self, b: Block, k: int, bits: int, keyed: bool = True) -> None:
+        ids = b.docs().column("doc_id").combine_chunks()
         ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
         null = np.asarray(ids.is_null())
         ids = np.asarray(ids.fill_null(0)).astype(np.int64)
         order = np.lexsort((ids, null))
-        texts = text_bytes(t.column("text"))
-        self.ids, self.null = ids[order], null[order]
-        self.words = [texts[i].split() for i in order]
-        if len(memo) > _MEMO_WORDS:
-            memo.clear()
-        hashed = xxhash.xxh3_128_digest
-        codes: list[bytes] = []
-        for words in self.words:
-            for w in words:
-                h = memo.get(w)
-                if h is None:
-                    h = memo[w] = hashed(w, seed)
-                codes.append(h)
-        pairs = np.frombuffer(b"".join(codes), dtype=np.uint64).reshape(-1, 2)
-        w, w2 = np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1])
-        del codes, pairs
-        lengths = np.array([len(x) for x in self.words], dtype=np.int64)
-        self.lengths, self.starts = lengths, np.concatenate(([0], np.cumsum(lengths)))[:-1]
-        doc = np.repeat(np.arange(lengths.size), lengths)
-        pos = np.arange(w.size) - self.starts[doc] if w.size else np.zeros(0, np.int64)
-        keep = pos + k <= lengths[doc] if w.size else np.zeros(0, bool)
-        keep &= ~self.null[doc] if w.size else keep
-        at = np.flatnonzero(keep)
-        self.doc, self.pos = doc[at], pos[at]
-        keys = _rolled(w, k, 0x9E3779B97F4A7C15)[at] >> np.uint64(64 - key_bits)
-        lanes = _rolled(w2, k, 0xC2B2AE3D27D4EB4F)[at] >> np.uint64(64 - 8 * width)
-        if width <= 4:
-            lanes = lanes.astype(np.uint32)
-        #: Distinct edges by key and lane, ascending; of each the first occurrence (documents are by id).
+        self.block, self.k = b.block, k
+        self.ids, self.null, self.sizes = ids[order], null[order], b.sizes[order]
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        moved = np.repeat(b.starts[order] - self.starts, self.sizes)
+        codes = b.codes()
+        self.codes = codes[moved + np.arange(moved.size)] if moved.size else codes
+        self.table = b.words()
+        if not keyed:
+            return
+        pairs = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, self.table)), dtype=np.uint64).reshape(-1, 2)
+        self.w = np.ascontiguousarray(pairs[:, 0])[self.codes] if moved.size else np.zeros(0, np.uint64)
+        w2 = np.ascontiguousarray(pairs[:, 1])[self.codes] if moved.size else self.w
+        doc = np.repeat(np.arange(self.sizes.size), self.sizes)
+        whole = (np.arange(doc.size) - self.starts[doc] + k <= self.sizes[doc]) & ~self.null[doc] if doc.size else np.zeros(0, bool)
+        #: Of each edge's occurrences the coordinate and the document.
+        self.at = np.flatnonzero(whole)
+        self.doc = doc[self.at]
+        keys = rolled(self.w, k, _KEY)[self.at] >> np.uint64(64 - bits)
+        lanes = rolled(w2, k, _LANE)[self.at]
+        del w2, pairs, doc, whole
         order, new = _apart(keys, lanes)
-        self.first = order[new]
+        heads = np.flatnonzero(new)
+        tails = np.append(heads[1:], order.size)[: heads.size] - 1
+        #: Distinct edges by key and lane, ascending: the first occurrence of each, and whether a later document has it too.
+        self.first = order[heads]
         self.keys, self.lanes = keys[self.first], lanes[self.first]
-        self.key_of = np.empty(at.size, dtype=np.int64)
-        self.key_of[order] = np.cumsum(new) - 1
-        self.key_bits = key_bits
-
-    def cuts(self, buckets: int) -> np.ndarray:
-        """Where each bucket's keys begin among the distinct keys, and the end."""
-        return np.searchsorted(self.keys, _bounds(buckets, self.key_bits))
-
-
-def _rolled(w: np.ndarray, k: int, base: int) -> np.ndarray:
-    """A hash of each k words in succession."""
-    h = np.zeros(max(0, w.size - k + 1), dtype=np.uint64)
-    for j in range(k if h.size else 0):
-        h = h * np.uint64(base) + w[j : j + h.size]
-    return _mix(h)
-
+        self.again = self.ids[self.doc[order[tails]]] > self.ids[self.doc[self.first]] if heads.size else np.zeros(0, bool)
+        self.edge_of = np.empty(order.size, dtype=np.int64)
+        self.edge_of[order] = np.cumsum(new) - 1
 
-def _bounds(buckets: int, key_bits: int = KEY_BITS) -> np.ndarray:
-    return np.array([(b << key_bits) // buckets for b in range(buckets)] + [1 << key_bits], dtype=np.uint64)
+    def words(self, at: int, n: int) -> list[bytes]:
+        return [self.table[c] for c in self.codes[at : at + n].tolist()]
 
+    def digest(self, at: int, n: int) -> bytes:
+        return xxhash.xxh3_128_digest(b" ".join(self.words(at, n)))
 
-def _frame(*parts: bytes) -> bytes:
-    return np.array([len(p) for p in parts], dtype=np.uint64).tobytes() + b"".join(parts)
-
-
-def _unframe(b: bytes, n: int) -> list[bytes]:
-    out, at = [], 8 * n
-    for size in np.frombuffer(b[: 8 * n], dtype=np.uint64).tolist():
-        out.append(b[at : at + size])
-        at += size
-    return out
 
+def _apart(keys: np.ndarray, lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A stable order by key and lane, and where in that order an edge differs from the one before."""
+    order = np.argsort(keys, kind="stable")
+    k, x = keys[order], lanes[order]
+    if ((k[1:] == k[:-1]) & (x[1:] != x[:-1])).any():
+        order = np.lexsort((lanes, keys))
+        k, x = keys[order], lanes[order]
+    return order, np.concatenate(([True], (k[1:] != k[:-1]) | (x[1:] != x[:-1]))) if k.size else np.zeros(0, bool)
 
-def _zigzag(a: np.ndarray) -> np.ndarray:
-    a = a.astype(np.int64)
-    return ((a << 1) ^ (a >> 63)).view(np.uint64)
 
+def _short(e: Edges, bits: int, short: int) -> tuple[np.ndarray, np.ndarray]:
+    """The block's distinct shortened keys, and each edge's place among them."""
+    t = e.keys >> np.uint64(bits - short)
+    new = np.concatenate(([True], t[1:] != t[:-1])) if t.size else np.zeros(0, bool)
+    return t[new], np.cumsum(new) - 1
 
-def _unzigzag(a: np.ndarray) -> np.ndarray:
-    return (a >> np.uint64(1)).view(np.int64) ^ -(a & np.uint64(1)).view(np.int64)
 
+def _send(k: int, buckets: int, bits: int, short: int):
+    """Of one block: its edges that other blocks may hold too, dealt to the buckets."""
 
-def _send(k: int, seed: int, buckets: int, width: int, key_bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[bytes, bytes] = {}
-        for batch in batches:
-            for block, packed in zip(batch.column("block").to_pylist(), batch.column("docs").to_pylist(), strict=True):
-                b = Block(packed, k, seed, memo, width, key_bits)
-                cuts, bounds = b.cuts(buckets), _bounds(buckets, key_bits)
-                ids, pos = b.ids[b.doc[b.first]] if b.keys.size else b.ids[:0], b.pos[b.first]
-                low = ids.min() if ids.size else 0
-                rows: list[tuple[int, int, int, bytes]] = []
-                for i in np.flatnonzero(np.diff(cuts)).tolist():
-                    s, e = cuts[i], cuts[i + 1]
-                    steps = np.diff(b.keys[s:e], prepend=bounds[i])
-                    # subtracted modulo 2**64, so that ids of any spread fit
-                    away = (ids[s:e].view(np.uint64) - np.int64(low).view(np.uint64)) if ids.size else ids
-                    rows.append((i, block, int(e - s), _frame(pack_ints(steps), pack_ints(b.lanes[s:e]), np.int64(low).tobytes(), pack_ints(away), pack_ints(pos[s:e]))))
-                if rows:
-                    x, y, n, z = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32()), pa.array(y, pa.int64()), pa.array(n, pa.int64()), pa.array(z, pa.binary())], names=["bucket", "block", "n", "edges"])
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[dict] = []
+        for row in left.to_pylist():
+            e = Edges(Block(row), k, bits)
+            keys, place = _short(e, bits, short)
+            which = np.flatnonzero(marked(keys, right.to_pylist(), buckets, short)[place]) if keys.size else place
+            at, base = cuts(e.keys[which], buckets, bits), bounds(buckets, bits)
+            ids = e.ids[e.doc[e.first[which]]]
+            low = ids.min() if ids.size else np.int64(0)
+            # subtracted modulo 2**64, so that ids of any spread fit
+            away = ids.view(np.uint64) - np.int64(low).view(np.uint64)
+            for i in np.flatnonzero(np.diff(at)).tolist():
+                s, t = at[i], at[i + 1]
+                mine = which[s:t]
+                out.append({"bucket": i, "block": e.block, "edges": frame(pack_ints(np.diff(e.keys[mine], prepend=base[i])), e.lanes[mine].tobytes(), np.int64(low).tobytes(), pack_ints(away[s:t]), pack_ints(e.at[e.first[mine]]), squeeze(np.packbits(e.again[mine]).tobytes()), pack_ints(np.diff(mine, prepend=0)))})
+        return pa.Table.from_pylist(out, _arrow(_EDGES))
 
     return run
 
 
-def _answer(buckets: int, width: int, key_bits: int):
-    """Of one bucket: for each block the entries whose first occurrence anywhere is in a smaller document."""
+def _answer(buckets: int, bits: int):
+    """Of one bucket: for each block, the source coordinates of its repeated edges."""
 
     def run(t: pa.Table) -> pa.Table:
         bucket = t.column("bucket")[0].as_py()
-        base = _bounds(buckets, key_bits)[bucket]
-        blocks, sizes = t.column("block").to_pylist(), t.column("n").to_pylist()
-        keys, lanes, ids, pos = [], [], [], []
+        base = bounds(buckets, bits)[bucket]
+        blocks = t.column("block").to_pylist()
+        keys, lanes, ids, at, again, entry, sizes = [], [], [], [], [], [], []
         for x in t.column("edges").to_pylist():
-            steps, lane, low, away, p = _unframe(x, 5)
+            steps, lane, low, away, p, m, which = unframe(x, 7)
+            lanes.append(np.frombuffer(lane, np.uint64))
+            n = lanes[-1].size
+            sizes.append(n)
             keys.append(np.cumsum(unpack_ints(steps)) + base)
-            lanes.append(unpack_ints(lane).astype(np.uint32 if width <= 4 else np.uint64))
             ids.append((unpack_ints(away) + np.frombuffer(low, np.uint64)).view(np.int64))
-            pos.append(unpack_ints(p).astype(np.uint32))
-        key, lane, idd, ps = np.concatenate(keys), np.concatenate(lanes), np.concatenate(ids), np.concatenate(pos)
-        del keys, lanes, ids, pos
-        owner, entry = np.repeat(np.arange(len(blocks)), sizes), np.concatenate([np.arange(n) for n in sizes])
+            at.append(unpack_ints(p).astype(np.int64))
+            again.append(np.unpackbits(np.frombuffer(unsqueeze(m), np.uint8), count=n).astype(bool))
+            entry.append(np.cumsum(unpack_ints(which)).astype(np.int64))
+        key, lane, idd, pos, more, ent = (np.concatenate(x) for x in (keys, lanes, ids, at, again, entry))
+        del keys, lanes, ids, at, again, entry
+        owner = np.repeat(np.arange(len(blocks)), sizes)
         order, new = _apart(key, lane)
-        inside = ~new | np.concatenate((~new[1:], [False]))
-        order = order[inside]
-        order = order[np.lexsort((ps[order], idd[order], lane[order], key[order]))]
-        k, x = key[order], lane[order]
-        lead = np.concatenate(([True], (k[1:] != k[:-1]) | (x[1:] != x[:-1]))) if k.size else np.zeros(0, bool)
-        source = order[np.flatnonzero(lead)][np.cumsum(lead) - 1] if k.size else order
-        later = idd[source] < idd[order]
-        order, source = order[later], source[later]
-        by = np.lexsort((entry[order], owner[order]))
-        order, source = order[by], source[by]
-        cuts = np.searchsorted(owner[order], np.arange(len(blocks) + 1))
-        out: list[tuple[int, int, int, bytes]] = []
-        block_ids = np.array(blocks, dtype=np.int64)
+        edge = np.empty(order.size, dtype=np.int64)
+        edge[order] = np.cumsum(new) - 1
+        order = np.lexsort((pos, owner, idd, edge))
+        heads = np.flatnonzero(np.diff(edge[order], prepend=-1))
+        source = order[heads][edge]  # of every entry, the entry that is its edge's source
+        repeated = np.zeros(heads.size, dtype=bool)
+        np.logical_or.at(repeated, edge, more | (idd > idd[source]))
+        told = np.flatnonzero(repeated[edge])  # ascending, so by owner, then entry
+        ends = np.searchsorted(owner[told], np.arange(len(blocks) + 1))
+        names = np.array(blocks, dtype=np.int64)
+        out: list[dict] = []
         for i, block in enumerate(blocks):
-            s, e = cuts[i], cuts[i + 1]
-            if e > s:
-                src = source[s:e]
-                at = np.diff(entry[order[s:e]], prepend=0)
-                out.append((block, bucket, int(e - s), _frame(pack_ints(at), pack_ints(_zigzag(idd[src])), pack_ints(ps[src]), pack_ints(_zigzag(block_ids[owner[src]])))))
-        x, y, n, z = zip(*out, strict=True) if out else ((), (), (), ())
-        return pa.table({"block": pa.array(x, pa.int64()), "bucket": pa.array(y, pa.int32()), "n": pa.array(n, pa.int64()), "found": pa.array(z, pa.binary())})
+            mine = told[ends[i] : ends[i + 1]]
+            if mine.size:
+                src = source[mine]
+                out.append({"block": block, "bucket": bucket, "found": frame(pack_ints(np.diff(ent[mine], prepend=0)), pack_ints(zigzag(idd[src])), pack_ints(pos[src]), pack_ints(zigzag(names[owner[src]])))})
+        return pa.Table.from_pylist(out, _arrow(_FOUND))
 
     return run
 
 
-def _digest(words: list[bytes]) -> str:
-    return xxhash.xxh3_128_hexdigest(b" ".join(words))
+class Traced:
+    """A block's edges with their sources, and its spans of repeated edges."""
+
+    def __init__(self, e: Edges, answers: list[dict]) -> None:
+        n, k = e.first.size, e.k
+        self.doc = e.ids[e.doc[e.first]].copy() if n else np.zeros(0, np.int64)
+        self.at = e.at[e.first].copy()
+        self.block = np.full(n, e.block, dtype=np.int64)
+        self.repeated = e.again.copy()
+        for r in answers:
+            if r["found"] is not None:
+                which, d, p, o = unframe(r["found"], 4)
+                which = np.cumsum(unpack_ints(which)).astype(np.int64)
+                self.doc[which], self.at[which], self.block[which] = unzigzag(unpack_ints(d)), unpack_ints(p).astype(np.int64), unzigzag(unpack_ints(o))
+                self.repeated[which] = True
+        of = e.edge_of
+        hit = np.flatnonzero(self.doc[of] < e.ids[e.doc]) if of.size else of
+        at, src, block = e.at[hit], self.at[of[hit]], self.block[of[hit]]
+        same = (np.diff(at) == 1) & (np.diff(e.doc[hit]) == 0) & (np.diff(src) == 1) & (np.diff(block) == 0)
+        heads = np.flatnonzero(np.concatenate(([True], ~same))) if hit.size else hit
+        tails = np.append(heads[1:], hit.size)[: heads.size]
+        #: Spans: coordinate, words, source block and coordinate.
+        self.spans = list(zip(at[heads].tolist(), (tails - heads + k - 1).tolist(), block[heads].tolist(), src[heads].tolist(), strict=True))
+
+
+def _trace(k: int, bits: int):
+    """Of one block: the nodes of its source edges, and the spans to be verified elsewhere."""
+    schema = _arrow(_TRACED)
 
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        parts = []
+        for row in left.to_pylist():
+            e = Edges(Block(row), k, bits)
+            t = Traced(e, right.to_pylist())
+            mine = t.repeated & (t.block == e.block) & (t.at == e.at[e.first])
+            s = np.sort(t.at[mine])
+            gap = np.diff(s) != 1
+            heads = np.flatnonzero(np.concatenate(([True], gap))) if s.size else s
+            n = np.diff(np.append(heads, s.size)) + 1  # nodes of each run
+            first = np.cumsum(n) - n
+            run = np.repeat(s[heads], n)
+            at = run + np.arange(run.size) - np.repeat(first, n)
+            kind = np.ones(run.size, dtype=np.int32)
+            kind[first] = 0
+            kind[first + n - 1] = 2
+            node = rolled(e.w, k - 1, _NODE)[at].view(np.int64) if at.size else at
+            none = pa.nulls
+            m = at.size
+            parts.append(pa.Table.from_arrays([pa.array(np.full(m, e.block)), pa.array(node, pa.int64()), pa.array(at, pa.int32()), pa.array(kind), pa.array(run, pa.int32()), pa.array(np.repeat(s[heads] + n - 1, n), pa.int32()), none(m, pa.int64()), none(m, pa.int32()), none(m, pa.int32()), none(m, pa.binary())], schema=schema))
+            spans = {(src, p, n, e.digest(a, n)) for a, n, src, p in t.spans}
+            parts.append(pa.Table.from_pylist([{"block": e.block, "src_block": b, "src_at": p, "length": n, "digest": d} for b, p, n, d in sorted(spans)], schema))
+        return pa.concat_tables(parts) if parts else schema.empty_table()
+
+    return run
 
-def _compact(k: int, seed: int, buckets: int, keep_text: bool, width: int, key_bits: int):
-    """Of one block: paths of repeated edges, and the documents without the words they cover."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("kept_sha256", pa.string()), ("paths", pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("src_doc", pa.int64()), ("src_pos", pa.int32())]))), ("src_block", pa.int64()), ("src_doc", pa.int64()), ("src_pos", pa.int32()), ("length", pa.int32()), ("digest", pa.string())])
+
+def compact(nodes: DataFrame) -> DataFrame:
+    """Paths of the graph: (``block``, ``at``, ``end``: a segment's first and last node;
+    ``path_block``, ``path_at``, ``offset``: its path, and edges of the path before it), from
+    the nodes of all runs of source edges."""
+    on = Window.partitionBy("node")
+    count = lambda what: F.sum(F.expr(what).cast("int")).over(on)
+    degrees = nodes.withColumns({"n": F.count("*").over(on), "enter": count("kind >= 1"), "leave": count("kind <= 1")})
+    # a node that one run alone holds is nonbranching, or the end of its path
+    seen = materialise(degrees.where("n > 1 or kind = 0"))
+    later = F.lead("at").over(Window.partitionBy("block", "run").orderBy("at"))
+    segments = materialise(seen.where("kind <= 1").select("block", "at", "last", later.alias("next")).select("block", "at", F.coalesce("next", "last").alias("end")))
+    place = F.struct("block", "at")
+    links = seen.where("n = 2 and enter = 1 and leave = 1").groupBy("node").agg(F.max(F.when(F.col("kind") == 2, place)).alias("a"), F.max(F.when(F.col("kind") == 0, place)).alias("b"))
+    before = links.join(segments, (F.col("a.block") == F.col("block")) & (F.col("a.at") == F.col("end"))).select("b", place.alias("pred"), (F.col("end") - F.col("at")).cast("long").alias("pred_edges"))
+    state = segments.withColumn("key", place).join(before, F.col("key") == F.col("b"), "left").select("key", "end", "pred", "pred_edges")
+    return _paths(state).select("key.block", "key.at", "end", F.col("ptr.block").alias("path_block"), F.col("ptr.at").alias("path_at"), "offset")
+
+
+def _paths(state: DataFrame) -> DataFrame:
+    """Pointer doubling: every segment's pointer moves to its pointer's pointer until all point
+    to the first segments of their paths."""
+    head = F.col("pred").isNull()
+    now = materialise(state.withColumns({"ptr": F.coalesce("pred", "key"), "offset": F.coalesce("pred_edges", F.lit(0)), "least": F.least("key", F.coalesce("pred", "key")), "done": head}))
+    left, rounds = now.where("not done").count(), 0
+    while left and 2 ** (rounds - 1) <= left:
+        p = now.select(F.col("key").alias("k"), F.col("ptr").alias("p"), F.col("offset").alias("o"), F.col("least").alias("l"), F.col("done").alias("d"))
+        now = materialise(now.join(p, F.col("ptr") == F.col("k")).select("key", "end", "pred", "pred_edges", F.col("p").alias("ptr"), F.when(F.col("done"), F.col("offset")).otherwise(F.col("offset") + F.col("o")).alias("offset"), F.least("least", "l").alias("least"), F.col("d").alias("done")))
+        left, rounds = now.where("not done").count(), rounds + 1
+    if not left:
+        return now
+    # what is left are cycles, whose smallest segment each member knows by now
+    cut = F.col("key") == F.col("least")
+    again = now.where("not done").select("key", "end", *[F.when(~cut, F.col(c)).alias(c) for c in ("pred", "pred_edges")])
+    return now.where("done").unionByName(_paths(again))
+
+
+def _verify(k: int):
+    """Of one block: the spans whose source lies in it, verified and cut into pieces of paths."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        asked = right.filter(pa.compute.is_valid(right.column("digest"))).to_pylist()
+        held = right.filter(pa.compute.is_null(right.column("digest"))).sort_by("src_at")
+        at, end, path_at = (held.column(c).to_numpy() for c in ("src_at", "length", "path_at"))
+        path_block, offset = (held.column(c).to_numpy() for c in ("path_block", "offset"))
         out: list[dict] = []
-        for packed, own in zip(left.column("docs").to_pylist(), left.column("block").to_pylist(), strict=True):
-            b = Block(packed, k, seed, {}, width, key_bits)
-            cuts = b.cuts(buckets)
-            first = b.first
-            src_doc, src_pos = b.ids[b.doc[first]] if first.size else b.ids[:0], b.pos[first].copy()
-            src_doc, src_block = src_doc.copy(), np.full(first.size, own, dtype=np.int64)
-            for bucket, found in zip(right.column("bucket").to_pylist(), right.column("found").to_pylist(), strict=True):
-                at, d, p, o = _unframe(found, 4)
-                at = np.cumsum(unpack_ints(at)).astype(np.int64) + cuts[bucket]
-                src_doc[at], src_pos[at], src_block[at] = _unzigzag(unpack_ints(d)), unpack_ints(p).astype(np.int64), _unzigzag(unpack_ints(o))
-            e = b.key_of
-            hit = src_doc[e] < b.ids[b.doc] if e.size else np.zeros(0, bool)
-            at = np.flatnonzero(hit)
-            doc, pos, s_doc, s_pos, s_block = b.doc[at], b.pos[at], src_doc[e[at]], src_pos[e[at]], src_block[e[at]]
-            joined = (np.diff(doc) == 0) & (np.diff(pos) == 1) & (np.diff(s_doc) == 0) & (np.diff(s_pos) == 1) & (np.diff(s_block) == 0)
-            heads = np.concatenate(([0], np.flatnonzero(~joined) + 1)) if at.size else np.zeros(0, np.int64)
-            tails = np.concatenate((heads[1:], [at.size])) if at.size else heads
-            cover = np.zeros(int(b.lengths.sum()) + 1, dtype=np.int32)
-            np.add.at(cover, b.starts[doc[heads]] + pos[heads], 1)
-            np.add.at(cover, b.starts[doc[heads]] + pos[heads] + (tails - heads) + k - 1, -1)
-            covered = np.cumsum(cover)[:-1] > 0
-            paths: dict[int, list[dict]] = {}
-            seen = set()
-            for h, t in zip(heads.tolist(), tails.tolist(), strict=True):
-                n = t - h + k - 1
-                d, p = int(doc[h]), int(pos[h])
-                paths.setdefault(d, []).append({"start": p, "length": n, "src_doc": int(s_doc[h]), "src_pos": int(s_pos[h])})
-                row = (int(s_block[h]), int(s_doc[h]), int(s_pos[h]), n, _digest(b.words[d][p : p + n]))
-                if row not in seen:
-                    seen.add(row)
-                    out.append({"src_block": row[0], "src_doc": row[1], "src_pos": row[2], "length": row[3], "digest": row[4]})
-            for i, words in enumerate(b.words):
-                gone = covered[b.starts[i] : b.starts[i] + b.lengths[i]]
-                kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g] if i in paths else words)
-                out.append({"doc_id": None if b.null[i] else int(b.ids[i]), "n_words": len(words), "n_removed": int(gone.sum()), "kept": kept.decode() if keep_text else None, "kept_sha256": hashlib.sha256(kept).hexdigest(), "paths": paths.get(i, [])})
-        return pa.Table.from_pylist(out, schema)
+        for row in left.to_pylist() if asked else []:
+            e = Edges(Block(row), k, 0, keyed=False)
+            memo: dict[tuple[int, int], tuple[bytes, list[dict]]] = {}
+            for r in asked:
+                s, n = r["src_at"], r["length"]
+                if (s, n) not in memo:
+                    last = s + n - k  # the span's last edge
+                    pieces = []
+                    i = int(np.searchsorted(at, s, side="right")) - 1
+                    while 0 <= i < at.size and at[i] <= last:
+                        a, z = max(s, int(at[i])), min(last + 1, int(end[i]))
+                        if z > a:
+                            pieces.append({"path_block": int(path_block[i]), "path_at": int(path_at[i]), "offset": int(offset[i]) + a - int(at[i]), "start": a - s, "edges": z - a})
+                        i += 1
+                    memo[s, n] = e.digest(s, n), pieces
+                digest, pieces = memo[s, n]
+                if digest == r["digest"]:
+                    out.append({"block": r["asker"], "src_block": e.block, "src_at": s, "length": n, "digest": digest, "pieces": pieces})
+        return pa.Table.from_pylist(out, _arrow(_PIECES))
+
+    import pyarrow.compute  # noqa: F401
 
     return run
 
 
-def _verify(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Of one block: the paths that do not stand at their source coordinates there."""
-    rows = right.to_pylist()
-    wanted = {r["src_doc"] for r in rows}
-    docs: dict[int, list[list[bytes]]] = {}
-    for packed in left.column("docs").to_pylist():
-        t = unpack_table(packed)
-        for i, text in zip(t.column("doc_id").to_pylist(), text_bytes(t.column("text")), strict=True):
-            if i in wanted:
-                docs.setdefault(i, []).append(text.split())
-    bad = [r["src_doc"] for r in rows if not any(_digest(w[r["src_pos"] : r["src_pos"] + r["length"]]) == r["digest"] for w in docs.get(r["src_doc"], []))]
-    return pa.table({"src_doc": pa.array(bad, pa.int64())})
+def _cut(k: int, bits: int, keep_text: bool):
+    """Of one block: the documents without the words that verified pieces of paths cover."""
+    schema = _arrow(_OUT)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[dict] = []
+        rows = right.to_pylist()
+        known = {(r["src_block"], r["src_at"], r["length"], r["digest"]): r["pieces"] for r in rows if r["found"] is None}
+        for row in left.to_pylist():
+            e = Edges(Block(row), k, bits)
+            doc_at = np.repeat(np.arange(e.sizes.size), e.sizes)
+            cover = np.zeros(e.codes.size + 1, dtype=np.int32)
+            paths: dict[int, list[dict]] = {}
+            for a, n, src, p in Traced(e, rows).spans:
+                d = int(doc_at[a])
+                for x in known.get((src, p, n, e.digest(a, n)), ()):
+                    s, words = a + x["start"], x["edges"] + k - 1
+                    cover[s] += 1
+                    cover[s + words] -= 1
+                    paths.setdefault(d, []).append({"start": s - int(e.starts[d]), "length": words, "path_block": x["path_block"], "path_at": x["path_at"], "offset": x["offset"]})
+            gone = np.cumsum(cover)[:-1] > 0
+            for i, (s, n) in enumerate(zip(e.starts.tolist(), e.sizes.tolist(), strict=True)):
+                codes = e.codes[s : s + n]
+                kept = b" ".join([e.table[c] for c in (codes[~gone[s : s + n]] if i in paths else codes).tolist()])
+                out.append({"doc_id": None if e.null[i] else int(e.ids[i]), "n_words": n, "n_removed": int(gone[s : s + n].sum()), "kept": kept.decode() if keep_text else None, "kept_sha256": hashlib.sha256(kept).hexdigest(), "paths": paths.get(i, [])})
+        return pa.Table.from_pylist(out, schema)
+
+    return run
 
 
-def remove_repeats(docs: DataFrame, k: int = K, keep_text: bool = True, key_bits: int = KEY_BITS) -> DataFrame:
+def remove_repeats(docs: DataFrame, k: int = K, keep_text: bool = True, bits: int = KEY_BITS) -> DataFrame:
     """Per row of ``docs`` (``doc_id``, ``text``): ``doc_id``, ``n_words``, ``n_removed``,
     ``kept`` (kept words joined by a space; null unless ``keep_text``), ``kept_sha256`` and
-    ``paths`` (verified repeated spans in words, with their source coordinates)."""
-    blocks = make_blocks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    buckets = bucket_count(blocks)
-    width = lane_bytes(blocks.agg(F.sum("n_bytes")).first()[0] or 0, key_bits)
-    for seed in SEEDS:
-        found = blocks.select("block", "docs").mapInArrow(_send(k, seed, buckets, width, key_bits), _EDGES).groupBy("bucket").applyInArrow(_answer(buckets, width, key_bits), _FOUND)
-        out = materialise(blocks.select("block", "docs").groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_compact(k, seed, buckets, keep_text, width, key_bits), _OUT))
-        paths = out.where("src_block is not null").select("src_block", "src_doc", "src_pos", "length", "digest").distinct()
-        failed = blocks.select("block", "docs").groupBy("block").cogroup(paths.groupBy("src_block")).applyInArrow(_verify, "src_doc long")
-        if failed.isEmpty():
-            return out.where("src_block is null").select("doc_id", "n_words", "n_removed", "kept", "kept_sha256", "paths")
-    raise RuntimeError(f"different spans shared a {key_bits + 8 * width}-bit key under each of {len(SEEDS)} seeds")
+    ``paths`` (verified repeated spans in words, with the path each follows); ``k`` is 2 or more."""
+    blocks = make_blocks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), bytes.split)
+    n_bytes, n_words = totals(blocks)
+    buckets = bucket_count(blocks, n_bytes)
+    short = min(bits, key_bits(n_words))
+    whole = blocks.groupBy("block")
+    marks = shared_keys(blocks, lambda b: _short(Edges(b, k, bits), bits, short)[0], buckets, short)
+    sent = whole.cogroup(marks.groupBy("block")).applyInArrow(_send(k, buckets, bits, short), _EDGES)
+    found = materialise(by_bucket(sent, buckets).applyInArrow(_answer(buckets, bits), _FOUND))
+    traced = materialise(whole.cogroup(found.groupBy("block")).applyInArrow(_trace(k, bits), _TRACED))
+    paths = compact(traced.where("node is not null").select("block", "node", "at", "kind", "run", "last"))
+    asked = traced.where("digest is not null").select(F.col("src_block").alias("block"), F.col("block").alias("asker"), "src_at", "length", "digest")
+    held = asked.unionByName(paths.select("block", F.col("at").alias("src_at"), F.col("end").alias("length"), "path_block", "path_at", "offset"), allowMissingColumns=True)
+    pieces = whole.cogroup(held.groupBy("block")).applyInArrow(_verify(k), _PIECES)
+    return whole.cogroup(found.unionByName(pieces, allowMissingColumns=True).groupBy("block")).applyInArrow(_cut(k, bits, keep_text), _OUT)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
