@@ -161,9 +161,10 @@ def rolled(w: np.ndarray, k: int, base: int) -> np.ndarray:
     return mix(h)
 
 
-def make_blocks(docs: DataFrame, split: Callable[[bytes], list[bytes]], block_bytes: int = BLOCK_BYTES, keep_text: bool = False) -> DataFrame:
+def make_blocks(docs: DataFrame, split: Callable[[bytes], list[bytes]], block_bytes: int = BLOCK_BYTES, keep_text: bool = False, mark: tuple[str, Callable[[bytes], bytes]] | None = None) -> DataFrame:
     """A written table of blocks of ``docs`` (a ``text`` among its columns, which the block's
-    documents keep only with ``keep_text``); ``split`` cuts a text into words."""
+    documents keep only with ``keep_text``); ``split`` cuts a text into words; ``mark`` names a
+    binary column to add to the documents, and what makes it of a text."""
     held = docs if keep_text else docs.drop("text")
     names = held.columns
     k = docs.columns.index("text")
@@ -177,8 +178,10 @@ def make_blocks(docs: DataFrame, split: Callable[[bytes], list[bytes]], block_by
         size, seq = 0, 0
 
         def take(b: pa.RecordBatch) -> None:
-            parts.append(b.select(names))
-            for text in text_bytes(b.column(k)):
+            texts = text_bytes(b.column(k))
+            part = b.select(names)
+            parts.append(part if mark is None else pa.RecordBatch.from_arrays([*part.columns, pa.array([mark[1](x) for x in texts], pa.binary())], names=[*names, mark[0]]))
+            for text in texts:
                 ws = split(text)
                 sizes.append(len(ws))
                 codes.append(np.fromiter(map(index.__getitem__, ws), dtype=np.int32, count=len(ws)))

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -100,3 +101,21 @@ def give_way(docs: DataFrame, *outputs: str) -> DataFrame:
             taken.append(c)
         names.append(c)
     return docs if names == docs.columns else docs.toDF(*names)
+
+
+def aside(docs: DataFrame, *needed: str) -> DataFrame:
+    """``docs`` with every column but the needed ones under a name of our own, so that an
+    operator's private columns clash with none; ``back`` restores the names."""
+    return docs.toDF(*[c if c in needed else f"__other_{i}" for i, c in enumerate(docs.columns)])
+
+
+def back(out: DataFrame, docs: DataFrame, *needed: str) -> DataFrame:
+    """The columns of ``docs`` out of what an operator made of ``aside(docs, *needed)``."""
+    return out.select(*[c if c in needed else f"__other_{i}" for i, c in enumerate(docs.columns)]).toDF(*docs.columns)
+
+
+def extend(docs: DataFrame, run, fields: list, *needed: str) -> DataFrame:
+    """``docs`` (its clashing names given way already) plus the columns that ``run`` appends to
+    its Arrow batches, in which only the needed columns keep their names."""
+    held = aside(docs, *needed)
+    return held.mapInArrow(run, T.StructType([*held.schema.fields, *fields])).toDF(*docs.columns, *[f.name for f in fields])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brambleq.llm._common import materialise
+from brambleq.llm._common import discard, materialise
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -29,5 +29,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionAll(low.select("u", F.col("m").alias("v")))
-        now = materialise(small.distinct())
+        old, now = now, materialise(small.distinct())
+        discard(old)
     raise RuntimeError("components did not settle")

@@ -5,13 +5,16 @@ streamed through it, and at every word it knows the longest run of words that
 ends there and occurs in some item.  A run of ``window`` words or more hits the
 last ``window`` words; an item of fewer words is hit as a whole.
 
-Items are loaded a bounded number of words at a time (``MAX_ITEM_WORDS``): each
-load becomes one broadcast automaton and one pass in the same stage, so a
+Items are loaded a bounded number of words at a time (``MAX_ITEM_WORDS``, a longer
+item in parts that share a window's words less one): each load becomes one broadcast
+automaton and one pass, and what a pass found is written before the next load's, so a
 benchmark of any size costs passes, not memory, and nothing is shuffled.
 
 Defined results: a null or empty text has no words and is clean; rows with a
 null item id are no items; rows of an item that is listed twice are one item with
-both texts; duplicate document rows are judged alike; extra columns are kept.
+both texts; duplicate document rows are judged alike; an empty table gives an empty
+table; extra columns are kept, and one that has an output's name is renamed to
+``<name>_input`` (``clean`` has no outputs of its own).
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brambleq.llm._common import table, text_bytes
+from brambleq.llm._common import aside, back, give_way, materialise, table, text_bytes
 
 WINDOW = 10
 #: Words of benchmark items in one automaton (about 300 bytes each once built).
@@ -169,11 +172,13 @@ def automata(items: DataFrame, window: int, max_words: int) -> Iterator[Automato
     held: list[tuple[str, list[bytes]]] = []
     size = 0  # an empty benchmark yields one empty automaton
     for row in items.select(F.col("item_id").cast("string").alias("i"), "text").where("item_id is not null and text is not null").toLocalIterator():
-        words = words_of(row[1].encode("utf-8"))
-        if held and size + len(words) > max_words:
-            yield Automaton(held, window)
-            held, size = [], 0
-        if words:
+        whole = words_of(row[1].encode("utf-8"))
+        step = max(max_words, window)
+        for s in range(0, max(1, len(whole) - window + 1), step) if whole else ():
+            words = whole[s : s + step + window - 1]
+            if held and size + len(words) > max_words:
+                yield Automaton(held, window)
+                held, size = [], 0
             held.append((row[0], words))
             size += len(words)
     if held or not size:
@@ -188,7 +193,8 @@ COUNT = "__hit_words"
 def match(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_item_words: int = MAX_ITEM_WORDS) -> DataFrame:
     """``docs`` plus ``__hit_words`` (number of words), ``__hit_spans`` (merged spans of
     hit word positions) and ``__hit_items`` (ids of the items that occur, sorted)."""
-    return _match(docs, items, window, max_item_words, False)
+    docs = give_way(docs, COUNT, HIT, ITEMS)
+    return _match(aside(docs, "text"), items, window, max_item_words, False).toDF(*docs.columns, COUNT, HIT, ITEMS)
 
 
 def _match(docs: DataFrame, items: DataFrame, window: int, max_item_words: int, cut: bool) -> DataFrame:
@@ -201,7 +207,11 @@ def _match(docs: DataFrame, items: DataFrame, window: int, max_item_words: int,
     now = next(loads)
     while now is not None:
         after = next(loads, None)
-        out = out.mapInArrow(_pass(spark.sparkContext.broadcast(now), cut and after is None), schema)
+        shared = spark.sparkContext.broadcast(now)
+        out = out.mapInArrow(_pass(shared, cut and after is None), schema)
+        if after is not None:
+            out = materialise(out)
+            shared.destroy()
         now = after
     return out
 
@@ -241,12 +251,12 @@ def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_coverage:
     """``docs`` without contamination, columns unchanged: hit spans are cut from the
     text (with what separates their words), documents whose share of hit words
     exceeds ``max_coverage`` are dropped, and ``n_chars`` follows where present."""
-    found = _match(docs, items, window, max_item_words, True)
+    found = _match(aside(docs, "text", "n_chars"), items, window, max_item_words, True)
     hit = F.aggregate(HIT, F.lit(0), lambda acc, s: acc + s["end"] - s["start"])
     out = found.where(hit <= F.col(COUNT) * F.lit(max_coverage))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size(HIT) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return back(out, docs, "text", "n_chars")
 
 
 def cut_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:

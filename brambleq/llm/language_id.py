@@ -2,9 +2,9 @@
 
 Fixed-length windows of a text's bytes pass filters of several widths, a max
 pool over positions and a softmax.  The network is trained in numpy on windows of
-labelled documents: at most ``DOCS_PER_LANGUAGE`` documents of each language,
-chosen by the order of a hash of their ids, and ``WINDOWS_PER_DOC`` windows of
-each.  A text of any length is cut into windows that cover it wholly, classified
+labelled documents: at most ``DOCS_PER_LANGUAGE`` documents of each of the
+``MAX_LANGUAGES`` most frequent languages, those with the smallest hashes of their ids,
+and ``WINDOWS_PER_DOC`` windows of each.  A text of any length is cut into windows that cover it wholly, classified
 in batches, and the windows' log-probabilities are averaged.
 
 With one filter bank, the products of embeddings and filters depend on two
@@ -12,7 +12,10 @@ neighbouring bytes at a time, so classification reads them from tables.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0;
 without any labelled row all texts are ``und``; ties go to the first language in
-alphabetical order; a null id is in no training set and not held out.
+alphabetical order; a null id is in no training set and not held out; rows that repeat
+are judged alike, and of those that repeat an id all may be learnt from; an empty table
+gives an empty table; extra columns are kept, and one that has an output's name is renamed
+to ``<name>_input`` (``keep`` has no outputs of its own).
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from brambleq.llm._common import fold, table, text_bytes
+from brambleq.llm._common import aside, back, extend, fold, give_way, table, text_bytes
 
 WINDOW = 96
 WIDTHS = (2, 3, 4)
@@ -35,6 +38,7 @@ FILTERS = 12
 EMBED = 8
 DOCS_PER_LANGUAGE = 500
 WINDOWS_PER_DOC = 6
+MAX_LANGUAGES = 400
 MAX_DOCS = 20_000
 EPOCHS = 6
 #: ``keep`` rejects documents below this score, and those without a letter.
@@ -149,8 +153,13 @@ class Network:
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Network | None:
     """A network fitted on a bounded sample of ``labelled``: see the module's text."""
     ids = labelled.select(F.col(key).alias("__k"), F.col(lang).alias("__l")).where("__k is not null and __l is not null").withColumn("__o", F.xxhash64("__k"))
+    # below such a hash stand about twice as many documents of a language as are wanted; one task need not see more
+    counts = ids.groupBy("__l").agg(F.count("*").alias("__n")).orderBy(F.desc("__n"), "__l").limit(MAX_LANGUAGES)
+    share = F.least(F.lit(1.0), F.lit(2.0 * DOCS_PER_LANGUAGE + 100) / F.col("__n"))
+    least = F.broadcast(counts.select("__l", share.alias("__share")))
+    small = ids.join(least, "__l").where((F.col("__o") / F.lit(2.0**64) + 0.5) <= F.col("__share"))
     rank = F.row_number().over(Window.partitionBy("__l").orderBy("__o", "__k"))
-    chosen = ids.withColumn("__r", rank).where(F.col("__r") <= DOCS_PER_LANGUAGE).orderBy("__r", "__l", "__o").limit(MAX_DOCS).select("__k").distinct()
+    chosen = small.withColumn("__r", rank).where(F.col("__r") <= DOCS_PER_LANGUAGE).orderBy("__r", "__l", "__o").limit(MAX_DOCS).select("__k").distinct()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -176,7 +185,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
 
 def predict(docs: DataFrame, network: Network | None, text: str = "text") -> DataFrame:
     """``docs`` plus ``__lang`` and ``__score`` (the windows' geometric mean probability)."""
-    schema = T.StructType([*docs.schema.fields, T.StructField("__lang", T.StringType()), T.StructField("__score", T.DoubleType())])
+    docs = give_way(docs, "__lang", "__score")
     k = docs.columns.index(text)
     shared = docs.sparkSession.sparkContext.broadcast(network)
 
@@ -216,12 +225,13 @@ def predict(docs: DataFrame, network: Network | None, text: str = "text") -> Dat
             flush()
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs), pa.array(scores, pa.float64())], names=[*b.schema.names, "__lang", "__score"])
 
-    return docs.mapInArrow(run, schema)
+    return extend(docs, run, [T.StructField("__lang", T.StringType()), T.StructField("__score", T.DoubleType())], text)
 
 
 def keep(docs: DataFrame, network: Network | None, min_score: float = MIN_SCORE) -> DataFrame:
     """``docs`` without those that are undetermined or score below ``min_score``."""
-    return predict(docs, network).where((F.col("__lang") != UNDETERMINED) & (F.col("__score") >= min_score)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = predict(aside(docs, "text"), network).where((F.col("__lang") != UNDETERMINED) & (F.col("__score") >= min_score))
+    return back(kept, docs, "text")
 
 
 def training_rows(docs: DataFrame) -> DataFrame:

@@ -7,12 +7,17 @@ within the sketch's error of the threshold get an exact distinct count.  Lines
 found to be boilerplate go back to their documents by position.
 
 Only DataFrame functions are used.  The text itself is shuffled once, with its
-flagged positions; lines travel as hashes.
+flagged positions; lines travel as hashes.  The occurrences of a line are dealt over
+``SALTS`` tasks wherever they are joined, so that a line on every document is no hot
+key; the few hashes that they are joined with are repeated instead.
 
 Defined results: a null text stays null and has no lines; an empty text is one
-empty line; lines that are blank after trimming are never removed; a null site
-counts as no site; rows that repeat an id are told apart by their text, and equal
-rows get equal results; a text of which every line goes becomes empty.
+empty line; lines are compared without white space at their ends (so ``x`` and ``x``
+with a carriage return are one line), and lines blank after that are never removed;
+a null site counts as no site; rows that repeat an id are told apart by their text,
+and equal rows get equal results; a text of which every line goes becomes empty; an
+empty table gives an empty table; extra columns are kept, and one that has an output's
+name is renamed to ``<name>_input`` (``clean`` has no outputs of its own).
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brambleq.llm._common import table
+from brambleq.llm._common import aside, back, give_way, materialise, quoted, table
 
 #: Distinct sites from which a line is boilerplate.
 MIN_SITES = 10
@@ -30,11 +35,9 @@ MIN_SITES = 10
 LOG_K = 11
 
 
-def _lines(docs: DataFrame, site: str) -> DataFrame:
-    """One row per non-blank line: document key, position, hash lanes, site."""
-    return docs.select(*_key(), F.col(f"`{site}`").cast("string").alias("__site"), F.posexplode(F.split("text", "\n", -1)).alias("__pos", "__line")).select(
-        "__id", "__sum", "__len", "__pos", "__site", F.trim("__line").alias("__line")
-    ).where("__line != ''").select("__id", "__sum", "__len", "__pos", "__site", F.xxhash64("__line").alias("__h1"), F.xxhash64(F.lit("line"), "__line").alias("__h2"))
+#: Tasks over which the occurrences of one line are dealt.
+SALTS = 16
+_BLANKS = " \t\r\x0b\x0c"
 
 
 def _key() -> list[Column]:
@@ -42,43 +45,71 @@ def _key() -> list[Column]:
     return [F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__sum"), F.octet_length("text").alias("__len")]
 
 
+def _lines(docs: DataFrame, site: str) -> DataFrame:
+    """One row per non-blank line: document key, position, hash lanes, site."""
+    rows = docs.select(*_key(), quoted(site).cast("string").alias("__site"), F.posexplode(F.split("text", "\n", -1)).alias("__pos", "__line"))
+    rows = rows.withColumn("__line", F.btrim("__line", F.lit(_BLANKS))).where("__line != ''")
+    return rows.select("__id", "__sum", "__len", "__pos", "__site", F.xxhash64("__line").alias("__h1"), F.xxhash64(F.lit("line"), "__line").alias("__h2"))
+
+
+def _meet(lines: DataFrame, hashes: DataFrame) -> DataFrame:
+    """``lines`` whose hash is among ``hashes`` (each once, with further columns)."""
+    dealt = lines.withColumn("__salt", F.pmod(F.xxhash64("__id", "__sum", "__pos"), F.lit(SALTS)).cast("int"))
+    return dealt.join(hashes.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["__h1", "__h2", "__salt"]).drop("__salt")
+
+
 def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "source", log_k: int = LOG_K) -> DataFrame:
-    """Hashes (``__h1``, ``__h2``) of the lines on ``min_sites`` distinct sites or more."""
+    """The occurrences (document key, ``__pos``) of lines on ``min_sites`` distinct sites or more."""
     lines = _lines(docs, site)
     sketches = lines.where("__site is not null").groupBy("__h1", "__h2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("__site", F.lit(log_k))).alias("__sites"))
     band = max(1, math.ceil(4 * 1.04 / math.sqrt(2**log_k) * min_sites))
-    sure = sketches.where(F.col("__sites") >= min_sites + band).select("__h1", "__h2")
-    near = sketches.where(F.abs(F.col("__sites") - min_sites) < band).select("__h1", "__h2")
-    exact = lines.select("__h1", "__h2", "__site").join(near, ["__h1", "__h2"], "left_semi").groupBy("__h1", "__h2").agg(F.countDistinct("__site").alias("__n")).where(F.col("__n") >= min_sites).select("__h1", "__h2")
-    return sure.unionAll(exact)
-
-
-def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "source", log_k: int = LOG_K) -> DataFrame:
-    """``docs`` plus ``__n_lines``, ``__n_removed`` and ``__kept`` (the text without its boilerplate lines)."""
-    flagged = (
-        _lines(docs, site)
-        .select("__id", "__sum", "__len", "__pos", "__h1", "__h2")
-        .join(boilerplate(docs, min_sites, site, log_k), ["__h1", "__h2"], "left_semi")
-        .groupBy("__id", "__sum", "__len")
-        .agg(F.collect_set("__pos").alias("__gone"))
-    )
+    found = sketches.where(F.col("__sites") > min_sites - band).select("__h1", "__h2", (F.col("__sites") >= min_sites + band).alias("__sure"))
+    met = materialise(_meet(lines, found))
+    near = met.where("not __sure")
+    # distinct sites are combined before they move, so a hot line costs an entry per task and site
+    exact = near.groupBy("__h1", "__h2").agg(F.countDistinct("__site").alias("__n")).where(F.col("__n") >= min_sites).select("__h1", "__h2")
+    columns = ["__id", "__sum", "__len", "__pos"]
+    return met.where("__sure").select(*columns).unionAll(_meet(near, exact).select(*columns))
+
+
+def _without(lines: Column, gone: Column) -> Column:
+    """``lines`` without those at the ascending positions ``gone``: the slices between them."""
+    after = lambda i: F.when(i == 0, 0).otherwise(F.get(gone, i - 1) + 1)
+    end = lambda i: F.coalesce(F.get(gone, i), F.size(lines))
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(gone)), lambda i: F.slice(lines, after(i) + 1, end(i) - after(i))))
+
+
+def _judged(docs: DataFrame, min_sites: int, site: str, log_k: int) -> DataFrame:
+    """``docs`` (no column but those named here begins with two underscores) plus ``__n_lines``,
+    ``__n_removed`` and ``__kept``."""
+    flagged = boilerplate(docs, min_sites, site, log_k).groupBy("__id", "__sum", "__len").agg(F.array_sort(F.collect_set("__pos")).alias("__gone"))
     a, b = docs.select("*", *_key()), flagged.select(*[F.col(c).alias(f"{c}_b") for c in ("__id", "__sum", "__len")], "__gone")
     same = a["__id"].eqNullSafe(b["__id_b"]) & (a["__sum"] == b["__sum_b"]) & (a["__len"] == b["__len_b"])
     lines = F.split("text", "\n", -1)
-    kept = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__gone", i)), "\n"))
     return a.join(b, same, "left").select(
-        *[F.col(f"`{c}`") for c in docs.columns],
-        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("__n_lines"),
-        F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("__n_removed"),
-        kept.alias("__kept"),
-    ).withColumn("__n_lines", F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(F.col("__n_lines")))
+        *docs.columns,
+        F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long").alias("__n_lines"),
+        F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.size("__gone")).cast("long").alias("__n_removed"),
+        F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(_without(lines, F.col("__gone")), "\n")).alias("__kept"),
+    )
+
+
+def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "source", log_k: int = LOG_K) -> DataFrame:
+    """``docs`` plus ``__n_lines``, ``__n_removed`` and ``__kept`` (the text without its boilerplate lines)."""
+    outputs = ("__n_lines", "__n_removed", "__kept")
+    docs = give_way(docs, *outputs)
+    needed = ("doc_id", "text", site)
+    out = _judged(aside(docs, *needed), min_sites, site, log_k)
+    return out.toDF(*docs.columns, *outputs)
 
 
 def clean(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "source") -> DataFrame:
-    """``docs`` with boilerplate lines cut from ``text``, columns unchanged."""
-    out = remove_boilerplate(docs, min_sites, site)
-    columns = [F.col(f"`{c}`") if c not in ("text", "n_chars") else F.col("__kept").alias("text") if c == "text" else F.when(F.col("__n_removed") > 0, F.length("__kept").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) for c in docs.columns]
-    return out.select(*columns)
+    """``docs`` with boilerplate lines cut from ``text``, columns unchanged; ``n_chars`` follows where present."""
+    needed = ("doc_id", "text", site, "n_chars")
+    out = _judged(aside(docs, *needed), min_sites, site, LOG_K).withColumn("text", F.col("__kept"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("__n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return back(out, docs, *needed)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +119,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH l AS (
-  SELECT doc_id, source, i, trim(ls[i]) AS t
+  SELECT doc_id, source, i, trim(ls[i], ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS t
   FROM (SELECT doc_id, source, string_split(text, chr(10)) AS ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE text IS NOT NULL)
 ), b AS (SELECT t FROM l WHERE t <> '' GROUP BY t HAVING count(DISTINCT source) >= 10),
 r AS (SELECT doc_id, list(i) AS gone FROM l JOIN b USING (t) GROUP BY doc_id)

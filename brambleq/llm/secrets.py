@@ -10,7 +10,9 @@ format, words) are suppressed.
 
 Defined results: a null or empty text has no spans; a text of any length is
 scanned whole; spans may overlap across kinds, and all are reported; rows that
-repeat are scanned alike; extra columns are kept.
+repeat are scanned alike; an empty table gives an empty table; extra columns are kept, and
+one that has an output's name is renamed to ``<name>_input`` (``redact`` has no outputs of
+its own).
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brambleq.llm._common import table
+from brambleq.llm._common import aside, back, extend, give_way, table
 
 KINDS = ("assign", "access", "hex", "entropy")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -37,6 +39,7 @@ _HEX = re.compile(r"[0-9a-f]{32,}")
 WINDOW = 20
 #: Classes from narrow to wide: characters, and bits a character that a window must reach.
 CLASSES = (("hex", re.compile(r"[0-9a-f]{20,}|[0-9A-F]{20,}"), 3.0), ("alnum", re.compile(r"[A-Za-z0-9]{20,}"), 3.7), ("base64", re.compile(r"[A-Za-z0-9+/_=-]{20,}"), 3.9))
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 #: Strings that are no secrets: numbers, dates, dotted or dashed identifiers of
 #: fixed format, paths, and strings of letters in at most one case change.
@@ -79,6 +82,12 @@ def windows(run: str, least: float, window: int = WINDOW) -> list[tuple[int, int
     return out
 
 
+def prose(part: str) -> bool:
+    """Digits alone are a number; letters alone are words run together, unless their case
+    changes so often that the words would have fewer than three letters on average."""
+    return part.isdigit() or (part.isalpha() and len(part) >= 3 * len(_WORD.findall(part)))
+
+
 def entropy_spans(text: str) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for m in _CANDIDATE.finditer(text):
@@ -89,8 +98,7 @@ def entropy_spans(text: str) -> list[tuple[int, int]]:
         for _, shape, least in CLASSES:
             for r in shape.finditer(s):
                 part = r.group()
-                # a run of letters only is prose run together, a run of digits only a number
-                if part.isalpha() or part.isdigit():
+                if prose(part):
                     continue
                 found += [(a + r.start(), b + r.start()) for a, b in windows(part, least)]
         found.sort()
@@ -126,7 +134,7 @@ def find(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
 def scan(docs: DataFrame) -> DataFrame:
     """``docs`` plus ``__base`` and ``__spans``: arrays of (kind, start, end) in code points, end exclusive."""
     span = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
-    schema = T.StructType([*docs.schema.fields, T.StructField("__base", span), T.StructField("__spans", span)])
+    docs = give_way(docs, "__base", "__spans")
     k = docs.columns.index("text")
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
@@ -136,12 +144,12 @@ def scan(docs: DataFrame) -> DataFrame:
             cols = [pa.array([[{"kind": KINDS[c], "start": s, "end": e} for s, c, e in spans[i]] for spans in both], kind) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*b.schema.names, "__base", "__spans"])
 
-    return docs.mapInArrow(run, schema)
+    return extend(docs, run, [T.StructField("__base", span), T.StructField("__spans", span)], "text")
 
 
 def redact(docs: DataFrame, mask: str = "<secret>") -> DataFrame:
     """``docs`` with each maximal run of overlapping spans replaced by ``mask``; columns unchanged."""
-    found = scan(docs)
+    found = scan(aside(docs, "text"))
     k = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +166,7 @@ def redact(docs: DataFrame, mask: str = "<secret>") -> DataFrame:
             columns[k] = pa.array(texts, b.schema.field(k).type)
             yield pa.RecordBatch.from_arrays(columns, schema=b.schema)
 
-    return found.mapInArrow(run, found.schema).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return back(found.mapInArrow(run, found.schema), docs, "text")
 
 
 def joined(column: str):

@@ -2,21 +2,25 @@
 
 A 64-bit fingerprint is eight bytes at eight positions.  Fingerprints that
 differ in at most three bits differ in at most three bytes, so they share at
-least five bytes at their positions: the guaranteed minimum.  The index has a
-posting for every five positions and their five bytes; two fingerprints in a
-posting have shared bytes, which are tallied over all eight positions, and of
-all postings that a pair shares only the first counts it, so a pair is tallied
-once.  Pairs that reach the minimum are verified by their differing bits.
-
-Copies with one fingerprint are one entry of the index.  A posting leaves three
-bytes free, so it has at most 2**24 entries whatever the corpus; it is worked in
-tiles and yields a spanning forest of its links, at most one link per entry, not
-all pairs.  Components join the links; nothing is gathered on the driver.
+least five bytes at their positions: the guaranteed minimum.  Of the first m + 3
+positions such a pair shares m at least, so the index has a posting for every m
+of these positions and their bytes; m is 3 as long as that leaves about one
+fingerprint to a posting, and grows with their number (every m loses no link).
+In a posting the shared positional bytes of each pair are tallied over all eight
+positions; pairs that reach the minimum are retained, of all postings that such a
+pair shares the first one keeps it, and it is verified by its differing bits.
+
+Copies with one fingerprint are one entry of the index.  A large posting is
+divided by further bytes, as long as pairs still owe shared bytes to the minimum;
+what remains is worked in tiles.  It yields a spanning forest of its links, at most
+one link per entry, not all pairs.  Components join the links; nothing is gathered
+on the driver.
 
 Defined results: a text without words, and a null text, has fingerprint zero and
 is linked like any other; texts of fewer words than a shingle are one shingle;
 a null id is in a component but never names it (null where it is alone); equal
-rows share a component; extra columns are kept by ``deduplicate``.
+rows share a component; an empty table gives an empty table; ``deduplicate`` carries
+columns of any name along, the others read ``doc_id`` and ``text`` only.
 """
 
 from __future__ import annotations
@@ -32,7 +36,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brambleq.llm import near_copies
-from brambleq.llm._common import materialise, shuffle_partitions, table, text_bytes
+from brambleq.llm._blocks import BUCKETS_A_PARTITION, by_bucket
+from brambleq.llm._common import extend, give_way, materialise, shuffle_partitions, table, text_bytes
 from brambleq.llm._graph import components
 
 SHINGLE = 3
@@ -40,12 +45,25 @@ SEED = 42
 MAX_BITS = 3
 #: Bytes of eight that fingerprints within MAX_BITS share at least.
 MIN_SHARED = 8 - MAX_BITS
-_POSTINGS = list(combinations(range(8), MIN_SHARED))
-_MASKS = np.array([sum(0xFF << (8 * p) for p in c) for c in _POSTINGS], dtype=np.uint64)
 #: Entries of the index that one bucket holds, about.
 BUCKET_ENTRIES = 2_000_000
 #: Side of the squares in which a posting's entries are compared.
 _TILE = 1024
+#: Entries beyond which a posting is divided by a further byte.
+_LARGE = 4096
+
+
+def width(n: int) -> int:
+    """Bytes of a posting for so many fingerprints."""
+    return next((m for m in range(MIN_SHARED - 2, MIN_SHARED) if n <= 256**m), MIN_SHARED)
+
+
+def _postings(m: int) -> list[tuple[int, ...]]:
+    return list(combinations(range(m + MAX_BITS), m))
+
+
+def _masks(m: int) -> np.ndarray:
+    return np.array([sum(0xFF << (8 * p) for p in c) for c in _postings(m)], dtype=np.uint64)
 
 
 def shingles(text: bytes, shingle: int) -> np.ndarray:
@@ -76,7 +94,7 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 def with_fingerprint(docs: DataFrame, shingle: int = SHINGLE, out: str = "__fp") -> DataFrame:
     """``docs`` plus the fingerprint, as the long of the same 64 bits."""
-    schema = T.StructType([*docs.schema.fields, T.StructField(out, T.LongType(), False)])
+    docs = give_way(docs, out)
     k = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,18 +102,19 @@ def with_fingerprint(docs: DataFrame, shingle: int = SHINGLE, out: str = "__fp")
             fps = np.array([fingerprint(x, shingle) for x in text_bytes(b.column(k))], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps, pa.int64())], names=[*b.schema.names, out])
 
-    return docs.mapInArrow(run, schema)
+    return extend(docs, run, [T.StructField(out, T.LongType())], "text")
 
 
-def _deal(buckets: int):
+def _deal(buckets: int, m: int):
     """Each fingerprint's postings, to the buckets of the index."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        masks = _masks(m)
         for batch in batches:
             fps = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
             to, which, what = [], [], []
-            for i, m in enumerate(_MASKS):
-                key = (fps & m) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(i * 0x632BE59BD9B4E019 % 2**64)
+            for i, mask in enumerate(masks):
+                key = (fps & mask) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(i * 0x632BE59BD9B4E019 % 2**64)
                 key ^= key >> np.uint64(32)
                 to.append(((key * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(33)) % np.uint64(buckets))
                 which.append(np.full(fps.size, i, dtype=np.uint8))
@@ -113,18 +132,22 @@ def _deal(buckets: int):
     return run
 
 
-def _first_shared(diff: np.ndarray) -> np.ndarray:
-    """Of XORed pairs, the first posting that both are in, by the tally of shared bytes; -1 below the minimum."""
-    shared = (diff.view(np.uint8).reshape(-1, 8) == 0).astype(np.int64)
-    tally = shared.sum(axis=1)
-    out = np.full(diff.size, -1, dtype=np.int64)
-    ok = tally >= MIN_SHARED
-    bits = (shared << np.arange(8)).sum(axis=1)
-    out[ok] = _FIRST[bits[ok]]
-    return out
+def _tally(diff: np.ndarray) -> np.ndarray:
+    """Positional bytes that XORed pairs share."""
+    t = diff | diff >> np.uint64(4)
+    t |= t >> np.uint64(2)
+    t |= t >> np.uint64(1)
+    return 8 - np.bitwise_count(t & np.uint64(0x0101010101010101))
+
 
+def _first(m: int) -> np.ndarray:
+    """By the set of shared positions, the first posting that a pair is in; -1 for none."""
+    return np.array([next((i for i, c in enumerate(_postings(m)) if all(b >> p & 1 for p in c)), -1) for b in range(256)], dtype=np.int64)
 
-_FIRST = np.array([next((i for i, c in enumerate(_POSTINGS) if all(b >> p & 1 for p in c)), -1) for b in range(256)], dtype=np.int64)
+
+def _first_shared(diff: np.ndarray, first: np.ndarray) -> np.ndarray:
+    shared = diff.view(np.uint8).reshape(-1, 8) == 0
+    return first[(shared << np.arange(8)).sum(axis=1)]
 
 
 class Forest:
@@ -146,49 +169,72 @@ class Forest:
         return True
 
 
-def _posting_links(fps: np.ndarray, which: int) -> Iterator[tuple[int, int]]:
-    """A spanning forest of the links that this posting is the first to hold."""
-    n = fps.size
-    forest = Forest(n)
-    for i in range(0, n, _TILE):
-        for j in range(i, n, _TILE):
-            diff = fps[i : i + _TILE, None] ^ fps[None, j : j + _TILE]
-            a, b = np.nonzero(np.bitwise_count(diff) <= MAX_BITS)
-            a, b = a + i, b + j
+def _pairs(fps: np.ndarray, at: np.ndarray, left: tuple[int, ...], owed: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of entries ``at`` that reach the minimum, by tiles; of the positions ``left`` they share
+    ``owed`` at least, so the first that a pair shares leaves so many behind it."""
+    if owed and at.size > _LARGE:
+        for j in range(len(left) - owed + 1):
+            byte = (fps[at] >> np.uint64(8 * left[j])) & np.uint64(0xFF)
+            order = np.argsort(byte, kind="stable")
+            for part in np.split(at[order], np.flatnonzero(np.diff(byte[order])) + 1):
+                if part.size > 1:
+                    yield from _pairs(fps, part, left[j + 1 :], owed - 1)
+        return
+    for i in range(0, at.size, _TILE):
+        for j in range(i, at.size, _TILE):
+            a, b = np.nonzero(_tally(fps[at[i : i + _TILE], None] ^ fps[None, at[j : j + _TILE]]) >= MIN_SHARED)
+            a, b = at[a + i], at[b + j]
             fore = a < b
-            a, b = a[fore], b[fore]
-            if a.size:
-                first = _first_shared(fps[a] ^ fps[b]) == which
-                for x, y in zip(a[first].tolist(), b[first].tolist(), strict=True):
-                    if forest.join(x, y):
-                        yield x, y
-
-
-def _links(t: pa.Table) -> pa.Table:
-    which = np.frombuffer(b"".join(t.column("which").to_pylist()), dtype=np.uint8)
-    fps = np.frombuffer(b"".join(t.column("fps").to_pylist()), dtype=np.uint64)
-    key = fps & _MASKS[which]
-    order = np.lexsort((fps, key, which))
-    which, fps, key = which[order], fps[order], key[order]
-    new = np.concatenate(([True], (key[1:] != key[:-1]) | (which[1:] != which[:-1]))) if fps.size else np.zeros(0, bool)
-    starts = np.flatnonzero(new)
-    ends = np.append(starts[1:], fps.size)
-    many = ends - starts > 1
-    us, vs = [], []
-    for s, e in zip(starts[many].tolist(), ends[many].tolist(), strict=True):
-        part = fps[s:e]
-        for x, y in _posting_links(part, int(which[s])):
-            us.append(part[x])
-            vs.append(part[y])
-    return pa.table({"u": pa.array(np.array(us, dtype=np.uint64).view(np.int64)), "v": pa.array(np.array(vs, dtype=np.uint64).view(np.int64))})
+            yield a[fore], b[fore]
+
+
+def _posting_links(fps: np.ndarray, which: int, m: int, first: np.ndarray) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the links that this posting is the first to hold."""
+    forest = Forest(fps.size)
+    left = tuple(p for p in range(8) if p not in _postings(m)[which])
+    for a, b in _pairs(fps, np.arange(fps.size), left, MIN_SHARED - m):
+        diff = fps[a] ^ fps[b]
+        link = (np.bitwise_count(diff) <= MAX_BITS) & (_first_shared(diff, first) == which)
+        for x, y in zip(a[link].tolist(), b[link].tolist(), strict=True):
+            if forest.join(x, y):
+                yield x, y
+
+
+def _links(m: int):
+    def run(t: pa.Table) -> pa.Table:
+        masks, first = _masks(m), _first(m)
+        which = np.frombuffer(b"".join(t.column("which").to_pylist()), dtype=np.uint8)
+        fps = np.frombuffer(b"".join(t.column("fps").to_pylist()), dtype=np.uint64)
+        key = fps & masks[which]
+        order = np.lexsort((fps, key, which))
+        which, fps, key = which[order], fps[order], key[order]
+        new = np.concatenate(([True], (key[1:] != key[:-1]) | (which[1:] != which[:-1]))) if fps.size else np.zeros(0, bool)
+        starts = np.flatnonzero(new)
+        ends = np.append(starts[1:], fps.size)
+        size = ends - starts
+        us, vs = [], []
+        # postings of two, nearly all, at once
+        two = starts[size == 2]
+        diff = fps[two] ^ fps[two + 1] if two.size else two.astype(np.uint64)
+        kept = two[(_tally(diff) >= MIN_SHARED) & (np.bitwise_count(diff) <= MAX_BITS) & (_first_shared(diff, first) == which[two])]
+        us += fps[kept].tolist()
+        vs += fps[kept + 1].tolist()
+        for s, e in zip(starts[size > 2].tolist(), ends[size > 2].tolist(), strict=True):
+            part = fps[s:e]
+            for x, y in _posting_links(part, int(which[s]), m, first):
+                us.append(int(part[x]))
+                vs.append(int(part[y]))
+        return pa.table({"u": pa.array(np.array(us, dtype=np.uint64).view(np.int64)), "v": pa.array(np.array(vs, dtype=np.uint64).view(np.int64))})
+
+    return run
 
 
 def link_classes(classes: DataFrame) -> DataFrame:
     """Links ``u``, ``v`` that connect all fingerprints (distinct, column ``fp``) within MAX_BITS."""
-    spark = classes.sparkSession
     n = classes.count()
-    buckets = max(shuffle_partitions(spark), -(-n * len(_POSTINGS) // BUCKET_ENTRIES))
-    return classes.select("fp").mapInArrow(_deal(buckets), "bucket int, which binary, fps binary").groupBy("bucket").applyInArrow(_links, "u long, v long")
+    m = width(n)
+    buckets = max(BUCKETS_A_PARTITION * shuffle_partitions(classes.sparkSession), -(-n * len(_postings(m)) // BUCKET_ENTRIES))
+    return by_bucket(classes.select("fp").mapInArrow(_deal(buckets, m), "bucket int, which binary, fps binary"), buckets).applyInArrow(_links(m), "u long, v long")
 
 
 def cluster(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -203,19 +249,8 @@ def cluster(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 def deduplicate(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """``docs`` with one row of each group that Jaccard similarity of at least 4/5 links
-    (not the bits of fingerprints): the one with the smallest id, the first by hash of
-    its text among equal ids, one of equal rows; rows with a null id stay.  Columns unchanged."""
-    row = ["doc_id", "__hash", "__bytes"]
-    keyed = docs.withColumns({"__hash": F.xxhash64("text"), "__bytes": F.coalesce(F.octet_length("text"), F.lit(-1))})
-    rows = materialise(near_copies.group(keyed.select(*row, "text"), shingle).where("doc_id is not null"))
-    best = rows.groupBy("root").agg(F.min(F.struct(*row)).alias("best"))
-    keys = materialise(rows.groupBy("root", *row).agg(F.count("*").alias("times")).join(best, "root").select(*row, (F.struct(*row) != F.col("best")).alias("copy"), "times"))
-    out = keyed.join(keys.where("copy or times > 1").select(*row), row, "left_anti")
-    again = keys.where("not copy and times > 1").select(*row)
-    if not again.isEmpty():  # of rows with equal id and text, one
-        one = keyed.join(again, row, "left_semi").groupBy(*row).agg(F.first(F.struct(*docs.columns)).alias("one"))
-        out = out.select(*docs.columns).unionByName(one.select("one.*"))
-    return out.select(*docs.columns)
+    (not the bits of fingerprints, which lose such links): see ``near_copies``."""
+    return near_copies.deduplicate(docs, shingle)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,7 +55,7 @@ _EDGES = "bucket int, block long, edges binary"
 _FOUND = "block long, bucket int, found binary"
 #: Nodes of source edges (kind 0: an edge leaves, 2: an edge enters, 1: both), or spans to be verified.
 _TRACED = "block long, node long, at int, kind int, run int, last int, src_block long, src_at int, length int, digest binary"
-_PIECES = "block long, src_block long, src_at int, length int, digest binary, pieces array<struct<path_block:long,path_at:int,offset:long,start:int,edges:int>>"
+_PIECES = "src_block long, src_at int, length int, digest binary, pieces array<struct<path_block:long,path_at:int,offset:long,start:int,edges:int>>"
 _OUT = "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string, paths array<struct<start:int,length:int,path_block:long,path_at:int,offset:long>>"
 
 
@@ -316,7 +316,7 @@ def _verify(k: int):
                     memo[s, n] = e.digest(s, n), pieces
                 digest, pieces = memo[s, n]
                 if digest == r["digest"]:
-                    out.append({"block": r["asker"], "src_block": e.block, "src_at": s, "length": n, "digest": digest, "pieces": pieces})
+                    out.append({"src_block": e.block, "src_at": s, "length": n, "digest": digest, "pieces": pieces})
         return pa.Table.from_pylist(out, _arrow(_PIECES))
 
     import pyarrow.compute  # noqa: F401
@@ -368,9 +368,10 @@ def remove_repeats(docs: DataFrame, k: int = K, keep_text: bool = True, bits: in
     found = materialise(by_bucket(sent, buckets).applyInArrow(_answer(buckets, bits), _FOUND))
     traced = materialise(whole.cogroup(found.groupBy("block")).applyInArrow(_trace(k, bits), _TRACED))
     paths = compact(traced.where("node is not null").select("block", "node", "at", "kind", "run", "last"))
-    asked = traced.where("digest is not null").select(F.col("src_block").alias("block"), F.col("block").alias("asker"), "src_at", "length", "digest")
-    held = asked.unionByName(paths.select("block", F.col("at").alias("src_at"), F.col("end").alias("length"), "path_block", "path_at", "offset"), allowMissingColumns=True)
-    pieces = whole.cogroup(held.groupBy("block")).applyInArrow(_verify(k), _PIECES)
+    asked = traced.where("digest is not null").select("block", "src_block", "src_at", "length", "digest")
+    once = asked.select(F.col("src_block").alias("block"), "src_at", "length", "digest").distinct()  # verified once, however many blocks ask
+    held = once.unionByName(paths.select("block", F.col("at").alias("src_at"), F.col("end").alias("length"), "path_block", "path_at", "offset"), allowMissingColumns=True)
+    pieces = asked.join(whole.cogroup(held.groupBy("block")).applyInArrow(_verify(k), _PIECES), ["src_block", "src_at", "length", "digest"])
     return whole.cogroup(found.unionByName(pieces, allowMissingColumns=True).groupBy("block")).applyInArrow(_cut(k, bits, keep_text), _OUT)
 
 

@@ -1,24 +1,28 @@
 """Toxic passages by maximum-scoring segments.
 
-Tokens get log-odds between toxic and clean documents under an informative
-Dirichlet prior (each token's prior is its share of the whole sample), and are
-kept where the odds stand out against their variance; words are tokens, and so
-are their beginnings of four to six letters, the strongest of which counts for
-a word.  All other words cost a constant, so that clean text drifts downwards.
-One pass over a document finds all its maximal scoring segments.  Scores of such
-segments follow an extreme-value law, exp(-K n exp(-lambda S)), whose lambda
-solves sum(p exp(lambda s)) = 1 over clean text: it turns segments into
-surprise, in nats, and keeps those that are significant in a document of
-that length.  A logistic curve over the best segment's and all significant
+Tokens get log-odds between toxic and clean text under an informative Dirichlet
+prior (each token's prior is its share of the whole sample), shrunk by the evidence
+of the documents that hold them: odds of z standard errors keep 1 - (MIN_Z / z)**2
+of themselves, and nothing below MIN_Z.  Words are tokens, and so are their
+beginnings of four to six letters, the strongest of which counts for a word; odds for
+clean text count against a passage as odds for toxic text count for it, and a small
+drift keeps the mean word of clean text below zero.  One pass over a document finds
+all its maximal scoring segments.  Scores of such segments follow an extreme-value
+law, exp(-K n exp(-lambda S)): lambda solves sum(p exp(lambda s)) = 1 over the scores of
+clean words, and K is the likeliest under the best segments of clean documents.  The law
+turns segments into surprise, in nats, and keeps those that are significant in a
+document of that length.  A logistic curve over the best segment's and all significant
 segments' surprise gives the document's score.
 
 The model is fitted on at most ``MAX_PER_CLASS`` labelled documents of each class,
-chosen by the order of a hash of their ids; equal texts count once.
+chosen by the order of a hash of their ids; equal texts count once.  The law and the
+curve are fitted on documents under a lexicon that other documents chose (``FOLDS``).
 
 Defined results: a null or empty text has no segment and gets the lowest score of
 its model; without labelled rows of both classes every score is 0; of several
 labels of a document the highest counts, null labels are no labels; rows that
-repeat score alike; extra columns are kept.
+repeat score alike; an empty table gives an empty table; extra columns are kept, and one
+that has an output's name is renamed to ``<name>_input``.
 """
 
 from __future__ import annotations
@@ -30,24 +34,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brambleq.llm._common import fold, materialise, table
+from brambleq.llm._common import extend, fold, give_way, materialise, table
 
 MAX_PER_CLASS = 6000
 BEGINNINGS = (4, 5, 6)
 #: Sum of the prior's counts, as a share of the sample's.
 PRIOR = 0.05
-MIN_Z = 4.0
-MIN_ODDS = 1.0
-#: Cost of a word that is no token of the lexicon.
-COST = 0.1
-K = 0.3
+MIN_Z = 3.0
+FOLDS = 4
+#: What the mean word of clean text must score below zero at least.
+DRIFT = 0.05
 #: Nats from which a segment is significant.
 MIN_NATS = 1.0
 THRESHOLD = 0.7
+#: Width of the bins in which scores of clean words are counted.
+_BIN = 0.02
 _WORD = re.compile(r"[^\W_]+")
 _MEMO = 200_000
 
@@ -59,37 +65,61 @@ def tokens(word: str) -> Iterator[str]:
             yield word[:n] + "*"
 
 
+def lexicon(counts: dict[str, np.ndarray], docs: np.ndarray) -> dict[str, float]:
+    """Shrunk log-odds of tokens; ``counts``: words (clean, toxic) and documents (clean, toxic)
+    that hold each; ``docs``: documents of both classes."""
+    names = list(counts)
+    c = np.array([counts[t] for t in names], dtype=float).reshape(-1, 4)
+    words, held = c[:, :2], c[:, 2:]
+    total = words.sum(axis=0)
+    if not names or not total.all() or not docs.all():
+        return {}
+    a = PRIOR * words.sum(axis=1) * (total / total.sum())[:, None]  # a row for each class
+    n = words.T + a
+    odds = np.log(n / (total[:, None] * (1 + PRIOR) - n))
+    odds = odds[1] - odds[0]
+    share = PRIOR * held.sum(axis=1) * (docs / docs.sum())[:, None]
+    z = np.abs(odds) / np.sqrt((1 / (held.T + share)).sum(axis=0))
+    keep = np.flatnonzero(z > MIN_Z)
+    return {names[i]: float(odds[i] * (1 - (MIN_Z / z[i]) ** 2)) for i in keep}
+
+
 class Model:
-    def __init__(self, weights: dict[str, float], rate: float) -> None:
-        """rate: share of clean words that have a weight above zero, and at least a little."""
+    def __init__(self, weights: dict[str, float]) -> None:
         self.weights = weights
-        mean = float(np.mean(list(weights.values()))) if weights else 1.0
-        self.decay = self._decay(mean, max(rate, 1e-6))
+        self.drift, self.decay, self.k = DRIFT, 1.0, 1.0
         self.curve = np.array([-4.0, 1.0, 0.5])
         self.memo: dict[str, float] = {}
 
-    @staticmethod
-    def _decay(mean: float, rate: float) -> float:
-        """lambda > 0 with rate * exp(lambda * mean) + (1 - rate) * exp(-lambda * COST) = 1."""
-        f = lambda x: rate * math.exp(min(700.0, x * mean)) + (1 - rate) * math.exp(-x * COST) - 1
-        low, high = 1e-6, 1.0
-        while f(high) < 0:
-            high *= 2
-        while f(low) > 0 and low > 1e-12:
-            low /= 2
-        for _ in range(80):
-            mid = (low + high) / 2
-            low, high = (mid, high) if f(mid) < 0 else (low, mid)
-        return low
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"memo": {}}
 
     def score(self, word: str) -> float:
         s = self.memo.get(word)
         if s is None:
             if len(self.memo) > _MEMO:
                 self.memo.clear()
-            s = self.memo[word] = max((self.weights.get(t, 0.0) for t in tokens(word)), default=0.0) or -COST
+            get = self.weights.get
+            s = self.memo[word] = max((get(t, 0.0) for t in tokens(word)), key=abs) - self.drift
         return s
 
+    def fit_scores(self, bins: dict[int, int]) -> None:
+        """Drift and lambda from the scores of clean words, without drift, by bins."""
+        at = np.array(sorted(bins), dtype=float) * _BIN
+        p = np.array([bins[i] for i in sorted(bins)], dtype=float)
+        if not p.size:
+            return
+        p /= p.sum()
+        self.drift = max(DRIFT, float(p @ at) + DRIFT)
+        self.memo.clear()
+        self.decay = decay(at - self.drift, p)
+
+    def fit_best(self, best: np.ndarray, n: np.ndarray) -> None:
+        """K, the likeliest for the best segments of clean documents of n words."""
+        heard = n > 0
+        total = float((n[heard] * np.exp(-self.decay * best[heard])).sum())
+        self.k = heard.sum() / total if total else 1.0
+
     def segments(self, text: str | None) -> tuple[list[tuple[int, int, float]], int]:
         """All maximal scoring segments (first character, end, score), and the number of words.
 
@@ -119,7 +149,7 @@ class Model:
 
     def nats(self, score: float, n: int) -> float:
         """-log of the chance that clean text of n words holds a segment of this score."""
-        e = self.decay * score - math.log(K * max(n, 1))
+        e = self.decay * score - math.log(self.k * max(n, 1))
         return e if e > 20 else -math.log(-math.expm1(-math.exp(-e)) or 1e-300)
 
     def features(self, text: str | None) -> tuple[float, float, list[tuple[int, int, float]]]:
@@ -158,66 +188,131 @@ class Model:
         return self
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model | None:
-    """A model from labelled documents (``doc_id``, ``text`` and ``doc_id``, ``label``)."""
+def decay(scores: np.ndarray, p: np.ndarray) -> float:
+    """lambda > 0 with sum(p exp(lambda s)) = 1; the mean score is below zero."""
+    if scores.max() <= 0:
+        return 1.0
+    f = lambda x: float(p @ np.exp(np.minimum(700.0, x * scores))) - 1
+    high = 1.0
+    while f(high) < 0:
+        high *= 2
+    low = high
+    while f(low) >= 0 and low > 1e-9:
+        low /= 2
+    for _ in range(80):
+        mid = (low + high) / 2
+        low, high = (mid, high) if f(mid) < 0 else (low, mid)
+    return low
+
+
+def _part(text: str | None) -> int:
+    """The fold of a text."""
+    return xxhash.xxh3_64_intdigest((text or "").encode(), 1) % FOLDS
+
+
+def _sample(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+    """(``text``, ``y``): the labelled documents that the model is fitted on."""
     known = labels.where(f"doc_id is not null and {label} is not null").groupBy("doc_id").agg(F.max(F.col(label)).alias("__y"))
     chosen = None
     for y in (0, 1):
         part = known.where(F.col("__y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_PER_CLASS)
         chosen = part if chosen is None else chosen.unionAll(part)
-    chosen = chosen.select(F.col("doc_id").alias("__id"), "__y")
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).groupBy(F.xxhash64("text").alias("h"), "text").agg(F.max("__y").alias("y")).select("text", "y")
+    chosen = F.broadcast(chosen.select(F.col("doc_id").alias("__id"), "__y"))
+    texts = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("__id"))
+    return materialise(texts.groupBy(F.xxhash64("text").alias("h"), "text").agg(F.max("__y").alias("y")).select("text", F.col("y").cast("int").alias("y")))
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words and documents of both classes by token and fold; the empty token counts all documents."""
+    seen: dict[tuple[int, str], list[int]] = {}
+    for b in batches:
+        for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            k = _part(text)
+            held: Counter[str] = Counter({"": 0})
+            for w, n in Counter(_WORD.findall((text or "").lower())).items():
+                for t in tokens(w):
+                    held[t] += n
+            for t, n in held.items():
+                row = seen.setdefault((k, t), [0, 0, 0, 0])
+                row[y] += n
+                row[2 + y] += 1
+    yield pa.RecordBatch.from_arrays([pa.array([t for _, t in seen], pa.string()), pa.array([k for k, _ in seen], pa.int32()), *[pa.array([r[i] for r in seen.values()], pa.int64()) for i in range(4)]], names=["token", "fold", *_COUNTS])
+
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = (Counter(), Counter())
-        docs_of, words_of = [0, 0], [0, 0]
+_COUNTS = ("w0", "w1", "d0", "d1")
+
+
+def _scores(shared):
+    """Bins of the scores of clean words, each document under the model of its fold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bins: Counter[int] = Counter()
         for b in batches:
             for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words = _WORD.findall((text or "").lower())
-                seen[y].update({t for w in set(words) for t in tokens(w)})
-                docs_of[y] += 1
-                words_of[y] += len(words)
-        names = list({*seen[0], *seen[1]})
-        zero, one = [seen[0][t] for t in names], [seen[1][t] for t in names]
-        # the two last rows, told by a blank that no token has, count documents and words
-        yield pa.RecordBatch.from_arrays([pa.array([*names, " docs", " words"]), pa.array([*zero, docs_of[0], words_of[0]], pa.int64()), pa.array([*one, docs_of[1], words_of[1]], pa.int64())], names=["token", "n0", "n1"])
-
-    counts = rows.mapInArrow(count, "token string, n0 long, n1 long").groupBy("token").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    counts = materialise(counts)
-    sums = {r["token"]: (r["n0"], r["n1"]) for r in counts.where("token in (' docs', ' words')").collect()}
-    if not sums or 0 in sums[" docs"]:
-        return None
-    (d0, d1), (w0, _) = sums[" docs"], sums[" words"]
-    t0, t1 = counts.where("token not in (' docs', ' words')").agg(F.sum("n0"), F.sum("n1")).first()
-    rare = counts.where((F.col("n1") >= 3) & (F.col("n1") * d0 > F.col("n0") * d1 * 2) & ~F.col("token").startswith(" ")).toArrow().to_pydict()
-    weights: dict[str, float] = {}
-    prior, all_ = PRIOR * (t0 + t1), t0 + t1
-    clean_hits = 0
-    for t, n0, n1 in zip(rare["token"], rare["n0"], rare["n1"], strict=True):
-        a = prior * (n0 + n1) / all_
-        odds = math.log((n1 + a) / (t1 + prior - n1 - a)) - math.log((n0 + a) / (t0 + prior - n0 - a))
-        if odds >= MIN_ODDS and odds / math.sqrt(1 / (n1 + a) + 1 / (n0 + a)) >= MIN_Z:
-            weights[t] = odds
-            clean_hits += n0
-    model = Model(weights, clean_hits / max(1, w0))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+                m = shared.value[_part(text)]
+                if not y:
+                    bins.update(round((m.score(w) + m.drift) / _BIN) for w in _WORD.findall((text or "").lower()))
+        yield pa.RecordBatch.from_arrays([pa.array(list(bins), pa.int64()), pa.array(list(bins.values()), pa.int64())], names=["bin", "n"])
+
+    return run
+
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _best(shared):
+    """The best segment's score and the words of each document, and its features under the law so far."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [shared.value.features(t)[:2] for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.float64()), b.column(1).cast(pa.int32())], names=["best", "total", "y"])
+            rows = []
+            for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                m = shared.value[_part(text)]
+                found, n = m.segments(text)
+                rows.append((max((s for *_, s in found), default=0.0), n, *m.features(text)[:2], y))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.float64()) for i in range(5)], names=["best", "n", "one", "all", "y"])
+
+    return run
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model | None:
+    """A model from labelled documents (``doc_id``, ``text`` and ``doc_id``, ``label``)."""
+    rows = _sample(docs, labels, label)
+    context = docs.sparkSession.sparkContext
+    counts = rows.mapInArrow(_count, "token string, fold int, w0 long, w1 long, d0 long, d1 long").groupBy("token", "fold").agg(*[F.sum(c).alias(c) for c in _COUNTS])
+    few = F.sum(F.col("d0") + F.col("d1"))
+    got = counts.groupBy("token").agg(few.alias("held"), F.collect_list(F.struct("fold", *_COUNTS)).alias("folds")).where("held >= 3 or token = ''").toArrow()
+    by_fold: dict[str, np.ndarray] = {}
+    for t, parts in zip(got.column("token").to_pylist(), got.column("folds").to_pylist(), strict=True):
+        x = by_fold[t] = np.zeros((FOLDS, 4), dtype=np.int64)
+        for r in parts:
+            x[r["fold"]] = [r[c] for c in _COUNTS]
+    held = by_fold.pop("", np.zeros((FOLDS, 4), dtype=np.int64))[:, 2:]
+    if not held.sum(axis=0).all():
+        return None
+    by_fold = dict(sorted(by_fold.items()))
+    model = Model(lexicon({t: x.sum(axis=0) for t, x in by_fold.items()}, held.sum(axis=0)))
+    others = [Model(lexicon({t: x.sum(axis=0) - x[k] for t, x in by_fold.items()}, held.sum(axis=0) - held[k])) for k in range(FOLDS)]
+
+    bins = rows.mapInArrow(_scores(context.broadcast(others)), "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()
+    for m in (model, *others):
+        m.fit_scores({r["bin"]: r["n"] for r in bins})
+
+    def measure() -> dict[str, np.ndarray]:
+        t = rows.mapInArrow(_best(context.broadcast(others)), "best double, n double, one double, all double, y double").toArrow()
+        x = {c: t.column(c).to_numpy() for c in ("best", "n", "one", "all", "y")}
+        order = np.lexsort((x["n"], x["best"], x["y"]))
+        return {c: v[order] for c, v in x.items()}
 
-    got = rows.mapInArrow(measure, "best double, total double, y int").toArrow()
-    x = np.column_stack([got.column("best").to_numpy(), got.column("total").to_numpy()])
-    y = got.column("y").to_numpy().astype(float)
-    order = np.lexsort((x[:, 1], x[:, 0], y))
-    return model.fit_curve(x[order], y[order])
+    found = measure()
+    clean = found["y"] == 0
+    for m in (model, *others):
+        m.fit_best(found["best"][clean], found["n"][clean])
+    found = measure()
+    return model.fit_curve(np.column_stack([found["one"], found["all"]]), found["y"])
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """``docs`` plus ``__score`` and ``__passages``: (start, end, nats) in characters of the lower-cased text."""
     passage = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("nats", T.DoubleType())]))
-    schema = T.StructType([*docs.schema.fields, T.StructField("__score", T.DoubleType()), T.StructField("__passages", passage)])
+    docs = give_way(docs, "__score", "__passages")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     k = docs.columns.index("text")
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("nats", pa.float64())]))
@@ -232,7 +327,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
                 passages.append([{"start": s, "end": e, "nats": x} for s, e, x in found])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64()), pa.array(passages, kind)], names=[*b.schema.names, "__score", "__passages"])
 
-    return docs.mapInArrow(run, schema)
+    return extend(docs, run, [T.StructField("__score", T.DoubleType()), T.StructField("__passages", passage)], "text")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
