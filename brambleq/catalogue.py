@@ -321,10 +321,11 @@ def inline_findings(t) -> DataFrame:
 
 
 def _generated() -> None:
-    from brambleq.plans import generated
+    from brambleq.plans import generated, generated_types
 
-    QUERIES.update(generated.QUERIES)
-    SQL.update(generated.SQL)
+    for made in (generated, generated_types):
+        QUERIES.update(made.QUERIES)
+        SQL.update(made.SQL)
 
 
 _generated()

@@ -14,6 +14,7 @@ import pyarrow as pa
 
 from brambleq.php.ast import Node, peel, walk_scope
 from brambleq.php.docs import tags
+from brambleq.php.knowledge import describe, mentions
 from brambleq.php.lexer import tokenize
 from brambleq.php.model import ClassInfo, File, lower, render_hint, utf8
 from brambleq.php.rules_local import RULES, Options
@@ -187,7 +188,7 @@ def _count(args: list[Node]) -> str | None:
 
 
 def facts(f: File, out: Rows) -> None:
-    head = lambda n: f.text[n.start : min(n.end, n.start + 200)]
+    head = lambda n: f.text[n.start : n.end]
     for view, kinds in VIEWS.items():
         for n, s in f.nodes(*kinds):
             name = n.get("name") if isinstance(n.get("name"), str) else n.get("op") or n.get("word") or ({"assign": "plain", "assignref": "ref"}.get(n.kind))
@@ -261,6 +262,8 @@ def extract(path: str, ord_: int, source: bytes, analyze: bool, options: Options
     out = Rows(f, ord_)
     out.add("file", 0, path, None, None, None, None, None, errors=len(f.errors), analyze="1" if analyze else None)
     declarations(f, out)
+    for what, key, member_, data in describe(f):
+        out.add("sig", 0, what, key, None, None, member_, [data, *sorted(mentions(what, data))])
     if analyze:
         for at, message in f.errors:
             out.add("error", at, message, res="phpParser.error")

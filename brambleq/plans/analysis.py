@@ -18,8 +18,10 @@ from brambleq.operators import findings as fnd
 from brambleq.operators import hierarchy, symbols
 from brambleq.operators._tables import written
 from brambleq.php.extract import DDL, worker
+from brambleq.php.rules_flow import FLOW_RULES
 from brambleq.php.rules_local import RULES as LOCAL
 from brambleq.php.rules_local import Options
+from brambleq.php.typing_pass import worker as typing_worker
 from brambleq.sources import builtins
 
 COLUMNS = ["path", "line", "column", "message", "identifier", "severity", "rule_ord", "ord", "start"]
@@ -52,6 +54,7 @@ class Run:
         # parsing costs far more than moving text: files are dealt out whole, so that small or uneven inputs use all cores
         n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         dealt = files.select("path", "ord", "analyze", F.col("source").cast("binary").alias("source")).repartition(n, "path")
+        self.files, self.want = dealt, want
         rows = dealt.mapInArrow(worker(options, want), DDL)
         self.rows = written(rows)
         origin = files.select("path", F.when(F.col("stub"), "stub").when(F.col("analyze"), "project").otherwise("scan").alias("origin"))
@@ -134,12 +137,46 @@ class Run:
         one = m.groupBy("owner", "member").agg(F.min_by(F.struct("m", "member_name", "owner_name"), "start").alias("d"))
         return first.join(one, ["owner", "member"]).select("node", "member", "owner", "d.*")
 
+    @cached_property
+    def signatures(self) -> DataFrame:
+        """(``what``, ``key``, ``member``, ``data``, ``leads``): what the winning declaration of each symbol says."""
+        s = self.relation("sig").join(self.origin, "path")
+        rank = F.when(F.col("origin") == "project", 0).when(F.col("origin") == "scan", 1).otherwise(2)
+        one = s.groupBy(F.col("name").alias("what"), "key", F.col("alt").alias("member")).agg(F.min_by("args", F.struct(rank, "ord", "path")).alias("a"))
+        return written(one.select("what", "key", "member", F.element_at("a", 1).alias("data"), F.slice("a", 2, F.size("a")).alias("leads")))
+
+    @cached_property
+    def reach(self) -> DataFrame:
+        """(``path``, ``kind``, ``key``): functions, constants and classes that a file's names lead to, through
+        the types of what they lead to, until nothing is new."""
+        kinds = self.signatures.select("what", F.when(F.col("what").isin("function", "const"), F.col("what")).otherwise("class").alias("kind"), "key", "leads")
+        lead = written(kinds.select("kind", "key", F.explode("leads").alias("to")).where("kind <> 'class' or key <> to").distinct())
+        r = self.relation("ref").select("path", F.when(F.col("res") == "constant", "const").otherwise(F.col("res")).alias("kind"), "key", "alt")
+        own = self.relation("edge").select("path", F.lit("class").alias("kind"), F.col("key")).union(self.relation("decl").where("res = 'class'").select("path", F.lit("class"), "key"))
+        now = written(r.select("path", "kind", "key").union(r.where("alt is not null").select("path", "kind", F.col("alt"))).union(own).distinct())
+        every = new = now
+        while True:
+            step = new.join(lead, ["kind", "key"]).select("path", F.lit("class").alias("kind"), F.col("to").alias("key")).distinct()
+            new = written(step.join(every, ["path", "kind", "key"], "left_anti"))
+            if new.isEmpty():
+                return every
+            every = written(every.union(new))
+
+    @cached_property
+    def typed(self) -> DataFrame:
+        """Findings and types of the pass that types every analysed file."""
+        kind = F.when(F.col("what").isin("function", "const"), F.col("what")).otherwise("class")
+        known = self.reach.join(self.signatures.withColumn("kind", kind), ["kind", "key"]).select("path", "what", "key", "member", "data")
+        base = len(LOCAL) + len(JOINED)
+        return written(self.files.where("analyze").groupBy("path").cogroup(known.groupBy("path")).applyInArrow(typing_worker(self.options, self.want, base), DDL))
+
     def findings(self) -> DataFrame:
         """All findings of the level, before suppression, one row each."""
         # an error's column layout is that of every rule
         errors = self.relation("error").select("path", "line", F.col("col").alias("column"), F.col("name").alias("message"), F.lit("phpParser.error").alias("identifier"), F.lit("error").alias("severity"), F.lit(-1).alias("rule_ord"), "ord", "start")
         local = self.relation("finding").select("path", "line", F.col("col").alias("column"), F.col("name").alias("message"), F.col("key").alias("identifier"), F.lit("error").alias("severity"), F.col("alt").cast("int").alias("rule_ord"), "ord", "start")
-        parts = [errors, local]
+        flow = self.typed.where("rel = 'finding'").select("path", "line", F.col("col").alias("column"), F.col("name").alias("message"), F.col("key").alias("identifier"), F.lit("error").alias("severity"), F.col("alt").cast("int").alias("rule_ord"), "ord", "start")
+        parts = [errors, local, flow]
         for k, r in enumerate(JOINED):
             if r.level <= self.options.level:
                 parts.append(r.plan(self).withColumn("rule_ord", F.lit(len(LOCAL) + k)).select(*COLUMNS))
@@ -361,12 +398,6 @@ def trait_unused(run: Run) -> DataFrame:
     return _at(t, say("Trait ", F.col("name"), " is used zero times and is not analysed."), "trait.unused")
 
 
-@rule("namespaces/existing-names-in-use", 0)
-def use_unknown(run: Run) -> DataFrame:
-    lost = symbols.unresolved(run.relation("import").where("res = 'class'"), run.classes, "key")
-    return _at(lost, say("unknown class `", F.col("name"), "`"), "class.notFound").where("false")  # imports alone are no use of a class
-
-
 def manifest() -> list[tuple[int, str]]:
     """(level, name) of every rule, in that order."""
-    return sorted((r.level, r.name) for r in [*LOCAL, *JOINED])
+    return sorted((r.level, r.name) for r in [*LOCAL, *JOINED, *FLOW_RULES])
