@@ -59,7 +59,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             write_back(fixed, os.path.abspath(path)).count()
         files = fixed.select(*files.columns)
     entries = cfg.ignores(c.ignoreErrors)
-    ig = spark.createDataFrame(entries, "ord int, path string, message string, identifier string, count long").where("count is null") if entries else None
+    ig = spark.createDataFrame(entries, "ord int, path string, message string, identifier string, count long") if entries else None
     found = analysis.Run(files, options).report(ig).cache()
     if a.generate_baseline:
         rows = [tuple(r) for r in fnd.build_baseline(found).select("path", "message", "identifier", "count").toLocalIterator()]
@@ -70,14 +70,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             f.write(cfg.write_baseline(rows, a.generate_baseline.endswith(".neon")))
         return 0
     fmt = a.error_format or c.errorFormat
-    ordered = found.orderBy("ord", "rule_ord", "start")
-    shown = reports.FORMATS[fmt](ordered)
-    path = None
-    for r in shown.toLocalIterator():
-        if fmt == "table" and r["path"] != path:
-            path = r["path"]
-            print(path)
-        print(r["value"] if "value" in r else r.asDict())
+    for line in reports.document(fmt, found):
+        print(line)
     return int(not found.isEmpty())
 
 

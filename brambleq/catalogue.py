@@ -105,9 +105,10 @@ def _edges(t) -> DataFrame:
 
 
 _EDGES = "(SELECT p_partkey AS child, p_partkey // 2 AS parent, 1 AS ord FROM part WHERE p_partkey > 1 UNION ALL SELECT p_partkey, p_partkey // 3, 2 FROM part WHERE p_partkey > 30 AND p_size = 7)"
-_CLOSURE = f"""RECURSIVE e AS {_EDGES}, c AS (
+_CLOSURE = f"""RECURSIVE e AS {_EDGES}, every AS (
   SELECT child AS node, child AS ancestor, '' AS path, 0 AS depth FROM (SELECT child FROM e UNION SELECT parent FROM e)
-  UNION ALL SELECT c.node, e.parent, c.path || lpad(e.ord::VARCHAR, 4, '0') || '/', c.depth + 1 FROM c JOIN e ON c.ancestor = e.child)"""
+  UNION ALL SELECT every.node, e.parent, every.path || lpad(e.ord::VARCHAR, 4, '0') || '/', every.depth + 1 FROM every JOIN e ON every.ancestor = e.child),
+c AS (SELECT node, ancestor, min(path) AS path, arg_min(depth, path) AS depth FROM every GROUP BY node, ancestor)"""
 
 
 def _closure(t) -> DataFrame:

@@ -15,9 +15,12 @@ def written(df: DataFrame) -> DataFrame:
     conf = spark.sparkContext.getConf()
     base = conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not conf.get("spark.master", "").startswith("local"):
+        master = conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="brambleq-")
     path = f"{base.rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)  # with the driver's JVM
     return spark.read.schema(df.schema).parquet(path)

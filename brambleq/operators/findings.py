@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from brambleq.operators._tables import written
+
 
 def duplicate_keys(items: DataFrame, group: list[str]) -> DataFrame:
     """Groups that hold an item more than once, with its number."""
@@ -48,6 +50,24 @@ def apply_counts(findings: DataFrame, entries: DataFrame, key: list[str], order:
     return j.where(F.col("__e").isNull() | (F.col("__rn") > F.col("__n"))).drop("__rn", "__n", "__e")
 
 
+def settle(pairs: DataFrame) -> DataFrame:
+    """(``fid``, ``entry``): the entry that takes each finding, of ``pairs`` (``fid``, ``at``: the finding's
+    place in order, ``entry``, ``n``: how many the entry takes, null for any number).
+
+    Findings come in order, and each goes to its first entry that is not full.  That is the only
+    stable outcome where every entry prefers earlier findings, so it is reached by proposals: a
+    finding that an entry's earlier ones crowd out goes on to its next entry, until none does."""
+    pairs = written(pairs.withColumn("k", F.row_number().over(Window.partitionBy("fid").orderBy("entry"))))
+    tried = pairs.where("k = 1").select("fid", "k")
+    while True:
+        place = F.row_number().over(Window.partitionBy("entry").orderBy("at", "fid"))
+        # a finding without a next entry is taken by none
+        asked = written(pairs.join(tried, ["fid", "k"]).withColumn("full", F.coalesce(place > F.col("n"), F.lit(False))))
+        if asked.where("full").isEmpty():
+            return asked.select("fid", "entry")
+        tried = asked.select("fid", F.when(F.col("full"), F.col("k") + 1).otherwise(F.col("k")).alias("k"))
+
+
 def unmatched(entries: DataFrame, findings: DataFrame, key: list[str]) -> DataFrame:
     """Entries with fewer matches than expected, and both numbers."""
     got = findings.groupBy(*key).agg(F.count("*").alias("__got"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,4 +60,46 @@ def table(findings: DataFrame) -> DataFrame:
     return findings.select("path", "line", F.concat(F.lit("  "), F.lpad(F.col("line").cast("string"), 6, " "), F.lit("  "), F.col("message"), F.lit("  ["), F.col("identifier"), F.lit("]")).alias("value"))
 
 
+def document(name: str, findings: DataFrame) -> Iterator[str]:
+    """The lines of a whole report.  Rows come to the driver in order, some at a time."""
+    found = findings.orderBy("path", "line", "column", "rule_ord", "start") if "rule_ord" in findings.columns else findings.orderBy("path", "line", "column")
+    inside, outside = findings.where(F.col("path") != OUTSIDE), findings.where(F.col("path") == OUTSIDE)
+    if name in ("json", "prettyJson"):
+        indent = 4 if name == "prettyJson" else None
+        t = totals(findings).first()
+        files = {r["path"]: {"errors": r["errors"], "messages": json.loads(r["messages"])} for r in json_blocks(inside).orderBy("path").toLocalIterator()}
+        yield json.dumps({"totals": {"errors": t["errors"] or 0, "file_errors": t["file_errors"] or 0}, "files": files, "errors": [r["message"] for r in outside.toLocalIterator()]}, indent=indent, ensure_ascii=False)
+    elif name == "gitlab":
+        yield "["
+        comma = ""
+        for r in gitlab(found.where(F.col("path") != OUTSIDE)).toLocalIterator():
+            yield comma + json.dumps({"description": r["description"], "check_name": r["identifier"], "fingerprint": r["fingerprint"], "severity": "blocker" if r["identifier"] == "ignore.parseError" else "major", "location": {"path": r["path"], "lines": {"begin": r["line"]}}}, ensure_ascii=False)
+            comma = ","
+        yield "]"
+    elif name == "checkstyle":
+        yield '<?xml version="1.0" encoding="UTF-8"?>'
+        yield "<checkstyle>"
+        for r in checkstyle(findings).orderBy("path").toLocalIterator():
+            yield r["value"]
+        yield "</checkstyle>"
+    elif name == "junit":
+        n = findings.where("severity = 'error'").count()
+        yield '<?xml version="1.0" encoding="UTF-8"?>'
+        yield f'<testsuite failures="{n}" name="{SUITE}" tests="{max(1, n)}">'
+        for r in junit(found).toLocalIterator():
+            yield r["value"]
+        if not n:
+            yield f'<testcase name="{SUITE}"/>'
+        yield "</testsuite>"
+    else:
+        path = None
+        for r in FORMATS[name](findings.orderBy(*[c for c in ("ord", "rule_ord", "start") if c in findings.columns])).toLocalIterator():
+            if name == "table" and r["path"] != path:
+                path = r["path"]
+                yield path
+            yield r["value"]
+
+
+#: The path of findings outside files, and the name of a test suite of findings.
+OUTSIDE, SUITE = "(ignore)", "phpstan"
 FORMATS = {"raw": raw, "github": github, "checkstyle": checkstyle, "junit": junit, "table": table, "gitlab": gitlab, "json": json_blocks, "prettyJson": json_blocks}

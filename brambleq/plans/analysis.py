@@ -48,15 +48,18 @@ def rule(name: str, level: int):
 class Run:
     """Relations of one run.  ``files``: (``path``, ``ord``, ``analyze``, ``stub``, ``source``)."""
 
-    def __init__(self, files: DataFrame, options: Options = Options(), want: frozenset[str] = frozenset(), functions_complete: bool = False) -> None:
+    def __init__(self, files: DataFrame, options: Options = Options(), want: frozenset[str] = frozenset(), functions_complete: bool = False, rows: DataFrame | None = None, parse: DataFrame | None = None) -> None:
+        """``rows``: what an earlier run made of the files that ``parse`` (paths) does not name."""
+        #: Paths whose expressions are to be typed; None: all.
+        self.only: DataFrame | None = None
         self.options, self.functions_complete = options, functions_complete
         self._found: dict[str, DataFrame] = {}
         # parsing costs far more than moving text: files are dealt out whole, so that small or uneven inputs use all cores
         n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         dealt = files.select("path", "ord", "analyze", F.col("source").cast("binary").alias("source")).repartition(n, "path")
         self.files, self.want = dealt, want
-        rows = dealt.mapInArrow(worker(options, want), DDL)
-        self.rows = written(rows)
+        fresh = (dealt if parse is None else dealt.join(parse, "path", "left_semi")).mapInArrow(worker(options, want), DDL)
+        self.rows = written(fresh if rows is None else fresh.unionByName(rows))
         origin = files.select("path", F.when(F.col("stub"), "stub").when(F.col("analyze"), "project").otherwise("scan").alias("origin"))
         self.origin = origin
 
@@ -168,7 +171,8 @@ class Run:
         kind = F.when(F.col("what").isin("function", "const"), F.col("what")).otherwise("class")
         known = self.reach.join(self.signatures.withColumn("kind", kind), ["kind", "key"]).select("path", "what", "key", "member", "data")
         base = len(LOCAL) + len(JOINED)
-        return written(self.files.where("analyze").groupBy("path").cogroup(known.groupBy("path")).applyInArrow(typing_worker(self.options, self.want, base), DDL))
+        files = self.files.where("analyze") if self.only is None else self.files.where("analyze").join(self.only, "path", "left_semi")
+        return written(files.groupBy("path").cogroup(known.groupBy("path")).applyInArrow(typing_worker(self.options, self.want, base), DDL))
 
     def findings(self) -> DataFrame:
         """All findings of the level, before suppression, one row each."""
@@ -182,6 +186,18 @@ class Run:
                 parts.append(r.plan(self).withColumn("rule_ord", F.lit(len(LOCAL) + k)).select(*COLUMNS))
         return reduce(DataFrame.unionByName, parts)
 
+    def _ignored(self, found: DataFrame, ignores: DataFrame) -> DataFrame:
+        """Findings that no entry (``ord``, ``path``, ``message``, ``identifier``, ``count``) takes.  Entries for
+        one file, whose path is a literal, meet that file's findings only; the others meet all."""
+        found = written(found.withColumn("fid", F.monotonically_increasing_id()))
+        e = ignores.select(F.col("ord").alias("entry"), F.col("count").alias("n"), *[F.col(c).alias(f"__{c}") for c in ("path", "message", "identifier")])
+        literal = F.regexp_extract("__path", r"^\^((?:[\w/ @-]|\\[^\w])+)\$$", 1)
+        e = e.withColumn("__file", F.when(literal != "", F.regexp_replace(literal, r"\\(.)", "$1")))
+        exact = found.join(e.where("__file is not null"), (F.col("path") == F.col("__file")) & _matches("__"))
+        loose = found.join(e.where("__file is null"), _matches("__"))
+        pairs = exact.unionByName(loose).select("fid", F.struct("ord", "rule_ord", "start").alias("at"), "entry", "n")
+        return found.join(fnd.settle(pairs).select("fid"), "fid", "left_anti").drop("fid")
+
     def report(self, ignores: DataFrame | None = None, baseline: DataFrame | None = None) -> DataFrame:
         """Findings after inline markers, configured ignores and a baseline."""
         marks = self.relation("marker").where("res is null").select("path", F.col("name").cast("int").alias("line"), F.when(F.size("args") > 0, F.col("args")).alias("identifiers"))
@@ -189,8 +205,7 @@ class Run:
         bad = self.relation("marker").where("res = 'bad'").select("path", "line", F.col("col").alias("column"), F.lit("Malformed list of identifiers to ignore.").alias("message"), F.lit("ignore.parseError").alias("identifier"), F.lit("error").alias("severity"), F.lit(1 << 20).alias("rule_ord"), "ord", "start")
         left = left.unionByName(bad)
         if ignores is not None:
-            hit = (F.col("__path").isNull() | F.col("path").rlike(F.col("__path"))) & (F.col("__message").isNull() | F.col("message").rlike(F.col("__message"))) & (F.col("__identifier").isNull() | (F.col("identifier") == F.col("__identifier")))
-            left = left.join(ignores.select(*[F.col(c).alias(f"__{c}") for c in ("path", "message", "identifier")]), hit, "left_anti")
+            left = self._ignored(left, ignores)
         if baseline is not None:
             keyed = left.withColumn("__m", fnd.anchored(F.col("message")))
             entries = baseline.select("path", F.col("message").alias("__m"), "identifier", "count")
@@ -198,6 +213,12 @@ class Run:
         return left
 
 
+def _matches(entry: str) -> Column:
+    """Whether a finding is one that an entry (columns behind ``entry``) means."""
+    e = lambda c: F.col(f"{entry}{c}")
+    return (e("path").isNull() | F.col("path").rlike(e("path"))) & (e("message").isNull() | F.col("message").rlike(e("message"))) & (e("identifier").isNull() | (F.col("identifier") == e("identifier")))
+
+
 def _at(df: DataFrame, message: Column, identifier: Column | str) -> DataFrame:
     code = F.lit(identifier) if isinstance(identifier, str) else identifier
     return df.select("path", "line", F.col("col").alias("column"), message.alias("message"), code.alias("identifier"), F.lit("error").alias("severity"), "ord", "start")

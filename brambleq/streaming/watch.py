@@ -20,6 +20,9 @@ class Session:
         self.options = options
         self.files: DataFrame | None = None
         self.report: DataFrame | None = None
+        self.rows: DataFrame | None = None
+        #: Files that the last pass parsed.
+        self.parsed: DataFrame | None = None
         self.declared: DataFrame | None = None
         self.used: DataFrame | None = None
         #: Files that the last pass worked again.
@@ -29,14 +32,21 @@ class Session:
         """A full pass the first time; later the findings of files that a change can
         reach are replaced and the others kept.  Equal to a fresh run."""
         hashed = files.withColumn("hash", F.sha2("source", 256))
-        run = Run(files, self.options)
+        rows = None
+        self.parsed = files.select("path")
+        if self.rows is not None:
+            # only what is new or differs is parsed; the rows of all other files stand
+            same = written(hashed.select("path", "hash", "ord", "analyze").join(self.files, ["path", "hash", "ord", "analyze"], "left_semi").select("path"))
+            rows = self.rows.join(same, "path", "left_semi")
+            self.parsed = files.select("path").join(same, "path", "left_anti")
+        run = Run(files, self.options, rows=rows, parse=None if rows is None else self.parsed)
         declared = written(run.rows.where("rel in ('decl', 'edge', 'member')").select("path", "key", F.coalesce("owner", "key").alias("symbol"), F.sha2(F.to_json(F.struct("rel", "name", "key", "owner", "res", "alt", F.map_entries(F.coalesce("attrs", F.create_map().cast("map<string,string>"))))), 256).alias("shape")))
         used = written(run.rows.where("rel in ('ref', 'access')").select("path", F.explode(F.array_compact(F.array(F.coalesce("owner", "key"), "alt"))).alias("symbol")).union(run.rows.where("rel in ('edge', 'decl')").select("path", "key")).distinct())
         if self.report is None:
             out = written(run.report())
             self.touched = files.select("path")
         else:
-            diff = changes.snapshot_diff(self.files.select("path", "hash"), hashed.select("path", "hash"))
+            diff = written(changes.snapshot_diff(self.files.select("path", "hash"), hashed.select("path", "hash")).select("path").union(self.parsed))
             moved = self._moved(declared)
             # what stands below a changed class rests on it too
             below = run.closure.join(moved, F.col("ancestor") == F.col("symbol")).select(F.col("node").alias("symbol"))
@@ -44,10 +54,11 @@ class Session:
             again = written(diff.select("path").union(used.join(reach, "symbol", "left_semi").select("path")).union(declared.join(reach, "symbol", "left_semi").select("path")).distinct())
             gone = files.select("path")
             kept = self.report.join(again, "path", "left_anti").join(gone, "path", "left_semi")
+            run.only = again
             fresh = run.report().join(again, "path", "left_semi")
             out = written(kept.unionByName(fresh))
             self.touched = again
-        self.files, self.report, self.declared, self.used = written(hashed.select("path", "hash")), out, declared, used
+        self.files, self.report, self.declared, self.used, self.rows = written(hashed.select("path", "hash", "ord", "analyze")), out, declared, used, run.rows
         return out
 
     def _moved(self, now: DataFrame) -> DataFrame:

@@ -73,6 +73,23 @@ def test_incremental_equals_fresh(spark):
     assert {r["path"] for r in session.touched.collect()} >= {"a.php", "b.php", "d.php"}
 
 
+def test_incremental_parses_what_changed(spark):
+    lib, use = b"<?php class A { function m(int $x) {} }", b"<?php (new A)->m(1); (new A)->n();"
+    session = watch.Session(Options(level=5))
+    session.update(files(spark, {"a.php": lib, "b.php": use, "c.php": b"<?php echo 1;"}))
+    assert session.parsed.count() == 3
+    changes = [
+        {"a.php": b"<?php class A { function m(int $x) { return 2; } }", "b.php": use, "c.php": b"<?php echo 1;"},  # a body
+        {"a.php": b"<?php class A { function m(string $x) {} function n() {} }", "b.php": use, "c.php": b"<?php echo 1;"},  # signatures
+        {"a.php": b"<?php\n\nclass A { function m(string $x) {} function n() {} }", "b.php": use, "c.php": b"<?php echo 1;"},  # lines move
+        {"a.php": b"<?php\n\nclass A { function m(string $x) {} function n() {} }", "b.php": use},  # a file goes
+    ]
+    for step, n in zip(changes, (1, 1, 1, 0), strict=True):
+        got = session.update(files(spark, step))
+        assert session.parsed.count() == n
+        assert _rows(got) == _rows(Run(files(spark, step), Options(level=5)).report())
+
+
 def test_watch_stream(spark, tmp_path):
     root = tmp_path / "src"
     root.mkdir()
@@ -106,3 +123,30 @@ def test_command_line(spark, tree, capsys):
     base = tree / "b.neon"
     assert main([str(tree / "src"), "-c", str(conf), "-b", str(base)], spark) == 0
     assert "identifier: class.notFound" in base.read_text()
+
+
+def test_baseline_round_trip(spark, tree, capsys):
+    import json
+
+    from brambleq.__main__ import main
+
+    (tree / "src" / "a.php").write_bytes(b"<?php new Nope;\nnew Nope;\nnew Other;")
+    conf, base = tree / "c.neon", tree / "b.neon"
+    conf.write_text("parameters:\n    level: 0\n    excludePaths:\n        - skip.php\n")
+    assert main([str(tree / "src"), "-c", str(conf), "-b", str(base)], spark) == 0
+    both = tree / "d.neon"
+    entries = base.read_text().split("ignoreErrors:", 1)[1]
+    both.write_text(conf.read_text() + "    ignoreErrors:" + entries)
+    capsys.readouterr()
+    assert main([str(tree / "src"), "-c", str(both), "--error-format", "raw"], spark) == 0
+    # one more of a kind than the baseline has, and one of a new kind
+    (tree / "src" / "a.php").write_bytes(b"<?php new Nope;\nnew Nope;\nnew Other;\nnew Nope;\nnew Third;")
+    assert main([str(tree / "src"), "-c", str(both), "--error-format", "json"], spark) == 1
+    doc = json.loads(capsys.readouterr().out)
+    assert doc["totals"] == {"errors": 0, "file_errors": 2} and [m["line"] for m in doc["files"]["a.php"]["messages"]] == [4, 5]
+    for form, head, tail in (("gitlab", "[", "]"), ("checkstyle", "<?xml", "</checkstyle>"), ("junit", "<?xml", "</testsuite>"), ("prettyJson", "{", "}")):
+        assert main([str(tree / "src"), "-c", str(both), "--error-format", form], spark) == 1
+        out = capsys.readouterr().out.strip()
+        assert out.startswith(head) and out.endswith(tail)
+        if form == "gitlab":
+            assert [x["location"]["lines"]["begin"] for x in json.loads(out)] == [4, 5]
