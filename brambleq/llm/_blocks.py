@@ -161,9 +161,10 @@ def rolled(w: np.ndarray, k: int, base: int) -> np.ndarray:
     return mix(h)
 
 
-def make_blocks(docs: DataFrame, split: Callable[[bytes], list[bytes]], block_bytes: int = BLOCK_BYTES, keep_text: bool = False, mark: tuple[str, Callable[[bytes], bytes]] | None = None) -> DataFrame:
+def make_blocks(docs: DataFrame, split: Callable[[bytes], list[bytes] | list[str]], block_bytes: int = BLOCK_BYTES, keep_text: bool = False, mark: tuple[str, Callable[[bytes], bytes]] | None = None) -> DataFrame:
     """A written table of blocks of ``docs`` (a ``text`` among its columns, which the block's
-    documents keep only with ``keep_text``); ``split`` cuts a text into words; ``mark`` names a
+    documents keep only with ``keep_text``); ``split`` cuts a text into words (bytes, or strings
+    that are encoded once each); ``mark`` names a
     binary column to add to the documents, and what makes it of a text."""
     held = docs if keep_text else docs.drop("text")
     names = held.columns
@@ -193,7 +194,7 @@ def make_blocks(docs: DataFrame, split: Callable[[bytes], list[bytes]], block_by
             place = np.empty(rank.size, dtype=np.int64)
             place[rank] = np.arange(rank.size)
             words = list(index)
-            words = [words[i] for i in rank.tolist()]
+            words = [words[i] if isinstance(words[i], bytes) else words[i].encode() for i in rank.tolist()]
             row = {
                 "block": first + seq,
                 "n_docs": len(sizes),
