@@ -100,11 +100,19 @@ def leaves(body: list[Node]) -> bool:
 
 @rule("comparison.while", 4)
 def while_condition(x: Typed):
-    for kind, shown, code in (("while", "While loop", "while"), ("dowhile", "Do-while loop", "doWhile")):
-        for n in x.nodes(kind):
-            v = known_truth(x, n.cond)
-            if v is False or v and constant_value(n.cond) is not None and not leaves(n.body):
-                yield n.cond.start, f"{code}.always{word(v).capitalize()}", f"{shown} condition is always {word(v)}."
+    yield from _loop(x, "while", "While loop", "while")
+
+
+@rule("comparison.doWhile", 4)
+def do_condition(x: Typed):
+    yield from _loop(x, "dowhile", "Do-while loop", "doWhile")
+
+
+def _loop(x: Typed, kind: str, shown: str, code: str) -> Iterator[Hit]:
+    for n in x.nodes(kind):
+        v = known_truth(x, n.cond)
+        if v is False or v and constant_value(n.cond) is not None and not leaves(n.body):
+            yield n.cond.start, f"{code}.always{word(v).capitalize()}", f"{shown} condition is always {word(v)}."
 
 
 @rule("comparison.booleanNot", 4)
@@ -116,14 +124,27 @@ def negation(x: Typed):
 
 
 @rule("comparison.booleanAnd", 4)
-def sides(x: Typed):
-    names = {"&&": "booleanAnd", "and": "booleanAnd", "||": "booleanOr", "or": "booleanOr", "xor": "logicalXor"}
+def and_sides(x: Typed):
+    yield from _sides(x, "booleanAnd", ("&&", "and"))
+
+
+@rule("comparison.booleanOr", 4)
+def or_sides(x: Typed):
+    yield from _sides(x, "booleanOr", ("||", "or"))
+
+
+@rule("comparison.logicalXor", 4)
+def xor_sides(x: Typed):
+    yield from _sides(x, "logicalXor", ("xor",))
+
+
+def _sides(x: Typed, code: str, ops: tuple[str, ...]) -> Iterator[Hit]:
     for n in x.nodes("bin"):
-        if n.op in names:
+        if n.op in ops:
             for side, e in (("Left", n.left), ("Right", n.right)):
                 v = known_truth(x, e)
                 if v is not None:
-                    yield e.start, f"{names[n.op]}.{side.lower()}Always{word(v).capitalize()}", f"{side} side of {n.op} is always {word(v)}."
+                    yield e.start, f"{code}.{side.lower()}Always{word(v).capitalize()}", f"{side} side of {n.op} is always {word(v)}."
                     break
 
 
@@ -557,9 +578,23 @@ def count_rule(x: Typed):
 
 @rule("return-type", 3)
 def return_rule(x: Typed):
+    yield from _returned(x, "function", "method")
+
+
+@rule("closure.returnType", 3)
+def closure_return_rule(x: Typed):
+    yield from _returned(x, "closure")
+
+
+@rule("arrowFunction.returnType", 3)
+def arrow_return_rule(x: Typed):
+    yield from _returned(x, "arrow")
+
+
+def _returned(x: Typed, *kinds: str) -> Iterator[Hit]:
     for flow in x.flows:
         s = flow.scope
-        if s.kind not in ("function", "method", "closure", "arrow") or yields(s.body) and s.kind != "arrow":
+        if s.kind not in kinds or yields(s.body) and s.kind != "arrow":
             continue
         native = hint_type(render_hint(s.node.get("returns")), s.names, s.cls)
         if s.kind in ("function", "method"):
@@ -577,8 +612,7 @@ def return_rule(x: Typed):
             if t == VOID and n.get("value") is None:
                 continue
             if t != VOID and not x.accepts(t, want):
-                dot, code = ("", "return.type") if s.kind in ("function", "method") else (".", "return.type")
-                yield n.value.start, code, f"{label} should return {x.show(want)} but returns {x.show(t)}{dot}"
+                yield n.value.start, "return.type", f"{label} should return {x.show(want)} but returns {x.show(t)}{'' if s.kind in ('function', 'method') else '.'}"
 
 
 @rule("assign.propertyType", 3)

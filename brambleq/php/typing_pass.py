@@ -8,7 +8,8 @@ from brambleq.functions.types import NEVER, VOID, render, widen
 from brambleq.php.extract import SCHEMA, Rows
 from brambleq.php.knowledge import Known, describe
 from brambleq.php.model import File
-from brambleq.php.rules_flow import FLOW_RULES, Typed
+from brambleq.php.rules_declared import TYPED_RULES
+from brambleq.php.rules_flow import Typed
 from brambleq.php.rules_local import Options
 
 
@@ -18,7 +19,7 @@ def typed_rows(path: str, ord_: int, source: bytes, known: list[tuple], options:
     f = File(path, source)
     x = Typed(f, Known([*known, *describe(f)]), options)
     out = Rows(f, ord_)
-    for k, r in enumerate(FLOW_RULES):
+    for k, r in enumerate(TYPED_RULES):
         if r.level <= options.level:
             for at, code, message in r.run(x):
                 out.add("finding", at, None, code, None, r.name, str(base + k))

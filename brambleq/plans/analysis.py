@@ -18,7 +18,7 @@ from brambleq.operators import findings as fnd
 from brambleq.operators import hierarchy, symbols
 from brambleq.operators._tables import written
 from brambleq.php.extract import DDL, worker
-from brambleq.php.rules_flow import FLOW_RULES
+from brambleq.php.rules_declared import TYPED_RULES
 from brambleq.php.rules_local import RULES as LOCAL
 from brambleq.php.rules_local import Options
 from brambleq.php.typing_pass import worker as typing_worker
@@ -421,4 +421,4 @@ def trait_unused(run: Run) -> DataFrame:
 
 def manifest() -> list[tuple[int, str]]:
     """(level, name) of every rule, in that order."""
-    return sorted((r.level, r.name) for r in [*LOCAL, *JOINED, *FLOW_RULES])
+    return sorted((r.level, r.name) for r in [*LOCAL, *JOINED, *TYPED_RULES])

@@ -231,3 +231,20 @@ def gen_nullable_access(t):
     lines = ("?O $o) { return $o->m(); }", "?O $o) { return $o->p; }", "$l) { /** @var list<int>|null $l */ $l; return $l[{c}]; }", "?O $o) { return $o?->m(); }", "?O $o) { if ($o === null) { return 1; } return $o->p; }")
     line = _by_kind(F.col("s_suppkey") % 5, [_text("function f{i}(" + x, i="s_suppkey", c="s_nationkey") for x in lines])
     return _found(Run(_files(t("supplier"), "z", "s_suppkey", line, 50, head="<?php class O { public $p; function m() {} }"), Options(level=8)), "method.nonObject", "property.nonObject", "offsetAccess.nonOffsetAccessible")
+
+
+_DECLARED = [
+    ("parameter.phpDocType", "'PHPDoc tag @param for parameter $x with type string is incompatible with native type int.'", "/** @param string $x */ function f{i}(int $x) {}"), ("parameter.notFound", "'PHPDoc tag @param references unknown parameter: $y'", "/** @param int $y */ function f{i}(int $x) {}"), ("return.phpDocType", "'PHPDoc tag @return with type string is incompatible with native type int.'", "/** @return string */ function f{i}(): int { return {c}; }"), ("property.phpDocType", "'PHPDoc tag @var for property K' || i || '::$p with type string is incompatible with native type int.'", "class K{i} { /** @var string */ public int $p = {c}; }"),
+    ("throws.notThrowable", "'PHPDoc tag @throws with type O is not subtype of Throwable'", "/** @throws O */ function f{i}() {}"), ("parameter.notByRef", "'Parameter $x for PHPDoc tag @param-out is not passed by reference.'", "/** @param-out int $x */ function f{i}($x) {}"), ("phpDoc.phpstanTag", "'Unknown PHPDoc tag: @phpstan-foo'", "/** @phpstan-foo */ function f{i}() {}"), ("generics.existingClass", "'PHPDoc tag @template for class K' || i || ' cannot have existing class O as its name.'", "/** @template O */ class K{i} {}"), ("enum.generic", "'Enum K' || i || ' has PHPDoc @template tag but enums cannot be generic.'", "/** @template T */ enum K{i} { case A; }"),
+    ("method.shadowTemplate", "'PHPDoc tag @template T for method K' || i || '::m() shadows @template T for class K' || i || '.'", "/** @template T */ class K{i} { /** @template T */ function m() {} }"), ("parameter.defaultValue", "'Default value of the parameter #1 $x (''s'') of function f' || i || '() is incompatible with type int.'", "function f{i}(int $x = 's') {}"), ("classConstant.value", "'Constant K' || i || '::C (string) does not accept value ' || c || '.'", "class K{i} { const string C = {c}; }"), ("throws.void", "'Function f' || i || '() throws exception E but the PHPDoc contains @throws void.'", "/** @throws void */ function f{i}() { throw new E(); }"),
+    ("generator.returnType", "'Yield can be used only with these return types: Generator, Iterator, Traversable, iterable.'", "function f{i}(): int { yield {c}; }"), ("pureFunction.void", "'Function f' || i || '() is marked as pure but returns void.'", "/** @pure */ function f{i}(): void {}"), ("return.unusedType", "'Function f' || i || '() never returns null so it can be removed from the return type.'", "function f{i}(): ?int { return {c}; }"), ("property.readOnlyAssignNotInConstructor", "'Readonly property K' || i || '::$p is assigned outside of the constructor.'", "class K{i} { function __construct(public readonly int $p) {} function m() { $this->p = {c}; } }"), ("property.uninitializedReadonly", "'Class K' || i || ' has an uninitialized readonly property $p. Assign it in the constructor.'", "class K{i} { public readonly int $p; }"), ("new.resultUnused", "'Call to new O() on a separate line has no effect.'", "new O();"),
+]
+
+
+@query(f"""SELECT path, line, {_cases("k", [_quoted(i) for i, *_ in _DECLARED])} AS identifier, {_cases("k", [m for _, m, _ in _DECLARED])} AS message
+FROM {_lined("d", "p_partkey", 100, "part", f"p_partkey % {len(_DECLARED) + 1} AS k, p_size AS c, p_partkey AS i")} WHERE k < {len(_DECLARED)}""")
+def gen_declarations(t):
+    """One rule on declarations and docblocks a line."""
+    lines = [x for *_, x in _DECLARED] + ["/** @param int $x */ function f{i}(int $x): int { return $x; }"]
+    line = _by_kind(F.col("p_partkey") % len(lines), [_text(x, i="p_partkey", c="p_size") for x in lines])
+    return _found(Run(_files(t("part"), "d", "p_partkey", line, 100, head="<?php class O {}"), Options(level=4)), *[i for i, *_ in _DECLARED])

@@ -5,7 +5,8 @@ import pytest
 from brambleq.functions.types import render
 from brambleq.php.knowledge import Known, describe
 from brambleq.php.model import File
-from brambleq.php.rules_flow import FLOW_RULES, Typed
+from brambleq.php.rules_declared import TYPED_RULES as FLOW_RULES
+from brambleq.php.rules_flow import Typed
 from brambleq.php.rules_local import Options
 
 
@@ -74,9 +75,25 @@ def test_members_and_templates():
     ("source", "want"),
     [
         ("function f(int $a) { return $a === 's'; }", ["identical.alwaysFalse"]), ("function f(int $a) { return $a === 5; }", []), ("function f(array $x) { echo $x; }", ["echo.nonString"]), ("function f(?array $x) { echo $x; }", ["echo.nonString"]), ("function f($x) { echo $x; }", []), ("function f(int $x) { foreach ($x as $y) {} }", ["foreach.nonIterable"]), ("function f(iterable $x) { foreach ($x as $y) {} }", []), ("class C {} function f(C $x) { foreach ($x as $y) {} }", ["foreach.nonIterable"]), ("function f(Unknown $x) { foreach ($x as $y) {} }", []),
-        ("function f(int $x) {} f('a');", ["argument.type"]), ("function f(int $x) {} f(1);", []), ("function f(float $x) {} f(1);", []), ("function f(int ...$x) {} f(1, 2, 3);", []), ("function f($a, $b = 1) {} f();", ["arguments.count"]), ("function f(): int { return 1; }", []), ("function f(): ?int { return null; }", []), ("function f(): int { return null; }", ["return.type"]), ("function g(): Generator { yield 1; return 'x'; }", []), ("class C { public int $p; function m() { $this->p = []; } }", ["assign.propertyType"]),
+        ("function f(int $x) {} f('a');", ["argument.type"]), ("function f(int $x) {} f(1);", []), ("function f(float $x) {} f(1);", []), ("function f(int ...$x) {} f(1, 2, 3);", []), ("function f($a, $b = 1) {} f();", ["arguments.count"]), ("function f(): int { return 1; }", []), ("function f(): ?int { return null; }", ["return.unusedType"]), ("function f(): int { return null; }", ["return.type"]), ("function g(): Generator { yield 1; return 'x'; }", []), ("class C { public int $p; function m() { $this->p = []; } }", ["assign.propertyType"]),
         ("function f() { $x = 1; return isset($x); }", ["isset.variable"]), ("function f($x) { return isset($x); }", []), ("function f() { extract(g()); return isset($x); }", []), ("function f(string $s) { $s->m(); }", ["method.nonObject"]), ("class C { function m() {} } function f(C $c) { $c?->m(); }", ["nullsafe.neverNull"]), ("function f(int $x) { throw $x; }", ["throw.notThrowable"]), ("function f(Exception $x) { throw $x; }", []), ("function f() { $a = ['x' => 1]; return $a['y'] ?? 1; }", ["nullCoalesce.offset"]), ("function f() { $a = ['x' => 1]; return $a['y']; }", ["offsetAccess.notFound"]), ("function f(int $x) { while (true) { $x++; } }", ["while.alwaysTrue"]), ("function f(int $x) { while (true) { if ($x) break; } }", []),
     ],
 )
 def test_rules(source, want):
     assert codes(source) == want
+
+
+def test_rules_have_names_of_their_own():
+    names = [r.name for r in FLOW_RULES]
+    assert len(names) == len(set(names)) > 70
+
+
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        ("/** @param int|string $x */ function f(int $x) {}", []), ("/** @return static */ function f(): object {}", []), ("/** @template T\n * @return T */ function f(): int {}", []), ("/** @throws Exception */ function f() {}", []), ("/** @throws Unknown */ function f() {}", []), ("class C {} /** @throws C */ function f() {}", ["throws.notThrowable"]), ("function f(?int $x = null) {}", []), ("class C { const int A = 1; }", []), ("/** @throws void */ function f() { try { throw new E; } catch (E $e) {} }", []),
+        ("function f(): iterable { yield 1; }", []), ("function f(): ?int { if (g()) { return 1; } }", []), ("function f(): int|string { return 1; }", ["return.unusedType"]), ("function f(): int|string { return g(); }", []), ("class C { readonly int $p; function __construct() { $this->p = 1; } }", []), ("class C { readonly int $p; function __construct() { $this->init(); } }", []), ("/** @phpstan-assert int $x */ function f($x) {}", []), ("/** @phpstan-assert int $y */ function f($x) {}", ["parameter.notFound"]), ("/** @return ($y is int ? int : string) */ function f($x) {}", ["parameter.notFound"]), ("function f(mixed $x) { return $x->p; }", ["property.nonObject"]), ("function f(mixed $x) { if ($x instanceof E) { return $x->p; } }", []),
+    ],
+)
+def test_declared_rules(source, want):
+    assert codes(source) == want
