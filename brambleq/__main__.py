@@ -29,6 +29,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     p.add_argument("-b", "--generate-baseline", nargs="?", const="baseline.neon")
     p.add_argument("--allow-empty-baseline", action="store_true")
     p.add_argument("--fix", action="store_true")
+    p.add_argument("--no-infer-untyped", action="store_true", help="do not type what declarations leave out")
     p.add_argument("--manifest", action="store_true", help="list the rules by level and name")
     a = p.parse_args(argv)
     if a.manifest:
@@ -60,7 +61,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         files = fixed.select(*files.columns)
     entries = cfg.ignores(c.ignoreErrors)
     ig = spark.createDataFrame(entries, "ord int, path string, message string, identifier string, count long") if entries else None
-    found = analysis.Run(files, options).report(ig).cache()
+    found = analysis.Run(files, options, infer=0 if a.no_infer_untyped else analysis.INFER_ROUNDS).report(ig).cache()
     if a.generate_baseline:
         rows = [tuple(r) for r in fnd.build_baseline(found).select("path", "message", "identifier", "count").toLocalIterator()]
         if not rows and not a.allow_empty_baseline:

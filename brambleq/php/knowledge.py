@@ -150,7 +150,18 @@ class Known:
         return self._types[at]
 
     def function(self, key: str, fallback: str | None = None) -> dict | None:
-        return self._get("function", key) or (self._get("function", fallback) if fallback else None)
+        got = self._get("function", key)
+        if got is None and fallback:
+            key, got = fallback, self._get("function", fallback)
+        return self.completed(got, key, None) if got else None
+
+    def completed(self, sig: dict, key: str, member: str | None) -> dict:
+        """A signature with what calls and bodies tell of the types that it leaves out."""
+        found = self._get("inferred", key, member)
+        if not found:
+            return sig
+        params = [[p[0], found["p"].get(str(i)) if p[1] is None and not p[3] else p[1], *p[2:]] for i, p in enumerate(sig["p"])]
+        return sig | {"p": params, "r": sig["r"] or found.get("r"), "told": [p[1] is not None for p in sig["p"]]}
 
     def constant(self, name: str, fallback: str | None = None) -> ty.Type | None:
         t = self._get("const", name) or (self._get("const", fallback) if fallback else None)
@@ -174,5 +185,5 @@ class Known:
         for k in self.above(lower(cls)):
             got = self._get(what, k, name)
             if got is not None:
-                return got if isinstance(got, dict) else {"type": got}
+                return self.completed(got, k, name) if what == "method" else got if isinstance(got, dict) else {"type": got}
         return None

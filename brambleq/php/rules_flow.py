@@ -552,7 +552,7 @@ def argument_rule(x: Typed):
             continue
         for i, (a, p) in enumerate(zip(n.args, sig["p"], strict=False)):
             name, text, _, variadic, by_ref = p
-            if variadic or by_ref or not text:
+            if variadic or by_ref or not text or not sig.get("told", [True] * (i + 1))[i]:
                 continue
             t, want = x.of(a.value), x.known.type(text, sig.get("t") or ())
             if not x.accepts(t, want) or x.options.level >= 7 and assignable(t, want, x.known.world) == ty.PARTIAL:
@@ -599,7 +599,7 @@ def _returned(x: Typed, *kinds: str) -> Iterator[Hit]:
         native = hint_type(render_hint(s.node.get("returns")), s.names, s.cls)
         if s.kind in ("function", "method"):
             sig = x.known.function(lower(s.name)) if s.kind == "function" else x.known.member("method", s.cls.fqn, lower(s.name))
-            want = x.known.type(sig["r"], sig.get("t") or ()) if sig and sig.get("r") else None
+            want = x.known.type(sig["r"], sig.get("t") or ()) if sig and sig.get("r") and s.node.get("returns") is not None or sig and sig.get("r") and "told" not in sig else None
         else:
             want = native
         if want is None or want in (VOID, NEVER, MIXED):

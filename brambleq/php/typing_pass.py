@@ -7,15 +7,15 @@ import pyarrow as pa
 from brambleq.functions.types import NEVER, VOID, render, widen
 from brambleq.php.extract import SCHEMA, Rows
 from brambleq.php.knowledge import Known, describe
-from brambleq.php.model import File
+from brambleq.php.model import File, lower
 from brambleq.php.rules_declared import TYPED_RULES
-from brambleq.php.rules_flow import Typed
+from brambleq.php.rules_flow import Typed, _calls
 from brambleq.php.rules_local import Options
 
 
 def typed_rows(path: str, ord_: int, source: bytes, known: list[tuple], options: Options, want: frozenset[str], base: int) -> list[dict]:
     """``rel`` is ``finding`` (``alt``: the rule's number, from ``base``), ``return`` (a body's inferred type by
-    function or method, where none is declared) and, if wanted, ``type`` (an expression's)."""
+    function or method, where none is declared), ``arg`` (what a call hands to a parameter without a type) and, if wanted, ``type`` (an expression's)."""
     f = File(path, source)
     x = Typed(f, Known([*known, *describe(f)]), options)
     out = Rows(f, ord_)
@@ -24,12 +24,18 @@ def typed_rows(path: str, ord_: int, source: bytes, known: list[tuple], options:
             for at, code, message in r.run(x):
                 out.add("finding", at, None, code, None, r.name, str(base + k))
                 out.rows[-1]["name"] = message
+    for n, sig, label in _calls(x):
+        if all(a.kind == "arg" and not a.spread and not a.name for a in n.args):
+            for i, (a, p) in enumerate(zip(n.args, sig["p"], strict=False)):
+                if not p[3] and not sig.get("told", [q[1] is not None for q in sig["p"]])[i]:
+                    key, member = (lower(sig["of"]), lower(sig["name"])) if "of" in sig else (lower(sig["name"]), None)
+                    out.add("arg", a, member, key, None, None, str(i), [render(widen(x.of(a.value)))])
     for flow in x.flows:
         s = flow.scope
         if s.kind in ("function", "method") and s.node.get("returns") is None:
             t = flow.returned()
             if t is not None:
-                out.add("return", s.node, s.name, None, s.cls.fqn if s.cls else None, s.kind, None, [render(t if t in (VOID, NEVER) else widen(t))])
+                out.add("return", s.node, s.name, lower(s.cls.fqn if s.cls else s.name), s.cls.fqn if s.cls else None, s.kind, None, [render(t if t in (VOID, NEVER) else widen(t))])
     if "type" in want:
         for kind, nodes in f.by_kind.items():
             for n, s in nodes:

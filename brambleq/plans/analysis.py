@@ -11,9 +11,12 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property, reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
+from brambleq.functions import types as ty
 from brambleq.operators import findings as fnd
 from brambleq.operators import hierarchy, symbols
 from brambleq.operators._tables import written
@@ -24,6 +27,8 @@ from brambleq.php.rules_local import Options
 from brambleq.php.typing_pass import worker as typing_worker
 from brambleq.sources import builtins
 
+#: Rounds of inference at most.
+INFER_ROUNDS = 3
 COLUMNS = ["path", "line", "column", "message", "identifier", "severity", "rule_ord", "ord", "start"]
 
 
@@ -48,8 +53,10 @@ def rule(name: str, level: int):
 class Run:
     """Relations of one run.  ``files``: (``path``, ``ord``, ``analyze``, ``stub``, ``source``)."""
 
-    def __init__(self, files: DataFrame, options: Options = Options(), want: frozenset[str] = frozenset(), functions_complete: bool = False, rows: DataFrame | None = None, parse: DataFrame | None = None) -> None:
-        """``rows``: what an earlier run made of the files that ``parse`` (paths) does not name."""
+    def __init__(self, files: DataFrame, options: Options = Options(), want: frozenset[str] = frozenset(), functions_complete: bool = False, rows: DataFrame | None = None, parse: DataFrame | None = None, infer: int = 0) -> None:
+        """``rows``: what an earlier run made of the files that ``parse`` (paths) does not name.
+        ``infer``: rounds in which calls and bodies type what declarations leave out."""
+        self.infer = infer
         #: Paths whose expressions are to be typed; None: all.
         self.only: DataFrame | None = None
         self.options, self.functions_complete = options, functions_complete
@@ -156,6 +163,7 @@ class Run:
         lead = written(kinds.select("kind", "key", F.explode("leads").alias("to")).where("kind <> 'class' or key <> to").distinct())
         r = self.relation("ref").select("path", F.when(F.col("res") == "constant", "const").otherwise(F.col("res")).alias("kind"), "key", "alt")
         own = self.relation("edge").select("path", F.lit("class").alias("kind"), F.col("key")).union(self.relation("decl").where("res = 'class'").select("path", F.lit("class"), "key"))
+        own = own.union(self.relation("decl").where("res = 'function'").select("path", F.lit("function"), "key"))
         now = written(r.select("path", "kind", "key").union(r.where("alt is not null").select("path", "kind", F.col("alt"))).union(own).distinct())
         every = new = now
         while True:
@@ -165,11 +173,40 @@ class Run:
                 return every
             every = written(every.union(new))
 
+    @cached_property
+    def inferred(self) -> DataFrame:
+        """(``key``, ``member``, ``data``): types of parameters and returns that nothing declares, from what calls
+        hand over (in order of files and places) and bodies return; rounds end when one adds nothing."""
+        spark = self.rows.sparkSession
+        now = spark.createDataFrame([], "key string, member string, data string")
+        for _ in range(self.infer):
+            rows = self._typing(now)
+            seen = rows.where("rel = 'arg'").groupBy("key", F.col("name").alias("member"), "alt", F.element_at("args", 1).alias("type")).agg(F.min(F.struct("ord", "path", "start")).alias("at"))
+            listed = F.array_sort(F.collect_list(F.struct("at", "type")))
+            types = seen.groupBy("key", "member", "alt").agg(F.transform(listed, lambda s: s["type"]).alias("ts"))
+            told = types.where(~F.exists("ts", lambda t: t.rlike(r"\b(mixed|never|void)\b"))).select("key", "member", "alt", joined_types("ts").alias("type"))
+            params = told.groupBy("key", "member").agg(F.map_from_entries(F.collect_list(F.struct("alt", "type"))).alias("p"))
+            method = F.when(F.col("owner").isNotNull(), F.lower("name"))
+            returns = rows.where("rel = 'return'").select("key", method.alias("member"), F.element_at("args", 1).alias("r")).where("r <> 'mixed'").groupBy("key", "member").agg(F.min("r").alias("r"))
+            returns = returns.toDF("rkey", "rmember", "r")
+            both = params.join(returns, (F.col("key") == F.col("rkey")) & F.col("member").eqNullSafe(F.col("rmember")), "full").select(F.coalesce("key", "rkey").alias("key"), F.coalesce("member", "rmember").alias("member"), F.to_json(F.struct(F.coalesce("p", F.create_map().cast("map<string,string>")).alias("p"), "r")).alias("data"))
+            new = written(both)
+            if new.exceptAll(now).isEmpty() and now.exceptAll(new).isEmpty():
+                break
+            now = new
+        return now
+
     @cached_property
     def typed(self) -> DataFrame:
         """Findings and types of the pass that types every analysed file."""
+        return self._typing(self.inferred if self.infer else None)
+
+    def _typing(self, inferred: DataFrame | None) -> DataFrame:
         kind = F.when(F.col("what").isin("function", "const"), F.col("what")).otherwise("class")
         known = self.reach.join(self.signatures.withColumn("kind", kind), ["kind", "key"]).select("path", "what", "key", "member", "data")
+        if inferred is not None:
+            kinds = F.when(F.col("member").isNull(), "function").otherwise("class")
+            known = known.unionByName(self.reach.join(inferred.withColumn("kind", kinds), ["kind", "key"]).select("path", F.lit("inferred").alias("what"), "key", "member", "data"))
         base = len(LOCAL) + len(JOINED)
         files = self.files.where("analyze") if self.only is None else self.files.where("analyze").join(self.only, "path", "left_semi")
         return written(files.groupBy("path").cogroup(known.groupBy("path")).applyInArrow(typing_worker(self.options, self.want, base), DDL))
@@ -216,7 +253,13 @@ class Run:
 def _matches(entry: str) -> Column:
     """Whether a finding is one that an entry (columns behind ``entry``) means."""
     e = lambda c: F.col(f"{entry}{c}")
-    return (e("path").isNull() | F.col("path").rlike(e("path"))) & (e("message").isNull() | F.col("message").rlike(e("message"))) & (e("identifier").isNull() | (F.col("identifier") == e("identifier")))
+    return (e("path").isNull() | F.rlike(F.col("path"), e("path"))) & (e("message").isNull() | F.rlike(F.col("message"), e("message"))) & (e("identifier").isNull() | (F.col("identifier") == e("identifier")))
+
+
+@F.pandas_udf(StringType())
+def joined_types(texts: pd.Series) -> pd.Series:
+    """The union of each row's types, in their order."""
+    return texts.map(lambda ts: ty.render(ty.union(*[ty.parse_type(t) for t in ts])))
 
 
 def _at(df: DataFrame, message: Column, identifier: Column | str) -> DataFrame:

@@ -233,6 +233,18 @@ def gen_nullable_access(t):
     return _found(Run(_files(t("supplier"), "z", "s_suppkey", line, 50, head="<?php class O { public $p; function m() {} }"), Options(level=8)), "method.nonObject", "property.nonObject", "offsetAccess.nonOffsetAccessible")
 
 
+@query("""SELECT 'f' || p AS name, CASE WHEN p_size % 3 = 0 THEN 'int' WHEN p_size % 3 = 1 THEN 'int|string' ELSE 'array' END AS param, CASE WHEN p_size % 3 = 0 THEN 'int' WHEN p_size % 3 = 1 THEN 'int|string' ELSE 'array' END AS returned
+FROM (SELECT p_partkey AS p, p_size FROM part)""")
+def gen_inferred_signatures(t):
+    """Parameters typed by their calls, and returns by their bodies, across files and rounds."""
+    p = t("part")
+    lib = _files(p, "lib", "p_partkey", _text("function f{i}($x) { return g{i}($x); } function g{i}($y) { return $y; }", i="p_partkey"), 100)
+    calls = _by_kind(F.col("p_size") % 3, [_text(x, i="p_partkey") for x in ("f{i}(1); f{i}(2);", "f{i}(1); f{i}('s');", "f{i}([1]);")])
+    run = Run(lib.unionByName(_files(p, "use", "p_partkey", calls, 100)), Options(level=-1), infer=4)
+    told = run.inferred.where("member is null and key like 'f%'").select(F.col("key").alias("name"), F.from_json("data", "p map<string,string>, r string").alias("d"))
+    return told.select("name", F.regexp_replace(F.col("d.p")["0"], r"array\{.*\}", "array").alias("param"), F.regexp_replace("d.r", r"array\{.*\}", "array").alias("returned"))
+
+
 _DECLARED = [
     ("parameter.phpDocType", "'PHPDoc tag @param for parameter $x with type string is incompatible with native type int.'", "/** @param string $x */ function f{i}(int $x) {}"), ("parameter.notFound", "'PHPDoc tag @param references unknown parameter: $y'", "/** @param int $y */ function f{i}(int $x) {}"), ("return.phpDocType", "'PHPDoc tag @return with type string is incompatible with native type int.'", "/** @return string */ function f{i}(): int { return {c}; }"), ("property.phpDocType", "'PHPDoc tag @var for property K' || i || '::$p with type string is incompatible with native type int.'", "class K{i} { /** @var string */ public int $p = {c}; }"),
     ("throws.notThrowable", "'PHPDoc tag @throws with type O is not subtype of Throwable'", "/** @throws O */ function f{i}() {}"), ("parameter.notByRef", "'Parameter $x for PHPDoc tag @param-out is not passed by reference.'", "/** @param-out int $x */ function f{i}($x) {}"), ("phpDoc.phpstanTag", "'Unknown PHPDoc tag: @phpstan-foo'", "/** @phpstan-foo */ function f{i}() {}"), ("generics.existingClass", "'PHPDoc tag @template for class K' || i || ' cannot have existing class O as its name.'", "/** @template O */ class K{i} {}"), ("enum.generic", "'Enum K' || i || ' has PHPDoc @template tag but enums cannot be generic.'", "/** @template T */ enum K{i} { case A; }"),

@@ -117,11 +117,11 @@ def test_command_line(spark, tree, capsys):
 
     conf = tree / "c.neon"
     conf.write_text("parameters:\n    level: 0\n    excludePaths:\n        - skip.php\n")
-    assert main([str(tree / "src"), "-c", str(conf), "--error-format", "raw"], spark) == 1
+    assert main(["--no-infer-untyped", str(tree / "src"), "-c", str(conf), "--error-format", "raw"], spark) == 1
     assert capsys.readouterr().out.strip() == "a.php:1:unknown class `Nope`"
     assert main([], spark) == 2
     base = tree / "b.neon"
-    assert main([str(tree / "src"), "-c", str(conf), "-b", str(base)], spark) == 0
+    assert main(["--no-infer-untyped", str(tree / "src"), "-c", str(conf), "-b", str(base)], spark) == 0
     assert "identifier: class.notFound" in base.read_text()
 
 
@@ -133,19 +133,19 @@ def test_baseline_round_trip(spark, tree, capsys):
     (tree / "src" / "a.php").write_bytes(b"<?php new Nope;\nnew Nope;\nnew Other;")
     conf, base = tree / "c.neon", tree / "b.neon"
     conf.write_text("parameters:\n    level: 0\n    excludePaths:\n        - skip.php\n")
-    assert main([str(tree / "src"), "-c", str(conf), "-b", str(base)], spark) == 0
+    assert main(["--no-infer-untyped", str(tree / "src"), "-c", str(conf), "-b", str(base)], spark) == 0
     both = tree / "d.neon"
     entries = base.read_text().split("ignoreErrors:", 1)[1]
     both.write_text(conf.read_text() + "    ignoreErrors:" + entries)
     capsys.readouterr()
-    assert main([str(tree / "src"), "-c", str(both), "--error-format", "raw"], spark) == 0
+    assert main(["--no-infer-untyped", str(tree / "src"), "-c", str(both), "--error-format", "raw"], spark) == 0
     # one more of a kind than the baseline has, and one of a new kind
     (tree / "src" / "a.php").write_bytes(b"<?php new Nope;\nnew Nope;\nnew Other;\nnew Nope;\nnew Third;")
-    assert main([str(tree / "src"), "-c", str(both), "--error-format", "json"], spark) == 1
+    assert main(["--no-infer-untyped", str(tree / "src"), "-c", str(both), "--error-format", "json"], spark) == 1
     doc = json.loads(capsys.readouterr().out)
     assert doc["totals"] == {"errors": 0, "file_errors": 2} and [m["line"] for m in doc["files"]["a.php"]["messages"]] == [4, 5]
     for form, head, tail in (("gitlab", "[", "]"), ("checkstyle", "<?xml", "</checkstyle>"), ("junit", "<?xml", "</testsuite>"), ("prettyJson", "{", "}")):
-        assert main([str(tree / "src"), "-c", str(both), "--error-format", form], spark) == 1
+        assert main(["--no-infer-untyped", str(tree / "src"), "-c", str(both), "--error-format", form], spark) == 1
         out = capsys.readouterr().out.strip()
         assert out.startswith(head) and out.endswith(tail)
         if form == "gitlab":
