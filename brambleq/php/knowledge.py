@@ -55,7 +55,15 @@ def signature(n: Node, names: Names, cls: ClassInfo | None, outer: frozenset[str
         out.append([p.name, show(t) if t else None, p.default is not None or p.variadic, p.variadic, p.by_ref])
     native, doc = hint_type(render_hint(n.get("returns")), names, cls, every), hint_type(best(found, "return"), names, cls, every)
     ret = doc or native
-    return {"p": out, "r": show(ret) if ret else None, "t": sorted(every), "n": show(native) if native else None}
+    sig = {"p": out, "r": show(ret) if ret else None, "t": sorted(every), "n": show(native) if native else None}
+    # what a call proves of its arguments (when, parameter, type, negated), and leaves in those it takes by reference
+    proves = [(tag, var, hint_type(text.lstrip("!="), names, cls, every), text.startswith("!")) for tag, _, text, var in found if tag in ("assert", "assert-if-true", "assert-if-false") and var]
+    leaves = {var: hint_type(text, names, cls, every) for tag, _, text, var in found if tag == "param-out" and var}
+    if proves:
+        sig["a"] = [[tag, var, show(t), no] for tag, var, t, no in proves if t]
+    if leaves:
+        sig["o"] = {var: show(t) for var, t in leaves.items() if t}
+    return sig
 
 
 def value_type(n: Node | None) -> str | None:

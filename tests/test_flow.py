@@ -71,6 +71,23 @@ def test_members_and_templates():
         assert [render(x.of(n)) for n, _ in x.f.nodes("var") if n.name == "r"][-1] == want, source
 
 
+def test_assert_tags_and_out_types():
+    lib = """
+    class K { /** @phpstan-assert-if-true string $x */ function isText($x): bool {} }
+    /** @phpstan-assert int $x */
+    function mustBeInt($x) {}
+    /** @phpstan-assert !null $x */
+    function there($x) {}
+    /** @phpstan-assert-if-false int $x */
+    function noInt($x): bool {}
+    /** @param-out string $x */
+    function fill(&$x) {}
+    """
+    for source, want in [("mustBeInt($m); $r = $m;", "int"), ("mustBeInt($u); $r = $u;", "int"), ("there($s); $r = $s;", "string"), ("if ($k->isText($u)) { $r = $u; }", "string"), ("if ($k->isText($u)) {} else { $r = $u; }", "int|string"), ("if (!noInt($u)) { $r = $u; }", "int"), ("fill($q); $r = $q;", "string")]:
+        x = typed(f"{lib} function f($m, int|string $u, ?string $s, K $k) {{ {source} }}")
+        assert [render(x.of(n)) for n, _ in x.f.nodes("var") if n.name == "r"][-1] == want, source
+
+
 @pytest.mark.parametrize(
     ("source", "want"),
     [
