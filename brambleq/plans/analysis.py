@@ -455,6 +455,49 @@ def overriding(run: Run) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _overridden(run: Run, what: str) -> DataFrame:
+    """Members of a kind beside the first declaration above them: ``m`` and ``pm`` are their attributes, ``there``
+    the class above.  Traits are no parents, and nothing overrides what is private."""
+    m = run.members.where((F.col("what") == what) & F.col("m")["doc"].isNull())
+    above = run.closure.where("depth > 0").join(m.select(F.col("owner").alias("ancestor"), "member"), "ancestor").groupBy("node", "member").agg(F.min(F.struct("path", "ancestor")).alias("p")).select(F.col("node").alias("owner"), "member", F.col("p.ancestor").alias("up"))
+    parent = m.select(F.col("owner").alias("up"), "member", F.col("m").alias("pm"), F.col("owner_name").alias("there"))
+    traits = run.classes.where("what = 'trait'").select(F.col("key").alias("up"))
+    return m.join(above, ["owner", "member"]).join(parent, ["up", "member"]).join(traits, "up", "left_anti").where(F.col("pm")["vis"] != "private")
+
+
+def _narrowed(word: str, here: Column, there: Column) -> list[tuple]:
+    vis, pvis = F.col("m")["vis"], F.col("pm")["vis"]
+    lead = say(F.initcap(vis), f" {word} ", here, " overriding ", pvis, f" {word} ", there)
+    return [((pvis == "public") & (vis != "public"), say(lead, " should also be public.")), ((pvis == "protected") & (vis == "private"), say(lead, " should be protected or public."))]
+
+
+@rule("property.overriding", 0)
+def property_overriding(run: Run) -> DataFrame:
+    j = _overridden(run, "property")
+    here, there = say(F.col("owner_name"), "::$", F.col("member_name")), say(F.col("there"), "::$", F.col("member_name"))
+    flag = lambda of, name: F.coalesce(F.col(of)[name] == "1", F.lit(False))
+    stat, pstat, ro, pro = flag("m", "static"), flag("pm", "static"), flag("m", "readonly"), flag("pm", "readonly")
+    hint, phint = F.col("m")["hint"], F.col("pm")["hint"]
+    cases = [
+        (~stat & pstat, say("Non-static property ", here, " overrides static property ", there, "."), "property.nonStatic"),
+        (stat & ~pstat, say("Static property ", here, " overrides non-static property ", there, "."), "property.static"),
+        (~ro & pro, say("Readwrite property ", here, " overrides readonly property ", there, "."), "property.readWrite"),
+        (ro & ~pro, say("Readonly property ", here, " overrides readwrite property ", there, "."), "property.readOnly"),
+        (hint.isNull() & phint.isNotNull(), say("Property ", here, " overriding property ", there, " should have native type ", phint, "."), "property.missingNativeType"),
+        (hint.isNotNull() & phint.isNull(), say("Property ", here, " has native type ", hint, " but overrides property ", there, " with no native type."), "property.extraNativeType"),
+        *[(c, text, "property.visibility") for c, text in _narrowed("property", here, there)],
+    ]
+    return reduce(DataFrame.unionByName, [_at(j.where(c), text, code) for c, text, code in cases])
+
+
+@rule("classConstant.overriding", 0)
+def constant_overriding(run: Run) -> DataFrame:
+    j = _overridden(run, "constant").where(F.col("m")["case"].isNull())
+    here, there = say(F.col("owner_name"), "::", F.col("member_name")), say(F.col("there"), "::", F.col("member_name"))
+    cases = [(F.col("pm")["final"] == "1", say("Constant ", here, " overrides final constant ", there, "."), "classConstant.final"), *[(c, text, "classConstant.visibility") for c, text in _narrowed("constant", here, there)]]
+    return reduce(DataFrame.unionByName, [_at(j.where(c), text, code) for c, text, code in cases])
+
+
 @rule("trait.unused", 4)
 def trait_unused(run: Run) -> DataFrame:
     used = run.edges.where("role = 'trait'").select(F.col("parent").alias("key")).distinct()

@@ -190,3 +190,19 @@ def gen_signatures(t):
     known = seen.where(arg != "$x").select(F.col("name").alias("node"), F.when(arg == "1", "int").otherwise("string").alias("type"))
     flows = seen.where(arg == "$x").select(F.col("alt").alias("src"), F.col("name").alias("dst")).join(declared.where("free"), "dst", "left_semi").select("src", "dst")
     return signatures.propagate(known, flows)
+
+
+_MEMBERS = [("property.nonStatic", "'Non-static property K' || s || '::$p overrides static property B0::$p.'", "public static $p; ", "public $p; "), ("property.readOnly", "'Readonly property K' || s || '::$p overrides readwrite property B1::$p.'", "public int $p; ", "public readonly int $p; "), ("property.visibility", "'Protected property K' || s || '::$p overriding public property B2::$p should also be public.'", "public $p; ", "protected $p; "), ("classConstant.final", "'Constant K' || s || '::C overrides final constant B3::C.'", "final const C = 1; ", "const C = 2; "), ("classConstant.visibility", "'Private constant K' || s || '::C overriding protected constant B4::C should be protected or public.'", "protected const C = 1; ", "private const C = 2; "), ("property.missingNativeType", "'Property K' || s || '::$p overriding property B5::$p should have native type int.'", "public int $p; ", "public $p; ")]
+
+
+@query(f"""SELECT path, line, CASE {" ".join(f"WHEN k = {i} THEN '{c}'" for i, (c, *_) in enumerate(_MEMBERS))} END AS identifier, CASE {" ".join(f"WHEN k = {i} THEN {m}" for i, (_, m, *_) in enumerate(_MEMBERS))} END AS message FROM (
+  SELECT 'k/' || s_suppkey // 50 || '.php' AS path, ({_LINED.format(p="s_suppkey // 50", o="s_suppkey")})::INT AS line, s_suppkey AS s, s_suppkey % 7 AS k FROM supplier) WHERE k < {len(_MEMBERS)}""")
+def gen_member_overriding(t):
+    """Properties and constants against those above them, across files."""
+    s = t("supplier")
+    k = F.col("s_suppkey") % 7
+    pick = lambda texts: F.element_at(F.array(*map(F.lit, texts)), (k + 1).cast("int"))
+    base = program(s.select(k.cast("int").alias("b")).distinct(), F.lit("base.php"), ["b"], F.concat(F.lit("class B"), _n("b"), F.lit(" { "), F.element_at(F.array(*[F.lit(x) for *_, x, _ in _MEMBERS], F.lit("public $p; ")), F.col("b") + 1), F.lit("}")))
+    kids = program(s, _path("k/", "s_suppkey", 50), ["s_suppkey"], F.concat(F.lit("class K"), _n("s_suppkey"), F.lit(" extends B"), k.cast("string"), F.lit(" { "), pick([*[x for *_, x in _MEMBERS], "public $p; "]), F.lit("}")))
+    run = Run(base.unionByName(kids), Options(level=0))
+    return _brief(analysis.property_overriding(run).unionByName(analysis.constant_overriding(run)))
