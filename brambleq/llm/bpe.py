@@ -25,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brambleq.llm._blocks import Block, block_rows, bucket_count, by_bucket, frame, make_blocks, pack_ints, squeeze, totals, unframe, unpack_ints, unsqueeze
+from brambleq.llm._blocks import BLOCK_BYTES, Block, block_rows, bucket_count, by_bucket, frame, make_blocks, pack_ints, squeeze, totals, unframe, unpack_ints, unsqueeze
 from brambleq.llm._common import aside, extend, free_name, give_way, table
 
 #: The splitting pattern of byte-level tokenizers of this family.
@@ -45,6 +46,8 @@ _SETTLED = regex.compile(r"[\x00-ɀ‐-‧‰-⁞€]*")
 BATCH_WORDS = 20_000
 #: Bytes of ids that are decoded at once.
 CHUNK_BYTES = 1 << 22
+#: Bytes of text of a block whose documents come back with texts and ids.
+_WIDE_BYTES = 2 << 20
 
 
 def default_path() -> str:
@@ -114,21 +117,20 @@ def _gather(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(total)
 
 
+@lru_cache(maxsize=1)
+def codec_of(path: str) -> Codec:
+    """One codec for all tasks of a worker."""
+    return Codec(path)
+
+
 class Splitter:
     """Words of a text, by a tokenizer that is read where it is first used."""
 
     def __init__(self, path: str) -> None:
-        self.path, self.codec = path, None
-
-    def __getstate__(self) -> str:
-        return self.path
-
-    def __setstate__(self, path: str) -> None:
-        self.__init__(path)
+        self.path = path
 
     def __call__(self, text: bytes) -> list[str]:
-        self.codec = self.codec or Codec(self.path)
-        return self.codec.split(text.decode())
+        return codec_of(self.path).split(text.decode())
 
 
 def _by_bucket(words: list[bytes], buckets: int) -> list[tuple[int, list[int]]]:
@@ -160,7 +162,7 @@ def _encode(path: str):
             blob, sizes = unframe(x, 2)
             blob, ends = unsqueeze(blob), np.cumsum(unpack_ints(sizes)).tolist()
             asked.append([table_.setdefault(blob[a:b], len(table_)) for a, b in zip([0, *ends[:-1]], ends, strict=True)])
-        ids = Codec(path).encode([w.decode() for w in table_])
+        ids = codec_of(path).encode([w.decode() for w in table_])
         size = np.array([len(x) for x in ids], dtype=np.int64)
         flat, starts = np.array([i for x in ids for i in x], dtype=np.int64), np.cumsum(size) - size
         out = [frame(pack_ints(size[k]), pack_ints(flat[_gather(starts[k], size[k])])) for k in (np.array(x, dtype=np.int64) for x in asked)]
@@ -173,7 +175,7 @@ def _joined(path: str, buckets: int, null: str, finish: Callable[[pa.Table, pa.A
     """Of one block: the ids of its words joined to its documents by position."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        codec = Codec(path)
+        codec = codec_of(path)
         found = dict(zip(right.column("bucket").to_pylist(), right.column("ids").to_pylist(), strict=True))
         parts = []
         for row in left.to_pylist():
@@ -209,10 +211,10 @@ def _decoded(ids: pa.ListArray, codec: Codec) -> list[str | None]:
     return [codec.decode(flat[offsets[i] : offsets[i + 1]]) if ok else None for i, ok in enumerate(ids.is_valid().to_pylist())]
 
 
-def _code(docs: DataFrame, path: str | None, finish, schema) -> DataFrame:
+def _code(docs: DataFrame, path: str | None, finish, schema, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     path = path or default_path()
     null = free_name(docs.columns, "null")
-    blocks = make_blocks(docs.withColumn(null, F.col("text").isNull()), Splitter(path))
+    blocks = make_blocks(docs.withColumn(null, F.col("text").isNull()), Splitter(path), block_bytes)
     buckets = bucket_count(blocks, totals(blocks)[0])
     answers = by_bucket(blocks.mapInArrow(_send(buckets), "bucket int, block long, words binary"), buckets).applyInArrow(_encode(path), "block long, bucket int, ids binary")
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_joined(path, buckets, null, finish), schema)
@@ -229,7 +231,7 @@ def round_trip(docs: DataFrame, path: str | None = None, ids: str = "ids", out:
         columns = [texts() if c == "text" else held.column(c) for c in names]
         return pa.Table.from_arrays([*columns, coded, *([pa.array(_decoded(coded, codec), pa.string())] if out else [])], names=[*names, ids, *([out] if out else [])])
 
-    return _code(held_as, path, finish, T.StructType([*held_as.schema.fields, *kinds])).toDF(*docs.columns, *[f.name for f in kinds])
+    return _code(held_as, path, finish, T.StructType([*held_as.schema.fields, *kinds]), _WIDE_BYTES).toDF(*docs.columns, *[f.name for f in kinds])
 
 
 def encode(docs: DataFrame, path: str | None = None, out: str = "ids") -> DataFrame:
@@ -244,7 +246,7 @@ def decode(docs: DataFrame, path: str | None = None, ids: str = "ids", out: str
     k = docs.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path)
+        codec = codec_of(path)
         for b in batches:
             for s, e in _slices(b.column(k)):
                 part = b.slice(s, e - s)
