@@ -166,6 +166,8 @@ class Run:
         own = own.union(self.relation("decl").where("res = 'function'").select("path", F.lit("function"), "key"))
         now = written(r.select("path", "kind", "key").union(r.where("alt is not null").select("path", "kind", F.col("alt"))).union(own).distinct())
         every = new = now
+        if lead.isEmpty():
+            return now
         while True:
             step = new.join(lead, ["kind", "key"]).select("path", F.lit("class").alias("kind"), F.col("to").alias("key")).distinct()
             new = written(step.join(every, ["path", "kind", "key"], "left_anti"))
