@@ -539,6 +539,17 @@ def test_language_id(spark):
     assert language_id.predict(docs, None).where("__lang != 'und'").count() == 0
 
 
+def test_windows_are_averaged(spark):
+    r = random.Random(7)
+    texts = ["ab " * n + "xyz" * m for n, m in ((1, 0), (40, 3), (200, 90), (3, 400))] + ["".join(r.choice("abxyz ") for _ in range(2000))]
+    net = language_id.Network(["aa", "bb", "cc"], seed=2)
+    got = {x["doc_id"]: x for x in language_id.predict(make(spark, [(i, t, None, None) for i, t in enumerate(texts)]), net).collect()}
+    for i, t in enumerate(texts):
+        p = np.exp(np.mean([net.log_probs(w[None, :])[0].astype(float) for w in language_id.windows(t.encode())], axis=0))
+        p /= p.sum()
+        assert got[i]["__lang"] == net.langs[int(p.argmax())] and got[i]["__score"] == pytest.approx(p.max(), abs=1e-5)
+
+
 def test_network_tables_equal_convolution():
     r = np.random.default_rng(1)
     net = language_id.Network(["a", "b", "c"])
