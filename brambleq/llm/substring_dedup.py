@@ -277,11 +277,14 @@ def _paths(state: DataFrame) -> DataFrame:
     to the first segments of their paths."""
     head = F.col("pred").isNull()
     now = materialise(state.withColumns({"ptr": F.coalesce("pred", "key"), "offset": F.coalesce("pred_edges", F.lit(0)), "least": F.least("key", F.coalesce("pred", "key")), "done": head}))
-    left, rounds = now.where("not done").count(), 0
-    while left and 2 ** (rounds - 1) <= left:
+    left, rounds, settled = now.where("not done").count(), 0, 1
+    # an open path settles a segment a round at least; where none settles, only cycles are left,
+    # and their members know the smallest once the pointers span as many segments
+    while left and (settled or 2**rounds < left):
         p = now.select(F.col("key").alias("k"), F.col("ptr").alias("p"), F.col("offset").alias("o"), F.col("least").alias("l"), F.col("done").alias("d"))
         now = materialise(now.join(p, F.col("ptr") == F.col("k")).select("key", "end", "pred", "pred_edges", F.col("p").alias("ptr"), F.when(F.col("done"), F.col("offset")).otherwise(F.col("offset") + F.col("o")).alias("offset"), F.least("least", "l").alias("least"), F.col("d").alias("done")))
-        left, rounds = now.where("not done").count(), rounds + 1
+        before, left = left, now.where("not done").count()
+        settled, rounds = before - left, rounds + 1
     if not left:
         return now
     # what is left are cycles, whose smallest segment each member knows by now

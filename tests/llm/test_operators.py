@@ -153,6 +153,23 @@ def test_paths_are_nonbranching(spark):
                 assert e not in after or seen[after[e]] == (path, 0)
 
 
+def test_paths_of_several_segments(spark):
+    rows, want = [], {}
+    for n in range(1, 10):  # open paths of up to nine segments, whose names do not ascend along them
+        keys = [(n, 50 - 7 * j if j % 2 else 100 + 7 * j) for j in range(n)]
+        rows += [(key, 0, keys[j - 1] if j else None, j + 2 if j else None) for j, key in enumerate(keys)]
+        want |= {key: (keys[0], sum(range(3, j + 3))) for j, key in enumerate(keys)}
+    for n in range(1, 6):  # cycles
+        keys = [(20 + n, (3 * j + 2) % n if n % 3 else j) for j in range(n)]
+        rows += [(key, 0, keys[j - 1], 10) for j, key in enumerate(keys)]
+        least = keys.index(min(keys))
+        want |= {keys[(least + j) % n]: (min(keys), 10 * j) for j in range(n)}
+    place = "struct<block:long,at:int>"
+    state = spark.createDataFrame(rows, f"key {place}, end int, pred {place}, pred_edges long")
+    got = substring_dedup._paths(state).collect()
+    assert len(got) == len(want) and {tuple(r["key"]): (tuple(r["ptr"]), r["offset"]) for r in got} == want
+
+
 def test_packed_integers():
     from brambleq.llm._blocks import pack_ints, unpack_ints
 
