@@ -13,10 +13,10 @@ The model predicts a word's class from its two predecessors', each through a mat
 of its own, and then the word within its class by add-one counts, an unseen word
 taking the place of one more word, so every word of the corpus has a probability.
 It is trained in numpy with noise-contrastive estimation, on all blocks at once: in
-each of ``ROUNDS`` every task takes ``STEPS`` steps for each of its blocks, on draws from
-the blocks' own tokens, from the parameters that the round before left; the tasks'
-parameters are averaged, weighted by their steps.  Steps thus grow with the corpus, and
-nothing that grows with it is gathered.  Scoring uses matrix products over a block's
+each of ``ROUNDS`` every task passes over a share of its blocks' training tokens, from the
+parameters that the round before left, and the rounds' shares make up every training token
+(in small inputs further steps take draws); the tasks' parameters are averaged, weighted by
+their steps.  No token is left out, and nothing that grows with the corpus is gathered.  Scoring uses matrix products over a block's
 distinct contexts and normalises exactly over all classes.
 
 Memory: one block and the model in a worker; a bucket answers for a bounded share of
@@ -59,7 +59,7 @@ CONTEXT = 2
 DIMENSIONS = 24
 NOISE = 12
 ROUNDS = 3
-#: Steps for each block and round, and at least for each task and round.
+#: Steps at least for each block and round, and for each task and round: where the tokens are fewer, draws follow.
 STEPS, LEAST_STEPS = 80, 300
 BATCH = 1024
 END = b""  # no word is empty
@@ -299,8 +299,9 @@ class LogBilinear:
             at += p.size
         return self
 
-    def fit(self, contexts: np.ndarray, classes: np.ndarray, steps: int, seed: int = 5, rate: float = 0.02) -> LogBilinear:
-        """Noise-contrastive estimation on draws from tokens and their contexts; noise by class frequency."""
+    def fit(self, contexts: np.ndarray, classes: np.ndarray, steps: int, seed: int = 5, rate: float = 0.02, order: np.ndarray | None = None) -> LogBilinear:
+        """Noise-contrastive estimation on the tokens and their contexts: ``one_pass`` steps take those
+        of the order (all, shuffled), steps beyond take draws from all; noise by class frequency."""
         if not classes.size:
             return self
         r = np.random.default_rng(seed)
@@ -309,8 +310,10 @@ class LogBilinear:
         cum_noise = np.cumsum(self.unigram)
         params = self.params()
         first, second = [np.zeros_like(x) for x in params], [np.zeros_like(x) for x in params]
+        order = r.permutation(classes.size) if order is None else order
         for step in range(1, steps + 1):
-            k = r.integers(0, classes.size, BATCH)
+            k = order[(step - 1) * BATCH : step * BATCH]
+            k = np.concatenate((k, r.integers(0, classes.size, BATCH - k.size)))
             y, b, a = classes[k], contexts[k] % n, contexts[k] // n
             noise = np.minimum(np.searchsorted(cum_noise, r.random((BATCH, NOISE))), n - 1)
             all_ = np.concatenate((y[:, None], noise), axis=1)
@@ -355,8 +358,14 @@ def _scatter(out: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
     out[at[heads]] += np.add.reduceat(rows[order], heads)
 
 
+def one_pass(tokens: int) -> int:
+    """Steps that take each of so many tokens."""
+    return -(-tokens // BATCH)
+
+
 def _learn(model: LogBilinear, round_: int):
-    """Of one task's blocks: parameters after its steps from the model's, times their number; one row a place."""
+    """Of one task's blocks: parameters after passing over the round's share of their training
+    tokens from the model's, times the number of steps; one row a place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from copy import deepcopy
@@ -367,8 +376,11 @@ def _learn(model: LogBilinear, round_: int):
             learn = np.repeat(Docs(b).train, b.sizes)
             if learn.any():
                 first = (contexts[learn], c[learn], b.block) if first is None else first
-                m.fit(contexts[learn], c[learn], STEPS, seed=(b.block * 7 + round_) % 2**32, rate=0.02 / (1 + round_))
-                taken += STEPS
+                # the rounds' shares, dealt by one shuffled order, make up all tokens
+                mine = np.random.default_rng(b.block).permutation(int(learn.sum()))[round_::ROUNDS]
+                steps = max(STEPS, one_pass(mine.size))
+                m.fit(contexts[learn], c[learn], steps, seed=(b.block * 7 + round_) % 2**32, rate=0.02 / (1 + round_), order=mine)
+                taken += steps
         if first is not None and taken < LEAST_STEPS:
             m.fit(first[0], first[1], LEAST_STEPS - taken, seed=(first[2] * 7 + round_ + 1000) % 2**32, rate=0.02 / (1 + round_))
             taken = LEAST_STEPS

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from brambleq.llm import bpe, decontaminate, language_id, language_model, line_dedup, secrets, simhash, substring_dedup, topk, toxicity
+from brambleq.llm import _blocks, bpe, decontaminate, language_id, language_model, line_dedup, secrets, simhash, substring_dedup, topk, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, __extra string"
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -291,6 +291,26 @@ def test_model_is_normalised():
     assert np.array_equal(language_model.LogBilinear(m.unigram, seed=9).load(m.flat()).target, m.target)
 
 
+def test_language_model_passes_over_every_token(monkeypatch):
+    n = 3000
+    c = np.arange(n)
+    m = language_model.LogBilinear(np.full(n, 1 / n))
+    before = m.read.copy()
+    m.fit(c * n + c, np.roll(c, 1), language_model.one_pass(n))
+    assert (m.read != before).any(axis=1).all()  # each class is the context of one token
+    size, taken = 1_300_000, []
+    docs = pa.table({"doc_id": pa.array([1, 2]), "train": [True, False], "held": [False, True], "profile": pa.array([b"\0" * language_model.PROFILE] * 2, pa.binary())})
+    ints = lambda *x: language_model.pack_ints(np.array(x))
+    row = {"block": 1, "docs": _blocks.pack_table(docs), "sizes": ints(size, 9), "codes": language_model.pack_ints(np.arange(size + 9) % 5), "counts": ints(1, 1, 1, 1, 1), "classes": ints(0, 1, 2, 3, 4)}
+    monkeypatch.setattr(language_model, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": lambda _: 0})())}))
+    monkeypatch.setattr(language_model.LogBilinear, "fit", lambda m, contexts, classes, steps, order=None, **_: taken.append((order, steps)) if order is not None else None)
+    for k in range(language_model.ROUNDS):
+        list(language_model._learn(language_model.LogBilinear(np.full(5, 0.2)), k)(iter([pa.RecordBatch.from_pylist([row])])))
+    # the rounds together take the training tokens, each once
+    assert np.array_equal(np.sort(np.concatenate([x for x, _ in taken])), np.arange(size))
+    assert all(steps * language_model.BATCH >= x.size for x, steps in taken)
+
+
 def test_language_model_learns(spark):
     r = random.Random(6)
     vocab = {k: [k + "".join(r.choice(k + "aeiou") for _ in range(5)) for _ in range(300)] for k in ("bdg", "kst", "mnl")}
