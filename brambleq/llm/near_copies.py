@@ -1,11 +1,16 @@
 """Groups of documents whose sets of word shingles have a Jaccard similarity of at least 4/5.
 
-The join is exact.  Two sets of that similarity, each in one order over all
+Documents of one set are one class, which one of them stands for.  SimHash comes first:
+each class has the fingerprint of its shingles, the index of ``simhash`` links fingerprints
+within its few bits, and classes of equal or linked fingerprints are compared whole.
+Fingerprints of 64 bits differ in about ten at that similarity, so bits alone lose links;
+an exact join finds the rest, among classes that are not of one component by then.
+
+Two sets of that similarity, each in one order over all
 shingles, share one of the first n - ceil(4 n / 5) + 1 of either: a document is
 posted under those only.  The order is by how often a slot of shingles is met in
 the corpus, then by hash, so passages that many documents hold come last and
-postings stay short; any order gives the same result.  Documents of one set are
-one class, which one of them stands for.  Blocks first tell which of their
+postings stay short; any order gives the same result.  Blocks first tell which of their
 postings others hold too; only those travel.  In each round every posting compares
 its classes with some of its own, the leaders, whose pairs are then settled there;
 a posting ends when its classes are all of one component, so a group of copies
@@ -34,6 +39,7 @@ from pyspark.sql import functions as F
 from brambleq.llm._blocks import Block, block_rows, bucket_count, key_bits, make_blocks, marked, pack_ints, rolled, shared_keys, totals, unpack_ints
 from brambleq.llm._common import aside, discard, materialise, text_bytes
 from brambleq.llm._graph import components
+from brambleq.llm.simhash import link_classes, of_hashes
 
 #: Least similarity, as a fraction.
 LEAST, WHOLE = 4, 5
@@ -64,11 +70,11 @@ class Sets:
         return rolled(np.append(self.w[s : s + n], np.uint64(n)), n + 1, _BASE) if n else self.w[:0]
 
 
-_ROWS = pa.schema([("block", pa.int64()), ("row", pa.int32()), ("id", pa.int64()), ("hash", pa.int64()), ("cls", pa.binary()), ("n", pa.int64())])
+_ROWS = pa.schema([("block", pa.int64()), ("row", pa.int32()), ("id", pa.int64()), ("hash", pa.int64()), ("cls", pa.binary()), ("n", pa.int64()), ("fp", pa.int64())])
 
 
 def _classes(shingle: int):
-    """Each document's class: a digest of its set."""
+    """Each document's class, a digest of its set, and the set's fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in block_rows(batches):
@@ -76,7 +82,7 @@ def _classes(shingle: int):
             found = [sets.of(i) for i in range(b.sizes.size)]
             m = len(found)
             text = np.array([xxhash.xxh3_64_intdigest(x) for x in text_bytes(docs.column("text").combine_chunks())], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([b.block] * m, pa.int64()), pa.array(range(m), pa.int32()), docs.column("doc_id").combine_chunks().cast(pa.int64()), pa.array(text), pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in found], pa.binary()), pa.array([x.size for x in found], pa.int64())], schema=_ROWS)
+            yield pa.RecordBatch.from_arrays([pa.array([b.block] * m, pa.int64()), pa.array(range(m), pa.int32()), docs.column("doc_id").combine_chunks().cast(pa.int64()), pa.array(text), pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in found], pa.binary()), pa.array([x.size for x in found], pa.int64()), pa.array(np.array([of_hashes(x) for x in found], dtype=np.uint64).view(np.int64))], schema=_ROWS)
 
     return run
 
@@ -185,16 +191,46 @@ def _compare(shingle: int):
     return run
 
 
+def _roots(links: DataFrame) -> DataFrame:
+    return components(links).select(F.col("node").alias("cls"), F.col("root").alias("new"))
+
+
 def _several(live: DataFrame, what: str) -> DataFrame:
     """The rows of ``live`` whose posting has different values of ``what``."""
     many = live.groupBy("s").agg(F.min(what).alias("lo"), F.max(what).alias("hi")).where("lo < hi").select("s")
     return live.join(many, "s")
 
 
+def _verified(blocks: DataFrame, classes: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
+    """Those of the ``pairs`` (``u``, ``v``: classes) that reach the similarity."""
+    whole = blocks.groupBy("block")
+    where = [classes.select(F.col("cls").alias(x), F.col("block").alias(f"{x}_block"), F.col("row").alias(f"{x}_row")) for x in "uv"]
+    placed = pairs.join(where[0], "u").join(where[1], "v").withColumn("block", F.col("u_block"))
+    lent = whole.cogroup(placed.groupBy("block")).applyInArrow(_lend(shingle), "block long, u binary, set binary, rows array<int>, vs array<binary>")
+    return whole.cogroup(lent.groupBy("block")).applyInArrow(_compare(shingle), "u binary, v binary")
+
+
+def _near(n, m):
+    return F.least(n, m) * WHOLE >= F.greatest(n, m) * LEAST
+
+
+def by_fingerprints(blocks: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
+    """Links ``u``, ``v`` between classes of the similarity whose fingerprints are equal or linked;
+    ``classes`` as for ``_links``, and ``fp``."""
+    first = materialise(classes.groupBy("fp").agg(F.min(F.struct("cls", "n")).alias("c")))
+    one, two = (first.select(F.col("fp").alias(x), F.col("c").alias(f"c{x}")) for x in "uv")
+    # those of one fingerprint with the first of them, and the first ones of linked fingerprints
+    equal = classes.join(first, "fp").select("c", F.struct("cls", "n").alias("d"))
+    near = link_classes(first.select("fp")).distinct().join(one, "u").join(two, "v").select(F.col("cu").alias("c"), F.col("cv").alias("d"))
+    pairs = equal.unionByName(near).where((F.col("c.cls") != F.col("d.cls")) & _near(F.col("c.n"), F.col("d.n")))
+    return _verified(blocks, classes, pairs.select(F.least("c.cls", "d.cls").alias("u"), F.greatest("c.cls", "d.cls").alias("v")), shingle)
+
+
 def _links(blocks: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
     """Links ``u``, ``v`` that connect all classes of at least the similarity; ``classes``:
-    ``cls``, ``n``, and ``block`` and ``row`` of the document that stands for it."""
+    ``cls``, ``n``, ``fp``, and ``block`` and ``row`` of the document that stands for it."""
     spark = blocks.sparkSession
+    links = materialise(by_fingerprints(blocks, classes, shingle))
     whole = blocks.groupBy("block")
     n_bytes, n_words = totals(blocks)
     buckets, bits = bucket_count(blocks, n_bytes), key_bits(n_words)
@@ -206,21 +242,18 @@ def _links(blocks: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
     marks = shared_keys(blocks, lambda b, t: Postings(b, t.column("row").to_pylist(), shingle, shared.value).keys(bits), buckets, bits, classes.select("block", "row"))
     asked = classes.select("block", "row", "cls", "n").unionByName(marks, allowMissingColumns=True)
     posted = whole.cogroup(asked.groupBy("block")).applyInArrow(_shared(shingle, shared, buckets, bits), "s long, cls binary, n long, at int")
-    live = materialise(_several(materialise(posted), "cls").withColumn("root", F.col("cls")))
-    links = spark.createDataFrame([], "u binary, v binary")
-    where = [classes.select(F.col("cls").alias(x), F.col("block").alias(f"{x}_block"), F.col("row").alias(f"{x}_row")) for x in "uv"]
+    posted = materialise(posted)
+    live = materialise(_several(posted.join(_roots(links), "cls", "left").select("s", "cls", "n", "at", F.coalesce("new", "cls").alias("root")), "root"))
+    discard(posted)
     leaders = 1
     while not live.isEmpty():
         slot = F.pmod(F.xxhash64("cls", F.lit(leaders)), F.lit(leaders))
         lead = materialise(live.groupBy("s", slot.alias("slot")).agg(F.min(F.struct("cls", "n", "at", "root")).alias("l")).select("s", F.col("l.cls").alias("lead"), F.col("l.n").alias("m"), F.col("l.at").alias("lead_at"), F.col("l.root").alias("base")))
-        near = F.least("n", "m") * WHOLE >= F.greatest("n", "m") * LEAST
         # at the first shingle that two sets share, no more than what follows it can be shared too
         ahead = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("lead_at")) * (LEAST + WHOLE) >= (F.col("n") + F.col("m")) * LEAST
-        pairs = live.join(lead, "s").where((F.col("root") != F.col("base")) & near & ahead).select(F.least("cls", "lead").alias("u"), F.greatest("cls", "lead").alias("v")).distinct()
-        placed = pairs.join(where[0], "u").join(where[1], "v").withColumn("block", F.col("u_block"))
-        lent = whole.cogroup(placed.groupBy("block")).applyInArrow(_lend(shingle), "block long, u binary, set binary, rows array<int>, vs array<binary>")
-        links = materialise(links.unionByName(whole.cogroup(lent.groupBy("block")).applyInArrow(_compare(shingle), "u binary, v binary")))
-        roots = components(links).select(F.col("node").alias("cls"), F.col("root").alias("new"))
+        pairs = live.join(lead, "s").where((F.col("root") != F.col("base")) & _near("n", "m") & ahead).select(F.least("cls", "lead").alias("u"), F.greatest("cls", "lead").alias("v")).distinct()
+        links = materialise(links.unionByName(_verified(blocks, classes, pairs, shingle)))
+        roots = _roots(links)
         rest = live.join(lead.select("s", F.col("lead").alias("cls")), ["s", "cls"], "left_anti")
         old, live = live, materialise(_several(rest.join(roots, "cls", "left").select("s", "cls", "n", "at", F.coalesce("new", "cls").alias("root")), "root"))
         discard(old)
@@ -234,9 +267,9 @@ def deduplicate(docs: DataFrame, shingle: int = 5) -> DataFrame:
     its text among equal ids, one of equal rows; rows with a null id stay.  Columns unchanged."""
     given, docs = docs, aside(docs, "doc_id", "text")
     blocks = make_blocks(docs, _split, _BLOCK_BYTES, keep_text=True)
-    rows = materialise(blocks.mapInArrow(_classes(shingle), "block long, row int, id long, hash long, cls binary, n long").where("id is not null"))
+    rows = materialise(blocks.mapInArrow(_classes(shingle), "block long, row int, id long, hash long, cls binary, n long, fp long").where("id is not null"))
     order = F.struct("id", "hash", "block", "row")
-    classes = materialise(rows.groupBy("cls").agg(F.first("n").alias("n"), F.min(order).alias("best")).select("cls", "n", "best", "best.block", "best.row"))
+    classes = materialise(rows.groupBy("cls").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.min(order).alias("best")).select("cls", "n", "fp", "best", "best.block", "best.row"))
     words = blocks.select("block", "n_bytes", "n_words", "sizes", "codes", "words", "spans")  # the texts stay where they are
     roots = components(_links(words, classes, shingle))
     named = materialise(classes.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "best", F.coalesce("root", "cls").alias("root")))

@@ -35,7 +35,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brambleq.llm import near_copies
 from brambleq.llm._blocks import BUCKETS_A_PARTITION, by_bucket
 from brambleq.llm._common import extend, give_way, materialise, shuffle_partitions, table, text_bytes
 from brambleq.llm._graph import components
@@ -82,7 +81,11 @@ def shingles(text: bytes, shingle: int) -> np.ndarray:
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    h = shingles(text, shingle)
+    return of_hashes(shingles(text, shingle))
+
+
+def of_hashes(h: np.ndarray) -> int:
+    """The bits that more than half of the hashes have."""
     n = h.size
     ones = np.zeros(64, dtype=np.int64)
     for i in range(0, n, 1 << 16):
@@ -248,8 +251,10 @@ def cluster(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """``docs`` with one row of each group that Jaccard similarity of at least 4/5 links
-    (not the bits of fingerprints, which lose such links): see ``near_copies``."""
+    """``docs`` with one row of each group that Jaccard similarity of at least 4/5 links: pairs of
+    near fingerprints are verified, and what the bits lose is found too: see ``near_copies``."""
+    from brambleq.llm import near_copies  # which goes by the fingerprints and links of this module
+
     return near_copies.deduplicate(docs, shingle)
 
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from brambleq.llm import _blocks, bpe, decontaminate, language_id, language_model, line_dedup, secrets, simhash, substring_dedup, topk, toxicity
+from brambleq.llm import _blocks, bpe, decontaminate, language_id, language_model, line_dedup, near_copies, secrets, simhash, substring_dedup, topk, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, __extra string"
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -521,6 +521,20 @@ def test_near_copies_under_one_id(spark):
     assert sorted((x["doc_id"] or 0, x["text"], x["__extra"]) for x in kept.collect()) == sorted([(1, one, "x"), (5, two, "x"), (7, three, "x"), (0, three, "x"), (0, three, "x")])
 
 
+def test_near_copies_go_by_fingerprints(spark, monkeypatch):
+    r = random.Random(12)
+    long, short = ([f"v{r.randint(0, 10**6)}" for _ in range(n)] for n in (2000, 60))
+    texts = [long, [*long[:1000], "zz", *long[1001:]], short, [*short[:30], "zz", *short[30:]], [f"u{i}" for i in range(50)]]
+    seen = []
+    by_fingerprints = near_copies.by_fingerprints
+    monkeypatch.setattr(near_copies, "by_fingerprints", lambda *a: seen.append(by_fingerprints(*a)) or seen[0])
+    kept = simhash.deduplicate(make(spark, [(i, " ".join(t), None, "s") for i, t in enumerate(texts)]))
+    assert {x["doc_id"] for x in kept.collect()} == {0, 2, 4}  # the second pair by what the bits lose, if they lose it
+    sets = {i: np.unique(simhash.shingles(" ".join(t).encode(), 5)) for i, t in enumerate(texts)}
+    assert 2 * np.intersect1d(sets[0], sets[1]).size > 1.9 * sets[0].size
+    assert seen[0].distinct().count() >= 1  # the first pair is linked by its fingerprints
+
+
 @pytest.mark.parametrize("m", [3, 4, 5])
 def test_postings_lose_no_link(m, monkeypatch):
     r = np.random.default_rng(0)
