@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brambleq.llm._common import passing, shuffle_partitions, text_bytes, work_dir
+from brambleq.llm._common import give_back, passing, shuffle_partitions, text_bytes, work_dir
 
 #: Bytes of text after which a block is closed (one longer text is a block of its own).
 BLOCK_BYTES = 4 << 20
@@ -110,6 +110,7 @@ class Block:
     (the more frequent in the block, the smaller)."""
 
     def __init__(self, row: dict) -> None:
+        give_back()  # the block before it is done with
         self.row = row
         self.block: int = row["block"]
         self.sizes = unpack_ints(row["sizes"]).astype(np.int64)
@@ -207,6 +208,7 @@ def make_blocks(docs: DataFrame, split: Callable[[bytes], list[bytes] | list[str
                 "spans": pack_ints(np.array([len(w) for w in words], dtype=np.int64)),
             }
             parts, index, codes, sizes, size, seq = [], _Numbers(), [], [], 0, seq + 1
+            give_back()
             return pa.RecordBatch.from_pylist([row], schema=_ARROW)
 
         for b in batches:
@@ -301,6 +303,7 @@ def shared_keys(blocks: DataFrame, keys_of: Callable[[Block], np.ndarray], bucke
         return pa.Table.from_pylist(out, schema)
 
     def find(t: pa.Table) -> pa.Table:
+        give_back()
         owner = t.column("block").to_pylist()
         sizes = t.column("n").to_pylist()
         keys = np.concatenate([np.cumsum(unpack_ints(x)) for x in t.column("keys").to_pylist()])

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brambleq.llm._blocks import BLOCK_BYTES, Block, block_rows, bucket_count, by_bucket, frame, make_blocks, pack_ints, squeeze, totals, unframe, unpack_ints, unsqueeze
-from brambleq.llm._common import aside, extend, free_name, give_way, table
+from brambleq.llm._common import aside, extend, free_name, give_back, give_way, table
 
 #: The splitting pattern of byte-level tokenizers of this family.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -157,6 +157,7 @@ def _encode(path: str):
     """Of one bucket: every distinct word encoded once, and its ids for the blocks that hold it."""
 
     def run(t: pa.Table) -> pa.Table:
+        give_back()
         asked, table_ = [], {}
         for x in t.column("words").to_pylist():
             blob, sizes = unframe(x, 2)
