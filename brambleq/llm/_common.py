@@ -5,6 +5,8 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,13 +36,27 @@ def passing(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
 
 
+@contextmanager
+def no_shuffles_left(spark: SparkSession) -> Iterator[None]:
+    """Of a query that is run here the shuffle files go when it ends; else they stay until the
+    driver's JVM happens to collect its garbage, and those of many rounds add up."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def materialise(df: DataFrame, **options: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage
     ends here, and a lost executor costs a re-read instead of a recomputation.
     The files go at the session's end, or with ``discard``."""
     spark = df.sparkSession
     path = work_dir(spark)
-    df.write.options(**options).parquet(path)
+    with no_shuffles_left(spark):
+        df.write.options(**options).parquet(path)
     passing(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path

@@ -2,11 +2,39 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brambleq.llm._common import discard, materialise
 
+#: Edges that one task joins in its memory; those of a larger graph go over all tasks in rounds.
+FEW = 1 << 17
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each node of all these edges, and the smallest node of its component."""
+    up: dict = {}
+    kind = None
+
+    def find(x):
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for b in batches:
+        kind = b.schema.field(0).type
+        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            up.setdefault(u, u)
+            up.setdefault(v, v)
+            u, v = find(u), find(v)
+            if u != v:
+                up[max(u, v)] = min(u, v)
+    if up:
+        yield pa.RecordBatch.from_arrays([pa.array(list(up), kind), pa.array([find(x) for x in up], kind)], names=["node", "root"])
+
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(``node``, ``root``): the smallest node of each component, from edges ``u``, ``v``.
@@ -15,9 +43,18 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     smallest neighbour, then its smaller ones and itself; the edges end as stars
     around the roots after a number of rounds logarithmic in the size of the
     largest component.  Each round is written out; a node of any degree is an
-    aggregate and one side of a join, never a collected list.
+    aggregate and one side of a join, never a collected list.  At most ``FEW`` edges
+    are one task's work instead, as rounds over all tasks would cost many times that
+    in small files and in time.
     """
-    now = materialise(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    given = materialise(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+    if given.count() <= FEW:
+        kind = given.schema["u"].dataType.simpleString()
+        out = materialise(given.coalesce(1).mapInArrow(_joined, f"node {kind}, root {kind}"))
+        discard(given)
+        return out
+    now = materialise(given.distinct())
+    discard(given)
     before = None
     for _ in range(max_rounds):
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brambleq.llm._blocks import Block, block_rows, bucket_count, key_bits, make_blocks, marked, pack_ints, rolled, shared_keys, totals, unpack_ints
-from brambleq.llm._common import aside, discard, materialise, text_bytes
+from brambleq.llm._common import aside, discard, materialise, no_shuffles_left, text_bytes
 from brambleq.llm._graph import components
 from brambleq.llm.simhash import link_classes, of_hashes
 
@@ -226,24 +226,27 @@ def by_fingerprints(blocks: DataFrame, classes: DataFrame, shingle: int) -> Data
     return _verified(blocks, classes, pairs.select(F.least("c.cls", "d.cls").alias("u"), F.greatest("c.cls", "d.cls").alias("v")), shingle)
 
 
-def _links(blocks: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
-    """Links ``u``, ``v`` that connect all classes of at least the similarity; ``classes``:
-    ``cls``, ``n``, ``fp``, and ``block`` and ``row`` of the document that stands for it."""
+def _groups(blocks: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
+    """(``cls``, ``new``): the classes that links of the similarity connect with others, and the smallest
+    class of each one's component; ``classes``: ``cls``, ``n``, ``fp``, and ``block`` and ``row`` of
+    the document that stands for it."""
     spark = blocks.sparkSession
     links = materialise(by_fingerprints(blocks, classes, shingle))
+    roots = _roots(links)
     whole = blocks.groupBy("block")
     n_bytes, n_words = totals(blocks)
     buckets, bits = bucket_count(blocks, n_bytes), key_bits(n_words)
     kind = "part int, counts binary"
     often = np.zeros((1 << _SLOT_BITS >> _PART_BITS, 1 << _PART_BITS), dtype=np.int64)
-    for part, counts in whole.cogroup(classes.select("block", "row").groupBy("block")).applyInArrow(_tally(shingle), kind).groupBy("part").applyInArrow(_sum, kind).collect():
-        often[part] = unpack_ints(bytes(counts))
+    with no_shuffles_left(spark):
+        for part, counts in whole.cogroup(classes.select("block", "row").groupBy("block")).applyInArrow(_tally(shingle), kind).groupBy("part").applyInArrow(_sum, kind).collect():
+            often[part] = unpack_ints(bytes(counts))
     shared = spark.sparkContext.broadcast(often.reshape(-1))
     marks = shared_keys(blocks, lambda b, t: Postings(b, t.column("row").to_pylist(), shingle, shared.value).keys(bits), buckets, bits, classes.select("block", "row"))
     asked = classes.select("block", "row", "cls", "n").unionByName(marks, allowMissingColumns=True)
     posted = whole.cogroup(asked.groupBy("block")).applyInArrow(_shared(shingle, shared, buckets, bits), "s long, cls binary, n long, at int")
     posted = materialise(posted)
-    live = materialise(_several(posted.join(_roots(links), "cls", "left").select("s", "cls", "n", "at", F.coalesce("new", "cls").alias("root")), "root"))
+    live = materialise(_several(posted.join(roots, "cls", "left").select("s", "cls", "n", "at", F.coalesce("new", "cls").alias("root")), "root"))
     discard(posted)
     leaders = 1
     while not live.isEmpty():
@@ -252,14 +255,15 @@ def _links(blocks: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
         # at the first shingle that two sets share, no more than what follows it can be shared too
         ahead = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("lead_at")) * (LEAST + WHOLE) >= (F.col("n") + F.col("m")) * LEAST
         pairs = live.join(lead, "s").where((F.col("root") != F.col("base")) & _near("n", "m") & ahead).select(F.least("cls", "lead").alias("u"), F.greatest("cls", "lead").alias("v")).distinct()
-        links = materialise(links.unionByName(_verified(blocks, classes, pairs, shingle)))
+        old, links = links, materialise(links.unionByName(_verified(blocks, classes, pairs, shingle)))
+        discard(old)
         roots = _roots(links)
         rest = live.join(lead.select("s", F.col("lead").alias("cls")), ["s", "cls"], "left_anti")
         old, live = live, materialise(_several(rest.join(roots, "cls", "left").select("s", "cls", "n", "at", F.coalesce("new", "cls").alias("root")), "root"))
         discard(old)
         discard(lead)
         leaders *= 16
-    return links
+    return roots
 
 
 def deduplicate(docs: DataFrame, shingle: int = 5) -> DataFrame:
@@ -271,8 +275,7 @@ def deduplicate(docs: DataFrame, shingle: int = 5) -> DataFrame:
     order = F.struct("id", "hash", "block", "row")
     classes = materialise(rows.groupBy("cls").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.min(order).alias("best")).select("cls", "n", "fp", "best", "best.block", "best.row"))
     words = blocks.select("block", "n_bytes", "n_words", "sizes", "codes", "words", "spans")  # the texts stay where they are
-    roots = components(_links(words, classes, shingle))
-    named = materialise(classes.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "best", F.coalesce("root", "cls").alias("root")))
+    named = materialise(classes.join(_groups(words, classes, shingle), "cls", "left").select("cls", "best", F.coalesce("new", "cls").alias("root")))
     best = named.groupBy("root").agg(F.min("best").alias("best"))
     salt = F.pmod(F.xxhash64("block", "row"), F.lit(_SALTS))
     salts = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt")

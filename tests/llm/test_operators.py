@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 import re
 import zlib
 
@@ -572,6 +573,41 @@ def test_components_of_a_chain(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+@pytest.mark.parametrize("few", [0, 1 << 17])
+def test_components_in_rounds_and_in_one_task(spark, monkeypatch, few):
+    from brambleq.llm import _graph
+
+    monkeypatch.setattr(_graph, "FEW", few)
+    r = random.Random(3)
+    names = [bytes([r.randrange(256) for _ in range(3)]) for _ in range(200)]
+    edges = [(r.choice(names), r.choice(names)) for _ in range(150)]
+    want = {x: x for e in edges for x in e}
+    for _ in names:
+        for u, v in edges:
+            want[u] = want[v] = min(want[u], want[v])
+    got = _graph.components(spark.createDataFrame(edges, "u binary, v binary")).collect()
+    linked = {x for u, v in edges if u != v for x in (u, v)}
+    assert sorted((bytes(x["node"]), bytes(x["root"])) for x in got) == sorted((x, want[x]) for x in linked)
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    from brambleq.llm import _common
+
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        files = manager.getAllFiles()
+        return {n for n in (files.apply(i).getName() for i in range(files.size())) if n.startswith("shuffle_")}
+
+    before = shuffles()
+    out = _common.materialise(spark.range(1000).groupBy((_common.F.col("id") % 7).alias("k")).count())
+    end = time.time() + 10
+    while shuffles() - before and time.time() < end:  # they go in the background
+        time.sleep(0.1)
+    assert not shuffles() - before and out.count() == 7
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+
+
 def test_language_id(spark):
     r = random.Random(5)
     letters = {"aa": "abcde", "bb": "vwxyz", "cc": "éèêçà"}
