@@ -12,7 +12,8 @@ that no training document holds takes the kind nearest to its own profile.
 The model predicts a word's class from its two predecessors', each through a matrix
 of its own, and then the word within its class by add-one counts, an unseen word
 taking the place of one more word, so every word of the corpus has a probability.
-It is trained in numpy with noise-contrastive estimation, on all blocks at once: in
+It is trained in numpy with noise-contrastive estimation (a step's tokens share its
+draws of noise, so their scores are one matrix product), on all blocks at once: in
 each of ``ROUNDS`` every task passes over a share of its blocks' training tokens, from the
 parameters that the round before left, and the rounds' shares make up every training token
 (in small inputs further steps take draws); the tasks' parameters are averaged, weighted by
@@ -57,7 +58,8 @@ RARE_CLASSES = KINDS * ENDINGS
 PROFILE, LLOYD, SEEDS = 64, 6, 2000
 CONTEXT = 2
 DIMENSIONS = 24
-NOISE = 12
+#: Draws of noise for a step, shared by its tokens, so that their scores are a matrix product.
+NOISE = 64
 ROUNDS = 3
 #: Steps at least for each block and round, and for each task and round: where the tokens are fewer, draws follow.
 STEPS, LEAST_STEPS = 80, 300
@@ -301,33 +303,35 @@ class LogBilinear:
 
     def fit(self, contexts: np.ndarray, classes: np.ndarray, steps: int, seed: int = 5, rate: float = 0.02, order: np.ndarray | None = None) -> LogBilinear:
         """Noise-contrastive estimation on the tokens and their contexts: ``one_pass`` steps take those
-        of the order (all, shuffled), steps beyond take draws from all; noise by class frequency."""
+        of the order (all, shuffled), steps beyond take draws from all.  Noise is drawn by class
+        frequency, for each step anew, one draw in each of NOISE equal shares; each of the step's tokens
+        is told from all of it."""
         if not classes.size:
             return self
         r = np.random.default_rng(seed)
         n = self.classes
         log_noise = np.log(NOISE * self.unigram).astype(np.float32)
         cum_noise = np.cumsum(self.unigram)
+        strata = np.arange(NOISE)
+        small = np.min_scalar_type(n)  # of 16 bits, which sort by radix
         params = self.params()
         first, second = [np.zeros_like(x) for x in params], [np.zeros_like(x) for x in params]
         order = r.permutation(classes.size) if order is None else order
         for step in range(1, steps + 1):
             k = order[(step - 1) * BATCH : step * BATCH]
             k = np.concatenate((k, r.integers(0, classes.size, BATCH - k.size)))
-            y, b, a = classes[k], contexts[k] % n, contexts[k] // n
-            noise = np.minimum(np.searchsorted(cum_noise, r.random((BATCH, NOISE))), n - 1)
-            all_ = np.concatenate((y[:, None], noise), axis=1)
+            y, b, a = classes[k].astype(small), (contexts[k] % n).astype(small), (contexts[k] // n).astype(small)
+            noise = np.minimum(np.searchsorted(cum_noise, (strata + r.random(NOISE)) / NOISE), n - 1).astype(small)
             ra, rb = self.read[a], self.read[b]
             h = ra @ self.mix[0] + rb @ self.mix[1]
-            q = self.target[all_]
-            s = np.einsum("nkd,nd->nk", q, h) + self.bias[all_] - log_noise[all_]
-            g = 1 / (1 + np.exp(-s))
-            g[:, 0] -= 1
-            g /= BATCH
-            gh = np.einsum("nk,nkd->nd", g, q)
-            grads = [np.zeros_like(self.read), np.zeros_like(self.target), ra.T @ gh, rb.T @ gh, np.bincount(all_.ravel(), weights=g.ravel(), minlength=n).astype(np.float32)]
+            q, qn = self.target[y], self.target[noise]
+            s = np.einsum("nd,nd->n", q, h) + self.bias[y] - log_noise[y]
+            sn = h @ qn.T + (self.bias[noise] - log_noise[noise])
+            g, gn = (1 / (1 + np.exp(-s)) - 1) / BATCH, 1 / (1 + np.exp(-sn)) / BATCH
+            gh = g[:, None] * q + gn @ qn
+            grads = [np.zeros_like(self.read), np.zeros_like(self.target), ra.T @ gh, rb.T @ gh, np.bincount(np.concatenate((y, noise)), weights=np.concatenate((g, gn.sum(axis=0))), minlength=n).astype(np.float32)]
             _scatter(grads[0], np.concatenate((a, b)), np.concatenate((gh @ self.mix[0].T, gh @ self.mix[1].T)))
-            _scatter(grads[1], all_.ravel(), (g[:, :, None] * h[:, None, :]).reshape(-1, DIMENSIONS))
+            _scatter(grads[1], np.concatenate((y, noise)), np.concatenate((g[:, None] * h, gn.T @ h)))
             now = rate * (1 - 0.8 * step / (steps + 1))
             for x, d, m, v in zip(params, grads, first, second, strict=True):
                 m += 0.1 * (d - m)
@@ -354,7 +358,7 @@ class LogBilinear:
 def _scatter(out: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
     order = np.argsort(at, kind="stable")
     at = at[order]
-    heads = np.flatnonzero(np.diff(at, prepend=-1))
+    heads = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
     out[at[heads]] += np.add.reduceat(rows[order], heads)
 
 

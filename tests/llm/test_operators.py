@@ -312,6 +312,23 @@ def test_language_model_passes_over_every_token(monkeypatch):
     assert all(steps * language_model.BATCH >= x.size for x, steps in taken)
 
 
+def test_noise_is_shared_by_a_step(monkeypatch):
+    n, r = 12, np.random.default_rng(4)
+    likely = r.dirichlet(np.full(n, 0.5), n)  # by the class before
+    before = r.integers(0, n, 60_000)
+    c = np.array([np.searchsorted(np.cumsum(likely[k])[:-1], x) for k, x in zip(before.tolist(), r.random(before.size), strict=True)])
+    rows = []
+    scatter = language_model._scatter
+    monkeypatch.setattr(language_model, "_scatter", lambda out, at, x: rows.append(len(x)) or scatter(out, at, x))
+    m = language_model.LogBilinear(np.bincount(c, minlength=n) / c.size)
+    m.fit(before, c, 10 * language_model.one_pass(c.size))
+    # gradients of a step are a few rows a token, not one for each of a token's own draws
+    assert max(rows) <= 2 * language_model.BATCH
+    own = np.log10(likely[before, c]).mean()
+    unigram = np.log10(m.unigram[c]).mean()
+    assert m.log10(before, c).mean() > own - 0.15 * (own - unigram)
+
+
 def test_language_model_learns(spark):
     r = random.Random(6)
     vocab = {k: [k + "".join(r.choice(k + "aeiou") for _ in range(5)) for _ in range(300)] for k in ("bdg", "kst", "mnl")}
