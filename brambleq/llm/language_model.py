@@ -294,11 +294,13 @@ class LogBilinear:
     def flat(self) -> np.ndarray:
         return np.concatenate([p.ravel() for p in self.params()])
 
+    def _views(self, flat: np.ndarray) -> list[np.ndarray]:
+        ends = np.cumsum([p.size for p in self.params()])
+        return [part.reshape(p.shape) for part, p in zip(np.split(flat, ends[:-1]), self.params(), strict=True)]
+
     def load(self, flat: np.ndarray) -> LogBilinear:
-        at = 0
-        for p in self.params():
-            p[...] = flat[at : at + p.size].reshape(p.shape)
-            at += p.size
+        for p, part in zip(self.params(), self._views(flat), strict=True):
+            p[...] = part
         return self
 
     def fit(self, contexts: np.ndarray, classes: np.ndarray, steps: int, seed: int = 5, rate: float = 0.02, order: np.ndarray | None = None) -> LogBilinear:
@@ -314,8 +316,10 @@ class LogBilinear:
         cum_noise = np.cumsum(self.unigram)
         strata = np.arange(NOISE)
         small = np.min_scalar_type(n)  # of 16 bits, which sort by radix
-        params = self.params()
-        first, second = [np.zeros_like(x) for x in params], [np.zeros_like(x) for x in params]
+        flat = self.flat()  # all parameters and gradients lie in one array each, so a step updates them at once
+        self.read, self.target, *self.mix, self.bias = self._views(flat)
+        d, first, second = np.zeros_like(flat), np.zeros_like(flat), np.zeros_like(flat)
+        grads = self._views(d)
         order = r.permutation(classes.size) if order is None else order
         for step in range(1, steps + 1):
             k = order[(step - 1) * BATCH : step * BATCH]
@@ -329,14 +333,15 @@ class LogBilinear:
             sn = h @ qn.T + (self.bias[noise] - log_noise[noise])
             g, gn = (1 / (1 + np.exp(-s)) - 1) / BATCH, 1 / (1 + np.exp(-sn)) / BATCH
             gh = g[:, None] * q + gn @ qn
-            grads = [np.zeros_like(self.read), np.zeros_like(self.target), ra.T @ gh, rb.T @ gh, np.bincount(np.concatenate((y, noise)), weights=np.concatenate((g, gn.sum(axis=0))), minlength=n).astype(np.float32)]
+            d.fill(0)
+            grads[2][...], grads[3][...] = ra.T @ gh, rb.T @ gh
+            grads[4][...] = np.bincount(np.concatenate((y, noise)), weights=np.concatenate((g, gn.sum(axis=0))), minlength=n)
             _scatter(grads[0], np.concatenate((a, b)), np.concatenate((gh @ self.mix[0].T, gh @ self.mix[1].T)))
             _scatter(grads[1], np.concatenate((y, noise)), np.concatenate((g[:, None] * h, gn.T @ h)))
             now = rate * (1 - 0.8 * step / (steps + 1))
-            for x, d, m, v in zip(params, grads, first, second, strict=True):
-                m += 0.1 * (d - m)
-                v += 0.001 * (d * d - v)
-                x -= now * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+            first += 0.1 * (d - first)
+            second += 0.001 * (d * d - second)
+            flat -= now * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
         return self
 
     def log10(self, contexts: np.ndarray, classes: np.ndarray) -> np.ndarray:
