@@ -128,6 +128,14 @@ class Block:
         ends = np.cumsum(unpack_ints(self.row["spans"])).tolist()
         return [blob[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if ends else []
 
+    def spaced(self) -> pa.Array:
+        """The distinct words by number, each with a space behind it."""
+        import pyarrow.compute as pc
+
+        ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(unpack_ints(self.row["spans"])).astype(np.int64)))
+        words = pa.Array.from_buffers(pa.large_binary(), ends.size - 1, [None, pa.py_buffer(ends), pa.py_buffer(unsqueeze(self.row["words"]))])
+        return pc.binary_join_element_wise(words, pa.scalar(b"", pa.large_binary()), pa.scalar(b" ", pa.large_binary()))
+
     def hashed(self, seed: int = 0) -> np.ndarray:
         """A hash of each word of the block's documents, in order."""
         h = np.array([xxhash.xxh3_64_intdigest(w, seed) for w in self.words()], dtype=np.uint64)
@@ -155,17 +163,61 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def rolled(w: np.ndarray, k: int, base: int) -> np.ndarray:
     """A hash of each ``k`` words in succession, from the words' hashes."""
-    h = np.zeros(max(0, w.size - k + 1), dtype=np.uint64)
-    for j in range(k if h.size else 0):
-        h *= np.uint64(base)
-        h += w[j : j + h.size]
-    return mix(h)
-
-
-def make_blocks(docs: DataFrame, split: Callable[[bytes], list[bytes] | list[str]], block_bytes: int = BLOCK_BYTES, keep_text: bool = False, mark: tuple[str, Callable[[bytes], bytes]] | None = None) -> DataFrame:
+    if k > w.size:
+        return np.zeros(0, dtype=np.uint64)
+    # a polynomial in the base: spans of 1, 2, 4, ... words, of which those that add up to k are joined
+    h, done, part, n = None, 0, w, 1
+    while True:
+        if k & n:
+            h = part if h is None else h[: w.size - done - n + 1] * np.uint64(pow(base, n, 1 << 64)) + part[done:]
+            done += n
+        if done == k:
+            return mix(h)
+        part = part[:-n] * np.uint64(pow(base, n, 1 << 64)) + part[n:]
+        n *= 2
+
+
+#: Of each byte whether it parts words, as bytes.split has it.
+_WHITE = np.isin(np.arange(256), [32, *range(9, 14)])
+
+
+def white_words(texts: list[pa.Array]) -> tuple[np.ndarray, np.ndarray, bytes, np.ndarray]:
+    """Of texts (columns of strings; null is empty) in a row, cut into words at white space: the number
+    of words of each, all words as numbers (the more frequent, the smaller), and the distinct words
+    by number, end to end, with their lengths."""
+    import pyarrow.compute as pc
+
+    held = pa.concat_arrays([pc.fill_null(x.cast(pa.large_binary()), b"") for x in texts])
+    off = np.frombuffer(held.buffers()[1], np.int64)[held.offset : held.offset + len(held) + 1]
+    buf = np.frombuffer(held.buffers()[2] or b"", np.uint8)[off[0] : off[-1]]
+    off = off - off[0]
+    white = _WHITE[buf]
+    in_word = ~white
+    begin, end = in_word.copy(), in_word.copy()
+    begin[1:] &= white[:-1]
+    end[:-1] &= white[1:]
+    heads = off[:-1][np.diff(off) > 0]  # a word ends where its text does
+    begin[heads] = in_word[heads]
+    end[heads[1:] - 1] = in_word[heads[1:] - 1]
+    begin, end = np.flatnonzero(begin), np.flatnonzero(end) + 1
+    sizes = np.diff(np.searchsorted(begin, off))
+    if not begin.size:
+        return sizes, begin, b"", begin
+    ends = np.concatenate(([0], np.cumsum(end - begin)))
+    coded = pa.Array.from_buffers(pa.large_binary(), begin.size, [None, pa.py_buffer(ends), pa.py_buffer(buf[in_word])]).dictionary_encode()
+    codes = np.asarray(coded.indices)
+    rank = np.argsort(-np.bincount(codes), kind="stable")
+    place = np.empty(rank.size, dtype=np.int64)
+    place[rank] = np.arange(rank.size)
+    words = coded.dictionary.take(pa.array(rank))
+    spans = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    return sizes, place[codes], words.buffers()[2].to_pybytes()[spans[0] : spans[-1]], np.diff(spans)
+
+
+def make_blocks(docs: DataFrame, split: Callable[[bytes], list[bytes] | list[str]] | None, block_bytes: int = BLOCK_BYTES, keep_text: bool = False, mark: tuple[str, Callable[[bytes], bytes]] | None = None) -> DataFrame:
     """A written table of blocks of ``docs`` (a ``text`` among its columns, which the block's
     documents keep only with ``keep_text``); ``split`` cuts a text into words (bytes, or strings
-    that are encoded once each); ``mark`` names a
+    that are encoded once each), or is None for words between white space; ``mark`` names a
     binary column to add to the documents, and what makes it of a text."""
     held = docs if keep_text else docs.drop("text")
     names = held.columns
@@ -176,38 +228,46 @@ def make_blocks(docs: DataFrame, split: Callable[[bytes], list[bytes] | list[str
 
         first = TaskContext.get().partitionId() << 32
         parts: list[pa.RecordBatch] = []
+        whole: list[pa.Array] = []
         index, codes, sizes = _Numbers(), [], []
         size, seq = 0, 0
 
         def take(b: pa.RecordBatch) -> None:
-            texts = text_bytes(b.column(k))
+            texts = text_bytes(b.column(k)) if split or mark else []
             part = b.select(names)
             parts.append(part if mark is None else pa.RecordBatch.from_arrays([*part.columns, pa.array([mark[1](x) for x in texts], pa.binary())], names=[*names, mark[0]]))
+            if split is None:
+                whole.append(b.column(k))
+                return
             for text in texts:
                 ws = split(text)
                 sizes.append(len(ws))
                 codes.append(np.fromiter(map(index.__getitem__, ws), dtype=np.int32, count=len(ws)))
 
-        def close() -> pa.RecordBatch:
-            nonlocal parts, index, codes, sizes, size, seq
+        def numbered() -> tuple[np.ndarray, np.ndarray, bytes, np.ndarray]:
             flat = np.concatenate(codes) if codes else np.zeros(0, np.int32)
             rank = np.argsort(-np.bincount(flat, minlength=len(index)), kind="stable")
             place = np.empty(rank.size, dtype=np.int64)
             place[rank] = np.arange(rank.size)
             words = list(index)
             words = [words[i] if isinstance(words[i], bytes) else words[i].encode() for i in rank.tolist()]
+            return np.array(sizes, dtype=np.int64), place[flat], b"".join(words), np.array([len(w) for w in words], dtype=np.int64)
+
+        def close() -> pa.RecordBatch:
+            nonlocal parts, whole, index, codes, sizes, size, seq
+            counts, flat, words, spans = white_words(whole) if split is None else numbered()
             row = {
                 "block": first + seq,
-                "n_docs": len(sizes),
+                "n_docs": counts.size,
                 "n_bytes": size,
                 "n_words": flat.size,
                 "docs": pack_table(pa.Table.from_batches(parts)),
-                "sizes": pack_ints(np.array(sizes, dtype=np.int64)),
-                "codes": pack_ints(place[flat]),
-                "words": squeeze(b"".join(words)),
-                "spans": pack_ints(np.array([len(w) for w in words], dtype=np.int64)),
+                "sizes": pack_ints(counts),
+                "codes": pack_ints(flat),
+                "words": squeeze(words),
+                "spans": pack_ints(spans),
             }
-            parts, index, codes, sizes, size, seq = [], _Numbers(), [], [], 0, seq + 1
+            parts, whole, index, codes, sizes, size, seq = [], [], _Numbers(), [], [], 0, seq + 1
             give_back()
             return pa.RecordBatch.from_pylist([row], schema=_ARROW)
 

@@ -17,7 +17,9 @@ coordinate is its first occurrence in the document with the smallest id.
    closes on itself is cut at its smallest coordinate.
 4. Where a document follows repeated edges from sources before it, its span goes
    to the source coordinate, is verified there word by word (a 128-bit digest), and
-   returns as pieces of paths.  Words covered by verified pieces are removed.
+   returns as pieces of paths.  Words covered by verified pieces are removed; where
+   its spans lie, a block has written down when it traced them, so that this last
+   pass makes no edges.
 
 A key is 56 bits that deal and sort the edges and a lane of 64 more from another
 hash of the words.  Should different k-mers share both (below 1e-11 expected pairs
@@ -35,6 +37,7 @@ no copy; only ``doc_id`` and ``text`` are read, so other columns may have any na
 from __future__ import annotations
 
 import hashlib
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -53,8 +56,8 @@ _KEY, _LANE, _NODE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93
 
 _EDGES = "bucket int, block long, edges binary"
 _FOUND = "block long, bucket int, found binary"
-#: Nodes of source edges (kind 0: an edge leaves, 2: an edge enters, 1: both), or spans to be verified.
-_TRACED = "block long, node long, at int, kind int, run int, last int, src_block long, src_at int, length int, digest binary"
+#: Nodes of source edges (kind 0: an edge leaves, 2: an edge enters, 1: both), or spans to be verified, or all spans of the block (packed).
+_TRACED = "block long, node long, at int, kind int, run int, last int, src_block long, src_at int, length int, digest binary, spans binary"
 _PIECES = "src_block long, src_at int, length int, digest binary, pieces array<struct<path_block:long,path_at:int,offset:long,start:int,edges:int>>"
 _OUT = "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string, paths array<struct<start:int,length:int,path_block:long,path_at:int,offset:long>>"
 
@@ -68,36 +71,51 @@ def _arrow(ddl: str) -> pa.Schema:
     return pa.schema(fields)
 
 
+def _ids(b: Block) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of a block's documents, and which are null."""
+    ids = b.docs().column("doc_id").combine_chunks()
+    ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
+    return np.asarray(ids.fill_null(0)).astype(np.int64), np.asarray(ids.is_null())
+
+
+def _hashes(words: list[bytes]) -> np.ndarray:
+    """Two hashes of each word: of keys, of lanes."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), dtype=np.uint64).reshape(-1, 2)
+
+
+def _whole(sizes: np.ndarray, null: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where k words of one document begin, and the document; none in those of null id."""
+    edges = np.where(null, 0, np.maximum(sizes - k + 1, 0))
+    doc = np.repeat(np.arange(sizes.size), edges)
+    away = np.cumsum(sizes) - sizes - (np.cumsum(edges) - edges)
+    return np.arange(doc.size) + away[doc], doc
+
+
 class Edges:
     """The k-mers of a block, its documents taken in order of their ids; a coordinate
     counts words from the block's beginning in that order."""
 
     def __init__(self, b: Block, k: int, bits: int, keyed: bool = True) -> None:
-        ids = b.docs().column("doc_id").combine_chunks()
-        ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
-        null = np.asarray(ids.is_null())
-        ids = np.asarray(ids.fill_null(0)).astype(np.int64)
+        ids, null = _ids(b)
         order = np.lexsort((ids, null))
         self.block, self.k = b.block, k
         self.ids, self.null, self.sizes = ids[order], null[order], b.sizes[order]
         self.starts = np.cumsum(self.sizes) - self.sizes
-        moved = np.repeat(b.starts[order] - self.starts, self.sizes)
-        codes = b.codes()
-        self.codes = codes[moved + np.arange(moved.size)] if moved.size else codes
-        self.table = b.words()
+        self.codes = b.codes()
+        if (np.diff(order) < 0).any():
+            moved = np.repeat(b.starts[order] - self.starts, self.sizes)
+            self.codes = self.codes[moved + np.arange(moved.size)]
+        self.of = b
         if not keyed:
             return
-        pairs = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, self.table)), dtype=np.uint64).reshape(-1, 2)
-        self.w = np.ascontiguousarray(pairs[:, 0])[self.codes] if moved.size else np.zeros(0, np.uint64)
-        w2 = np.ascontiguousarray(pairs[:, 1])[self.codes] if moved.size else self.w
-        doc = np.repeat(np.arange(self.sizes.size), self.sizes)
-        whole = (np.arange(doc.size) - self.starts[doc] + k <= self.sizes[doc]) & ~self.null[doc] if doc.size else np.zeros(0, bool)
+        pairs = _hashes(self.table)
+        self.w = np.ascontiguousarray(pairs[:, 0])[self.codes] if self.table else np.zeros(0, np.uint64)
+        w2 = np.ascontiguousarray(pairs[:, 1])[self.codes] if self.table else self.w
         #: Of each edge's occurrences the coordinate and the document.
-        self.at = np.flatnonzero(whole)
-        self.doc = doc[self.at]
+        self.at, self.doc = _whole(self.sizes, self.null, k)
         keys = rolled(self.w, k, _KEY)[self.at] >> np.uint64(64 - bits)
         lanes = rolled(w2, k, _LANE)[self.at]
-        del w2, pairs, doc, whole
+        del w2, pairs
         order, new = _apart(keys, lanes)
         heads = np.flatnonzero(new)
         tails = np.append(heads[1:], order.size)[: heads.size] - 1
@@ -108,6 +126,10 @@ class Edges:
         self.edge_of = np.empty(order.size, dtype=np.int64)
         self.edge_of[order] = np.cumsum(new) - 1
 
+    @cached_property
+    def table(self) -> list[bytes]:
+        return self.of.words()
+
     def words(self, at: int, n: int) -> list[bytes]:
         return [self.table[c] for c in self.codes[at : at + n].tolist()]
 
@@ -117,12 +139,25 @@ class Edges:
 
 def _apart(keys: np.ndarray, lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A stable order by key and lane, and where in that order an edge differs from the one before."""
-    order = np.argsort(keys, kind="stable")
+    if not keys.size:
+        return np.zeros(0, np.int64), np.zeros(0, bool)
+    # one sort of plain numbers: as many leading bits of the key as there is room for, above the place
+    low, base = np.uint64(max(1, (keys.size - 1).bit_length())), keys.min()
+    away = np.uint64(max(0, int(keys.max() - base).bit_length() + int(low) - 64))
+    packed = ((keys - base) >> away << low) | np.arange(keys.size, dtype=np.uint64)
+    packed.sort()
+    order = (packed & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
     k, x = keys[order], lanes[order]
-    if ((k[1:] == k[:-1]) & (x[1:] != x[:-1])).any():
-        order = np.lexsort((lanes, keys))
+    differ = (x[1:] != x[:-1]) | (k[1:] != k[:-1])
+    packed >>= low
+    if (differ & (packed[1:] == packed[:-1])).any():  # those bits do not tell all edges apart
+        order = np.argsort(keys, kind="stable")
         k, x = keys[order], lanes[order]
-    return order, np.concatenate(([True], (k[1:] != k[:-1]) | (x[1:] != x[:-1]))) if k.size else np.zeros(0, bool)
+        if ((k[1:] == k[:-1]) & (x[1:] != x[:-1])).any():
+            order = np.lexsort((lanes, keys))
+            k, x = keys[order], lanes[order]
+        differ = (x[1:] != x[:-1]) | (k[1:] != k[:-1])
+    return order, np.concatenate(([True], differ))
 
 
 def _short(e: Edges, bits: int, short: int) -> tuple[np.ndarray, np.ndarray]:
@@ -132,6 +167,18 @@ def _short(e: Edges, bits: int, short: int) -> tuple[np.ndarray, np.ndarray]:
     return t[new], np.cumsum(new) - 1
 
 
+def _short_keys(b: Block, k: int, short: int) -> np.ndarray:
+    """The keys of ``_short`` alone, by one sort of short numbers: without lanes and places."""
+    ids, null = _ids(b)
+    codes = b.codes()
+    if codes.size < k:
+        return np.zeros(0, np.uint64)
+    w = np.ascontiguousarray(_hashes(b.words())[:, 0])[codes]
+    t = rolled(w, k, _KEY)[_whole(b.sizes, null, k)[0]] >> np.uint64(64 - short)
+    t.sort()
+    return t[np.concatenate(([True], t[1:] != t[:-1]))] if t.size else t
+
+
 def _send(k: int, buckets: int, bits: int, short: int):
     """Of one block: its edges that other blocks may hold too, dealt to the buckets."""
 
@@ -243,12 +290,21 @@ def _trace(k: int, bits: int):
             kind = np.ones(run.size, dtype=np.int32)
             kind[first] = 0
             kind[first + n - 1] = 2
-            node = rolled(e.w, k - 1, _NODE)[at].view(np.int64) if at.size else at
+            # the words of the runs alone, end to end; a run's last node has k - 2 words behind its first
+            size = n + k - 2
+            starts = np.cumsum(size) - size
+            words = e.w[np.arange(size.sum()) + np.repeat(s[heads] - starts, size)]
+            node = rolled(words, k - 1, _NODE)[np.arange(at.size) + np.repeat(starts - first, n)].view(np.int64) if at.size else at
             none = pa.nulls
             m = at.size
-            parts.append(pa.Table.from_arrays([pa.array(np.full(m, e.block)), pa.array(node, pa.int64()), pa.array(at, pa.int32()), pa.array(kind), pa.array(run, pa.int32()), pa.array(np.repeat(s[heads] + n - 1, n), pa.int32()), none(m, pa.int64()), none(m, pa.int32()), none(m, pa.int32()), none(m, pa.binary())], schema=schema))
-            spans = {(src, p, n, e.digest(a, n)) for a, n, src, p in t.spans}
-            parts.append(pa.Table.from_pylist([{"block": e.block, "src_block": b, "src_at": p, "length": n, "digest": d} for b, p, n, d in sorted(spans)], schema))
+            parts.append(pa.Table.from_arrays([pa.array(np.full(m, e.block)), pa.array(node, pa.int64()), pa.array(at, pa.int32()), pa.array(kind), pa.array(run, pa.int32()), pa.array(np.repeat(s[heads] + n - 1, n), pa.int32()), none(m, pa.int64()), none(m, pa.int32()), none(m, pa.int32()), none(m, pa.binary()), none(m, pa.binary())], schema=schema))
+            digests = [e.digest(a, n) for a, n, _, _ in t.spans]
+            asked = {(src, p, n, d) for (_, n, src, p), d in zip(t.spans, digests, strict=True)}
+            parts.append(pa.Table.from_pylist([{"block": e.block, "src_block": b, "src_at": p, "length": n, "digest": d} for b, p, n, d in sorted(asked)], schema))
+            if digests:
+                starts, sizes, blocks, places = (np.array(x, dtype=np.int64) for x in zip(*t.spans, strict=True))
+                packed = frame(pack_ints(np.diff(starts, prepend=0)), pack_ints(sizes), pack_ints(zigzag(blocks)), pack_ints(places), b"".join(digests))
+                parts.append(pa.Table.from_pylist([{"block": e.block, "spans": packed}], schema))
         return pa.concat_tables(parts) if parts else schema.empty_table()
 
     return run
@@ -327,31 +383,44 @@ def _verify(k: int):
     return run
 
 
-def _cut(k: int, bits: int, keep_text: bool):
+def _spans(packed: bytes) -> list[tuple[int, int, int, int, bytes]]:
+    """What ``_trace`` has packed: of each span coordinate, words, source block and coordinate, digest."""
+    starts, sizes, blocks, places, digests = unframe(packed, 5)
+    columns = np.cumsum(unpack_ints(starts)), unpack_ints(sizes), unzigzag(unpack_ints(blocks)), unpack_ints(places)
+    return list(zip(*(c.tolist() for c in columns), [digests[i : i + 16] for i in range(0, len(digests), 16)], strict=True))
+
+
+def _cut(k: int, keep_text: bool):
     """Of one block: the documents without the words that verified pieces of paths cover."""
     schema = _arrow(_OUT)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[dict] = []
         rows = right.to_pylist()
-        known = {(r["src_block"], r["src_at"], r["length"], r["digest"]): r["pieces"] for r in rows if r["found"] is None}
+        known = {(r["src_block"], r["src_at"], r["length"], r["digest"]): r["pieces"] for r in rows if r["spans"] is None}
         for row in left.to_pylist():
-            e = Edges(Block(row), k, bits)
-            doc_at = np.repeat(np.arange(e.sizes.size), e.sizes)
+            b = Block(row)
+            e = Edges(b, k, 0, keyed=False)
             cover = np.zeros(e.codes.size + 1, dtype=np.int32)
             paths: dict[int, list[dict]] = {}
-            for a, n, src, p in Traced(e, rows).spans:
-                d = int(doc_at[a])
-                for x in known.get((src, p, n, e.digest(a, n)), ()):
+            spans = [s for r in rows if r["spans"] is not None for s in _spans(r["spans"])]
+            docs = (np.searchsorted(e.starts, [s[0] for s in spans], side="right") - 1).tolist()
+            for d, (a, n, src, p, digest) in zip(docs, spans, strict=True):
+                for x in known.get((src, p, n, digest), ()):
                     s, words = a + x["start"], x["edges"] + k - 1
                     cover[s] += 1
                     cover[s + words] -= 1
                     paths.setdefault(d, []).append({"start": s - int(e.starts[d]), "length": words, "path_block": x["path_block"], "path_at": x["path_at"], "offset": x["offset"]})
-            gone = np.cumsum(cover)[:-1] > 0
-            for i, (s, n) in enumerate(zip(e.starts.tolist(), e.sizes.tolist(), strict=True)):
-                codes = e.codes[s : s + n]
-                kept = b" ".join([e.table[c] for c in (codes[~gone[s : s + n]] if i in paths else codes).tolist()])
-                out.append({"doc_id": None if e.null[i] else int(e.ids[i]), "n_words": n, "n_removed": int(gone[s : s + n].sum()), "kept": kept.decode() if keep_text else None, "kept_sha256": hashlib.sha256(kept).hexdigest(), "paths": paths.get(i, [])})
+            stays = np.cumsum(cover)[:-1] == 0
+            held = np.concatenate(([0], np.cumsum(stays)))
+            at = held[np.append(e.starts, e.codes.size)]  # each document's kept words
+            text = b.spaced().take(pa.array(e.codes[stays]))
+            ends = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1][at].tolist() if len(text) else [0] * at.size
+            data = memoryview(text.buffers()[2] or b"")
+            removed = (e.sizes - np.diff(at)).tolist()
+            for i, n in enumerate(e.sizes.tolist()):
+                kept = data[ends[i] : max(ends[i], ends[i + 1] - 1)]  # without the last space
+                out.append({"doc_id": None if e.null[i] else int(e.ids[i]), "n_words": n, "n_removed": removed[i], "kept": bytes(kept).decode() if keep_text else None, "kept_sha256": hashlib.sha256(kept).hexdigest(), "paths": paths.get(i, [])})
         return pa.Table.from_pylist(out, schema)
 
     return run
@@ -361,12 +430,12 @@ def remove_repeats(docs: DataFrame, k: int = K, keep_text: bool = True, bits: in
     """Per row of ``docs`` (``doc_id``, ``text``): ``doc_id``, ``n_words``, ``n_removed``,
     ``kept`` (kept words joined by a space; null unless ``keep_text``), ``kept_sha256`` and
     ``paths`` (verified repeated spans in words, with the path each follows); ``k`` is 2 or more."""
-    blocks = make_blocks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), bytes.split)
+    blocks = make_blocks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), None)
     n_bytes, n_words = totals(blocks)
     buckets = bucket_count(blocks, n_bytes)
     short = min(bits, key_bits(n_words))
     whole = blocks.groupBy("block")
-    marks = shared_keys(blocks, lambda b: _short(Edges(b, k, bits), bits, short)[0], buckets, short)
+    marks = shared_keys(blocks, lambda b: _short_keys(b, k, short), buckets, short)
     sent = whole.cogroup(marks.groupBy("block")).applyInArrow(_send(k, buckets, bits, short), _EDGES)
     found = materialise(by_bucket(sent, buckets).applyInArrow(_answer(buckets, bits), _FOUND))
     traced = materialise(whole.cogroup(found.groupBy("block")).applyInArrow(_trace(k, bits), _TRACED))
@@ -375,7 +444,8 @@ def remove_repeats(docs: DataFrame, k: int = K, keep_text: bool = True, bits: in
     once = asked.select(F.col("src_block").alias("block"), "src_at", "length", "digest").distinct()  # verified once, however many blocks ask
     held = once.unionByName(paths.select("block", F.col("at").alias("src_at"), F.col("end").alias("length"), "path_block", "path_at", "offset"), allowMissingColumns=True)
     pieces = asked.join(whole.cogroup(held.groupBy("block")).applyInArrow(_verify(k), _PIECES), ["src_block", "src_at", "length", "digest"])
-    return whole.cogroup(found.unionByName(pieces, allowMissingColumns=True).groupBy("block")).applyInArrow(_cut(k, bits, keep_text), _OUT)
+    spans = traced.where("spans is not null").select("block", "spans")
+    return whole.cogroup(spans.unionByName(pieces, allowMissingColumns=True).groupBy("block")).applyInArrow(_cut(k, keep_text), _OUT)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -171,6 +171,83 @@ def test_paths_of_several_segments(spark):
     assert len(got) == len(want) and {tuple(r["key"]): (tuple(r["ptr"]), r["offset"]) for r in got} == want
 
 
+def some_blocks(texts, ids=None, split=None):
+    """The rows of blocks that one task makes of texts."""
+    held = {}
+
+    class Docs:
+        columns = ["doc_id", "text"]
+
+        def drop(self, _):
+            return type("Ids", (), {"columns": ["doc_id"]})
+
+        def mapInArrow(self, f, _):
+            held["f"] = f
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(_blocks, "_bucketed", lambda x: x)
+        m.setattr(_blocks, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": staticmethod(lambda: 3)}))}))
+        _blocks.make_blocks(Docs(), split, block_bytes=4000)
+        batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(ids or range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())})
+        return [b.to_pylist()[0] for b in held["f"](iter([batch.slice(0, 5), batch.slice(5, 0), batch.slice(5)]))]
+
+
+def test_words_between_white_space(corpus):
+    odd = ["ab", "cd ef", None, "", "  ", "\x0b\x0cx\r\n", "x\x00y \x1cz\x85 \u2003\u00a0", "naïve", "ab\t\tab ", "a", "b"]
+    for texts in ([t for _, t, _, _ in corpus], odd, odd[:6], [None, "", " "], ["one"]):
+        mine, plain = some_blocks(texts), some_blocks(texts, split=bytes.split)
+        assert mine == plain and sum(r["n_docs"] for r in mine) == len(texts)
+        words = [[b.words()[c] for c in b.codes()] for b in map(_blocks.Block, mine)]
+        assert sum(words, []) == [w for t in texts for w in (t or "").encode().split()]
+        assert [w + b" " for w in _blocks.Block(mine[0]).words()] == _blocks.Block(mine[0]).spaced().to_pylist()
+
+
+def test_hashes_of_words_in_succession():
+    w = np.random.default_rng(1).integers(0, 2**63, 40).astype(np.uint64)
+    for k in range(1, 43):
+        want = [sum(x * pow(substring_dedup._KEY, k - 1 - j, 1 << 64) for j, x in enumerate(w[i : i + k].tolist())) % (1 << 64) for i in range(max(0, 41 - k))]
+        assert _blocks.rolled(w, k, substring_dedup._KEY).tolist() == _blocks.mix(np.array(want, dtype=np.uint64)).tolist()
+
+
+def test_substring_dedup_sorts_edges():
+    r = np.random.default_rng(2)
+    # keys that the leading bits tell apart; that differ in the last bit only; that lanes alone tell apart; none
+    for top, few in ((2**56, 10**6), (2**56, 3), (4, 10**6), (2**64, 300), (1, 1)):
+        for n in (0, 1, 2, 700):
+            keys = r.integers(0, top, few, dtype=np.uint64)[r.integers(0, few, n)]
+            keys = np.where(r.random(n) < 0.5, keys, keys ^ np.uint64(top > 1)).astype(np.uint64)
+            lanes = r.integers(0, 3, n).astype(np.uint64)
+            order, new = substring_dedup._apart(keys, lanes)
+            want = np.lexsort((lanes, keys))
+            edges = list(zip(keys[want].tolist(), lanes[want].tolist()))
+            assert order.tolist() == want.tolist() and new.tolist() == [i == 0 or edges[i] != edges[i - 1] for i in range(n)]
+
+
+def test_substring_dedup_makes_edges_no_oftener_than_it_needs(spark, corpus, monkeypatch):
+    for row in some_blocks([t for _, t, _, _ in corpus], [i for i, *_ in corpus]):
+        e = substring_dedup.Edges(_blocks.Block(row), 13, 56)
+        want = substring_dedup._short(e, 56, 20)[0]
+        monkeypatch.setattr(substring_dedup, "_apart", None)  # which of its keys others have: no edges
+        assert substring_dedup._short_keys(_blocks.Block(row), 13, 20).tolist() == want.tolist()
+        monkeypatch.undo()
+    # a block without its keys, as the pass that removes words has it: what is removed, it knows from the spans traced before
+    want = by_row(substring_dedup.remove_repeats(make(spark, corpus)))
+    cut, edges = substring_dedup._cut, substring_dedup.Edges
+
+    def unkeyed(*a):
+        run = cut(*a)
+
+        def without(left, right):
+            with pytest.MonkeyPatch.context() as m:
+                m.setattr(substring_dedup, "Edges", lambda b, k, bits, keyed=True: 1 // (not keyed) and edges(b, k, bits, keyed))
+                return run(left, right)
+
+        return without
+
+    monkeypatch.setattr(substring_dedup, "_cut", unkeyed)
+    assert by_row(substring_dedup.remove_repeats(make(spark, corpus))) == want
+
+
 def test_packed_integers():
     from brambleq.llm._blocks import pack_ints, unpack_ints
 
