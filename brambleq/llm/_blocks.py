@@ -151,6 +151,7 @@ def block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
     for b in batches:
         for i in range(b.num_rows):
             yield Block(b.slice(i, 1).to_pylist()[0])
+    give_back()
 
 
 def mix(h: np.ndarray) -> np.ndarray:

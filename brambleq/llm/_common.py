@@ -90,6 +90,20 @@ def give_back() -> None:
         _libc().malloc_trim(0)
 
 
+#: Bytes of rows that ``bound_batches`` lets into one Arrow batch (a larger row is a batch of its own).
+BATCH_BYTES = 2 << 20
+
+
+def bound_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """From here on this session's rows go to Python workers ``most`` bytes at a time, or fewer where
+    that is set.  Spark's own bounds (10,000 rows, or many times these bytes) let a batch of whole texts
+    or blocks grow to tens of MB, and an executor's JVM keeps what its batches have once taken."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    if not 0 < now <= most:
+        spark.conf.set(name, str(most))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brambleq.llm._common import aside, back, give_way, materialise, table, text_bytes
+from brambleq.llm._common import aside, back, give_back, give_way, materialise, table, text_bytes
 
 WINDOW = 10
 #: Words of benchmark items in one automaton (about 300 bytes each once built).
@@ -243,6 +243,7 @@ def _pass(shared, cut: bool):
                 k = names.index(name)
                 columns[k] = pa.array(values, b.schema.field(k).type)
             yield pa.RecordBatch.from_arrays(columns, schema=b.schema)
+        give_back()
 
     return run
 

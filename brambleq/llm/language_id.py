@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from brambleq.llm._common import aside, back, extend, fold, give_way, table, text_bytes
+from brambleq.llm._common import aside, back, extend, fold, give_back, give_way, table, text_bytes
 
 WINDOW = 96
 WIDTHS = (2, 3, 4)
@@ -224,6 +224,7 @@ def predict(docs: DataFrame, network: Network | None, text: str = "text") -> Dat
                         size = 0
             flush()
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs), pa.array(scores, pa.float64())], names=[*b.schema.names, "__lang", "__score"])
+        give_back()
 
     return extend(docs, run, [T.StructField("__lang", T.StringType()), T.StructField("__score", T.DoubleType())], text)
 

@@ -2,6 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor
 kept; ``run`` writes every stage's result to the shared folder and reads it back.
+Stages that run in Python bound the session's Arrow batches (``bound_batches``).
 All stages but the last return the columns of ``documents``; the last adds the
 token ids and the text decoded from them.
 
@@ -15,11 +16,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from brambleq.llm import bpe, decontaminate, language_id, line_dedup, simhash
-from brambleq.llm._common import materialise, table
+from brambleq.llm._common import bound_batches, materialise, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose language cannot be told."""
+    bound_batches(spark)
     network = language_id.train(language_id.training_rows(docs.select("doc_id", "text", "lang")))
     return language_id.keep(docs, network)
 
@@ -31,16 +33,19 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near copies (shingles of five words)."""
+    bound_batches(spark)
     return simhash.deduplicate(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut passages of the benchmark, and drop documents made mostly of them."""
+    bound_batches(spark)
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Add ``ids`` and ``decoded``."""
+    bound_batches(spark)
     return bpe.round_trip(docs)
 
 
